@@ -64,3 +64,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this library where it is not installed (the same path on every machine)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    have = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in have.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{have}" if have else root
+    return spark
