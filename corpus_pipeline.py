@@ -1,8 +1,59 @@
-"""The corpus pipeline's stages."""
+"""From raw documents to token-id files: five stages, each written as Parquet and read by the next.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.llm import decontaminate, jaccard, langid, mixing, token_files
+from tessella.llm.queries import tokenizer_file
+from tessella.session import materialise, ship, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, and mixtures without a main language, go."""
+    return langid.spoken(docs, least=0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more of 5-word shingles, the one with the smallest doc_id stays."""
+    return jaccard.one_of_each(docs, size=5, threshold=0.8)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth or more of their words inside 13-word windows of benchmark items go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), window=13, coverage=20)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read back from the files of token ids."""
+    return token_files.round_trip(docs, tokenizer_file())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing_sources", mixing_sources),
+    ("token_ids", token_ids),
+]
+
+#: SQL can express neither the mixture model nor the draws nor the files; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

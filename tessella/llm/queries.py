@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import jaccard
+from tessella.llm import decontaminate, jaccard, langid, lines, mixing, token_files
 from tessella.session import table
 
 QUERIES: dict = {}
@@ -16,6 +17,59 @@ def _register(f):
     return f
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_register
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language mixture of every document, learnt from labelled ones that are not held out."""
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """13-word windows of benchmark items in every document."""
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, coverage=20)
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op2_decontamination"] = """
+WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT DISTINCT k FROM win),
+p AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, k WHERE len(w) >= k),
+g AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM p),
+m AS (SELECT g.doc_id, g.i, g.k, win.item_id FROM g JOIN win ON g.k = win.k AND g.g = win.g),
+h AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS q FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+  sha256(coalesce(t.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@_register
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier in the corpus, and each text without them."""
+    found = lines.remove_repeated_passages(table(spark, sf_dir, "documents"), least_words=30)
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files and read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 @_register
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard 0.9 or more: set sizes and components of all documents."""
@@ -42,3 +96,28 @@ reach(doc_id, other) AS (
 SELECT n.doc_id, n.n AS n_shingles, r.component_id
 FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) r USING (doc_id)
 """
+
+
+@_register
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document holds."""
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), least_chars=10, least_docs=2)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op9_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+k AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT l.*, k.first IS NOT NULL AND k.first < l.doc_id AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@_register
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document in a mix of all sources with weights 1, 2, 3."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
