@@ -21,8 +21,9 @@ def _table(separators: set[int]) -> np.ndarray:
 
 #: Letters, digits and all characters outside ASCII; upper case A-Z is lowered, the rest is 0.
 ALPHANUMERIC = _table({*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)})
-#: Everything but ASCII white space.
-SPACED = _table({*_WHITE, 0})
+#: Everything but ASCII white space; the null character counts as a letter and takes the place of A, which is lowered.
+SPACED = _table({*_WHITE})
+SPACED[0] = ord("A")
 
 _LOOK = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
