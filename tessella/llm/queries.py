@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, jaccard, langid, lines, mixing, token_files
+from tessella.llm import decontaminate, graph_index, jaccard, langid, lines, mixing, token_files
 from tessella.session import table
 
 QUERIES: dict = {}
@@ -56,6 +56,12 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+@_register
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest vectors, by inner product, of each vector whose vec_id is divisible by 20."""
+    return graph_index.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 @_register
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that stand earlier in the corpus, and each text without them."""
