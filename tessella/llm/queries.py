@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, graph_index, jaccard, langid, lines, mixing, token_files
+from tessella.llm import decontaminate, graph_index, jaccard, langid, lines, mixing, secrets, token_files
 from tessella.session import table
 
 QUERIES: dict = {}
@@ -62,6 +62,14 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_index.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+@_register
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of known forms, and runs that pass the randomness tests, in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.sha2(secrets.joined("base"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 @_register
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that stand earlier in the corpus, and each text without them."""
