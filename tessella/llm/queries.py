@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, graph_index, jaccard, langid, lines, mixing, secrets, token_files
+from tessella.llm import chat, decontaminate, graph_index, jaccard, langid, lines, mixing, secrets, token_files
 from tessella.session import table
 
 QUERIES: dict = {}
@@ -84,12 +84,38 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+@_register
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that speaks the template's own control strings, formatted and read back."""
+    own = spark.sql("select -1L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(given.unionByName(own))
+
+
 @_register
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard 0.9 or more: set sizes and components of all documents."""
     return jaccard.groups(table(spark, sf_dir, "documents"), size=3, threshold=0.9)
 
 
+#: formatted_chars follows from the template: 13 code points around a user's text, 7 around an assistant's, 15 around a
+#: system's, 17 around another role's name and text, and one for each backslash or control string in them.
+ORACLES["op7_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]', role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+e AS (
+  SELECT *, len(regexp_extract_all(text, '\\|<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]')) AS more,
+    len(regexp_extract_all(role, '\\|<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]')) AS named FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(text) + more + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 17 + length(role) + named END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 ORACLES["op8_ngram_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
