@@ -8,7 +8,6 @@ neighbours in some item; only these can hold a window, and only these are stream
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -158,7 +157,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = "doc_id long, n_words long, items array<long>, runs array<struct<first: long, last: long, start: long, end: long>>, longest long"
+_FOUND = "doc_id long, tie long, n_words long, items array<long>, runs array<struct<first: long, last: long, start: long, end: long>>, longest long"
 _RUN = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "last", "start", "end")]))
 
 
@@ -191,7 +190,7 @@ def _scan(automaton):
                     items.append(sorted(held))
                     runs.append(where)
                     longest.append(most)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(runs, _RUN), pa.array(longest, pa.int64())], names=["doc_id", "n_words", "items", "runs", "longest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(runs, _RUN), pa.array(longest, pa.int64())], names=["doc_id", "tie", "n_words", "items", "runs", "longest"])
 
     return run
 
@@ -206,8 +205,13 @@ def _automata(benchmark: DataFrame, window: int):
         yield Automaton(sorted((r.item_id, item_words(r.text)) for r in own.toLocalIterator()), window)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, n_words, items (with windows in the text, sorted), runs, longest, for every row of docs.
+    """doc_id, tie (a hash of the text), n_words, items (with windows in the text, sorted), runs, longest, for every row of docs.
 
     runs: maximal runs of words inside windows, as word numbers (first, last exclusive) and
     code points (start, end exclusive). A window is `window` consecutive words of an item; a
@@ -215,17 +219,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     items without words or item_id have no windows; rows sharing an item_id are one item.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs)
     parts = [texts.mapInArrow(_scan(spark.sparkContext.broadcast(a)), _FOUND) for a in _automata(benchmark, window)]
     if len(parts) == 1:
         return parts[0]
-    # Several passes: number the rows by what they hold, and merge what each pass found.
-    every = parts[0].select("doc_id", "n_words", F.lit(0).alias("pass"), "items", "runs", "longest")
+    # Several passes: merge what each pass found in a text.
+    columns = ("doc_id", "tie", "n_words", "items", "runs", "longest")
+    every = parts[0].select(F.lit(0).alias("pass"), *columns)
     for k, part in enumerate(parts[1:], 1):
-        every = every.unionByName(part.where("size(runs) > 0").select("doc_id", "n_words", F.lit(k).alias("pass"), "items", "runs", "longest"))
+        every = every.unionByName(part.where("size(runs) > 0").select(F.lit(k).alias("pass"), *columns))
     every = materialise(every, "passes")
-    extra = every.where("pass > 0 and doc_id is not null").groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("items")).alias("i"), F.flatten(F.collect_list("runs")).alias("r"), F.max("longest").alias("l"))
-    met = every.where("pass = 0").join(extra.withColumnRenamed("doc_id", "d").withColumnRenamed("n_words", "n"), F.expr("doc_id = d and n_words = n"), "left")
+    # rows that repeat find the same in each pass, so one of them speaks for all
+    extra = every.where("pass > 0").dropDuplicates(["pass", "doc_id", "tie"])
+    extra = extra.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.flatten(F.collect_list("items")).alias("i"), F.flatten(F.collect_list("runs")).alias("r"), F.max("longest").alias("l"))
+    met = every.where("pass = 0").join(extra, F.expr("doc_id <=> d and tie = t"), "left")
     both = F.array_sort(F.concat("runs", F.coalesce("r", F.expr("cast(array() as array<struct<first: bigint, last: bigint, start: bigint, end: bigint>>)"))))
     whole = F.aggregate(
         both,
@@ -246,29 +253,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
         ).otherwise(F.concat(acc, F.array(x))),
     )
     items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.expr("cast(array() as array<bigint>)")))))
-    return met.select("doc_id", "n_words", items.alias("items"), whole.alias("runs"), F.greatest("longest", F.coalesce("l", F.lit(0))).alias("longest"))
+    return met.select("doc_id", "tie", "n_words", items.alias("items"), whole.alias("runs"), F.greatest("longest", F.coalesce("l", F.lit(0))).alias("longest"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, runs, longest, contaminated: hit words times coverage reach the words of the text."""
+    """doc_id, tie, n_words, n_hit, n_items, items, runs, longest, contaminated: hit words times coverage reach the words of the text."""
     found = scan(docs, benchmark, window)
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
     found = found.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words")))
 
 
-def _digest_items(items: list[int] | None) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items or ()))).encode()).hexdigest()
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20) -> DataFrame:
     """The documents that are not contaminated, all columns and texts as they were.
 
-    Rows that share a doc_id go together if one of them is contaminated; rows without one stay
-    only if they are not looked up, that is always.
+    Each row is judged by its own text; null texts have no words and stay. All rows stay if the benchmark is empty.
     """
-    bad = report(docs, benchmark, window, coverage).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    bad = report(docs, benchmark, window, coverage).where("contaminated").select(F.col("doc_id").alias("d"), F.col("tie").alias("t")).distinct()
+    rows = docs.select(F.expr("struct(*)").alias("row"))
+    return rows.join(bad, F.expr("cast(row.doc_id as bigint) <=> d and xxhash64(cast(row.text as string)) = t"), "left_anti").select("row.*")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +288,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, longest: int = 13, coverage: int = 20) -> DataFrame:
     """doc_id, text, removed: texts without runs of at least `longest` hit words, or without any run where the coverage rule holds."""
-    found = report(docs, benchmark, window, coverage).select(
-        F.col("doc_id").alias("d"), F.when(F.col("contaminated"), F.col("runs")).otherwise(F.filter("runs", lambda x: x["last"] - x["first"] >= longest)).alias("removed")
-    )
-    met = docs.join(found.where("size(removed) > 0"), F.col("doc_id") == F.col("d"), "left")
+    removed = F.when(F.col("contaminated"), F.col("runs")).otherwise(F.filter("runs", lambda x: x["last"] - x["first"] >= longest))
+    found = report(docs, benchmark, window, coverage).select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), removed.alias("removed"))
+    met = _texts(docs).join(found.where("size(removed) > 0").distinct(), F.expr("doc_id <=> d and tie = t"), "left")
     kind = "array<struct<first: long, last: long, start: long, end: long>>"
-    return met.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "removed").mapInArrow(_cut, f"doc_id long, text string, removed {kind}")
+    return met.select("doc_id", "text", "removed").mapInArrow(_cut, f"doc_id long, text string, removed {kind}")

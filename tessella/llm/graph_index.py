@@ -167,7 +167,7 @@ class Graph:
         score = np.full((len(q), view), -np.inf, np.float32)
         done = np.zeros((len(q), view), bool)
         seen = np.zeros((len(q), n), bool)
-        mark = np.zeros((len(q), n), np.int16)
+        mark = np.zeros((len(q), n + 1), np.int16)
         nodes[:, 0] = self._descend(q, light)
         score[:, 0] = np.einsum("qd,qd->q", light[nodes[:, 0]], q)
         seen[rows[:, 0], nodes[:, 0]] = True
@@ -181,9 +181,9 @@ class Graph:
             at = np.where(valid, nodes[live[:, None], step], 0)
             near = np.where(valid[:, :, None], self.lowest[at], -1).reshape(len(live), -1)
             fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            near = np.where(fresh, near, 0)
+            near = np.where(fresh, near, n)
             place = np.broadcast_to(np.arange(1, near.shape[1] + 1, dtype=np.int16), near.shape)
-            mark[live[:, None], near] = np.where(fresh, place, 0)  # of a node named twice, one place stays
+            mark[live[:, None], near] = place  # of a node named twice, one place stays
             fresh &= mark[live[:, None], near] == place
             r, c = np.nonzero(fresh)
             seen[live[r], near[r, c]] = True

@@ -307,5 +307,5 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
 def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents with the smallest doc_id of their group, all columns kept; of rows that share a doc_id one stays, and every row without a doc_id."""
     keep = groups(docs, size, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = docs.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    first = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(docs.where("doc_id is null"))

@@ -149,6 +149,6 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, all columns kept."""
     copies = mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("n_"), F.col("copies").alias("c_")).distinct()
-    sized = docs.withColumn("w_", words(F.col("text")))
-    met = sized.join(copies, F.expr("cast(doc_id as bigint) <=> d_ and cast(source as string) <=> s_ and w_ = n_"))
-    return met.withColumn("e_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c_")))).select(*docs.columns)
+    sized = docs.select(F.expr("struct(*)").alias("row"), words(F.col("text")).alias("w_"))
+    met = sized.join(copies, F.expr("cast(row.doc_id as bigint) <=> d_ and cast(row.source as string) <=> s_ and w_ = n_"))
+    return met.withColumn("e_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c_")))).select("row.*")

@@ -200,15 +200,22 @@ class _Expression:
         return self.compared()
 
     def compared(self) -> Any:
-        out = self.summed()
+        out = self.joined()
         while self.peek("mark", "==", "!=", "<", ">", "<=", ">=") or self.peek("name", "in"):
             self.at += 1
-            out = Call(self.tokens[self.at - 1][1], (out, self.summed()))
+            out = Call(self.tokens[self.at - 1][1], (out, self.joined()))
+        return out
+
+    def joined(self) -> Any:
+        out = self.summed()
+        while self.peek("mark", "~"):
+            self.at += 1
+            out = Call("~", (out, self.summed()))
         return out
 
     def summed(self) -> Any:
         out = self.product()
-        while self.peek("mark", "+", "-", "~"):
+        while self.peek("mark", "+", "-"):
             self.at += 1
             out = Call(self.tokens[self.at - 1][1], (out, self.product()))
         return out
