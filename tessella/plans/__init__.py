@@ -1 +1,3 @@
+"""Queries over the given tables. Importing the package registers them."""
 
+from tessella.plans import markup_queries, number_queries, report_queries  # noqa: F401
