@@ -26,6 +26,7 @@ SPACED = _table({*_WHITE})
 SPACED[0] = ord("A")
 
 _LOOK = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOOK2 = np.random.Generator(np.random.PCG64(20250311)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -95,6 +96,17 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each piece of the bytes, which stand as they are."""
+    up, down = powers(len(data) + 1)
+    out = []
+    for look in (_LOOK, _LOOK2):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(look[data] * up[: len(data)], out=sums[1:])
+        out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    return out[0], out[1]
+
+
 def each_text(column: pa.Array, lut: np.ndarray):
     """(number of the text in the column, hashes of its words) for each text, in order."""
     data, offsets = utf8(column)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.llm import kernels
 from tessella.session import materialise, shared_path
 
 _MAGIC = b"TESSEF01"
@@ -88,47 +89,136 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
-class _Encoder(dict):
-    """Ids of a piece of text, as bytes; the pieces repeat, so each is encoded once.
+#: How the byte-level pattern takes a text apart, and the character that stands for each byte.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+class _Encoder:
+    """Ids of texts; the pieces that texts are made of repeat, so each is encoded once and then known by two hashes.
 
     A run of white space that follows another character begins a token of the byte-level pattern,
     and so does the character after a lone line break. So the ids of a text are those of its
-    words with the blank before them, and of its line breaks, put together, unless white space
-    is left at the end of a piece; such a text is encoded whole.
+    words with the blank before them, of the marks after them, and of its line breaks, put together, unless white space
+    is left at the end of a piece, or two of them meet; such a text is encoded whole. A new piece
+    is taken apart by the pattern, and the model gives the ids of its parts.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, kind: str, most: int = 1_000_000) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.most = kind, most
+        self.model, self.find = self.tokenizer.model, regex.compile(_PATTERN).findall
+        self.kind, self.most = np.dtype(kind), most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.kind)
+        self.parts: dict[str, list[int]] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece != "\n" and piece[-1].isspace():
-            raise ValueError("the text can't be taken apart here")
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = out = self.whole(piece)
+    def _piece(self, piece: str) -> list[int] | None:
+        """A piece's ids; none if texts with it can't be taken apart."""
+        if piece == "\n":
+            return [x.id for x in self.model.tokenize(_BYTES[10])]
+        if piece[-1].isspace() or piece[:2].isspace():
+            return None
+        out: list[int] = []
+        for part in [piece] if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else self.find(piece):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.parts[part] = [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]
+            out += ids
         return out
 
-    def text(self, text: str) -> bytes:
-        if "\0" in text:
-            return self.whole(text)
-        try:
-            return b"".join(map(self.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
-        except ValueError:
-            return self.whole(text)
+    def _learn(self, pieces: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
+        if len(self.keys) + len(pieces) > self.most:
+            self._forget()
+        got = [self._piece(x) for x in pieces]
+        count = np.array([-1 if x is None else len(x) for x in got], np.int32)
+        flat = np.array([i for x in got if x for i in x], self.kind)
+        first = len(self.ids) + np.concatenate(([0], np.cumsum(np.maximum(count, 0))[:-1]))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
+        self.ids = np.concatenate((self.ids, flat))
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column; nulls are empty."""
+        data, offsets = kernels.utf8(column)
+        for i, j in kernels.slices(offsets, 2 << 20):
+            yield from self._slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        if not len(data):
+            yield from [b""] * (len(offsets) - 1)
+            return
+        line = data == 10
+        begins = line | (data == 32)
+        begins[1:] |= line[:-1] | _LETTER[data[:-1]] & _MARK[data[1:]]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        keys, checks = kernels.piece_hashes(data, starts, ends)
+        distinct, example, place = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            if len(self.keys) + len(new) > self.most:
+                self._forget()
+                new = np.arange(len(distinct))
+            raw, where = data.tobytes(), example[new]
+            pieces = [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            self._learn(pieces, distinct[new], checks[where])
+            at = np.searchsorted(self.keys, distinct)
+        at = at[place]
+        count = self.count[at].astype(np.int64)
+        twice = np.zeros(len(starts), bool)
+        twice[:-1] = line[starts[:-1]] & line[starts[1:]]
+        cut = np.searchsorted(starts, offsets)
+        inner = cut[1:-1][(cut[1:-1] > 0) & (cut[1:-1] < len(starts))]
+        twice[inner - 1] = False  # line breaks of two texts do not meet
+        bad = (count < 0) | twice | (self.checks[at] != checks)
+        bad_before = np.concatenate(([0], np.cumsum(bad)))
+        count[bad] = 0
+        stop = np.concatenate(([0], np.cumsum(count)))
+        ids = self.ids[np.repeat(self.first[at] - stop[:-1], count) + np.arange(stop[-1])].tobytes()
+        width = self.kind.itemsize
+        for k in range(len(offsets) - 1):
+            a, b = cut[k], cut[k + 1]
+            if bad_before[a] != bad_before[b]:
+                yield self.whole(data[offsets[k] : offsets[k + 1]].tobytes().decode())
+            else:
+                yield ids[stop[a] * width : stop[b] * width]
+
+
+_encoders: dict[tuple[str, str], _Encoder] = {}
+
+
+def _encoder(path: str, kind: str) -> _Encoder:
+    """A worker's encoder, which its later tasks use too."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = _Encoder(path, kind)
+    return _encoders[path, kind]
 
 
 def _write(folder: str, tokenizer: str, end_id: int, width: int):
     kind = "<u2" if width == 2 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(tokenizer, kind)
+        encoder = _encoder(tokenizer, kind)
         store, root = open_folder(folder)
         store.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
@@ -138,8 +228,8 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
         ends, ids, total = [], [], 0
         with store.open_output_stream(attempt) as out:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    got = encoder.text(text.as_py() or "") + end
+                for doc_id, got in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1)), strict=True):
+                    got += end
                     out.write(got)
                     total += len(got) // width
                     ends.append(total)

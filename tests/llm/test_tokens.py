@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,7 +68,9 @@ def test_space():
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.text(alphabet=" \n\t'sabZ9é—日 !", max_size=40))
-def test_pieces_give_the_ids_of_the_whole(text):
-    encoder = token_files._Encoder(TOKENIZER, "<u4")
-    assert encoder.text(text) == encoder.whole(text)
+@given(st.lists(st.text(alphabet=" \n\t'sabZ9é—日 !\0\xa0<|>", max_size=40), max_size=6))
+def test_pieces_give_the_ids_of_the_whole(texts):
+    encoder = token_files._encoder(TOKENIZER, "<u4")
+    for most in (10, 1_000_000):
+        encoder.most = most
+        assert list(encoder.texts(pa.array(texts, pa.string()))) == list(map(encoder.whole, texts))
