@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.text import trim
+
 MESSAGES = "issue string, user string, stamp timestamp, text string"
 #: A message that begins so is still being written.
 IN_PROGRESS = "(?i)^\\s*in progress"
@@ -12,7 +14,7 @@ IN_PROGRESS = "(?i)^\\s*in progress"
 
 def stamped(messages: DataFrame, separator: str = "____") -> DataFrame:
     """issue, user, stamp, segment: the text above the separator; messages in progress, blank ones and nulls are left out."""
-    above = F.trim(F.split_part("text", F.lit(separator), F.lit(1)))
+    above = trim(F.split_part("text", F.lit(separator), F.lit(1)))
     rows = messages.where(F.col("issue").isNotNull() & ~F.col("text").rlike(IN_PROGRESS))
     return rows.select("issue", "user", "stamp", above.alias("segment")).where("segment <> ''")
 
@@ -33,6 +35,7 @@ def exchange(spark: SparkSession, inbox: str, store: str, checkpoint: str, **tri
 
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """start, kind, n, value: events in tumbling windows, late ones up to the watermark. Works on streams and tables alike."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if events.isStreaming else rows
     counted = rows.groupBy(F.window(time, width).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
     return counted.select(F.col("w.start").alias("start"), "kind", "n", "value")
