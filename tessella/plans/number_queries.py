@@ -177,7 +177,7 @@ def polygon_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "array_functions",
-    "WITH c AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS a FROM orders GROUP BY 1) SELECT o_custkey, a[1] AS first, a[-1] AS last, len(a) AS n, len(list_filter(a, lambda v: v < 500)) AS less, len(list_filter(a, lambda v: v > 500)) AS greater, coalesce(list_position(a, a[2]), 0) AS place, len(a) >= 2 AS holds FROM c",
+    "WITH c AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS a FROM orders GROUP BY 1) SELECT o_custkey, a[1] AS first, a[-1] AS last, len(a) AS n, len(list_filter(a, lambda v: v < 500)) AS less, len(list_filter(a, lambda v: v > 500)) AS greater, CAST(coalesce(list_position(a, a[2]), 0) AS BIGINT) AS place, len(a) >= 2 AS holds FROM c",
 )
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("a")
