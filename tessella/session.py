@@ -50,9 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete what this application has written to the shared folder. Results that were not saved elsewhere can't be read afterwards."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
