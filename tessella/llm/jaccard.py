@@ -17,6 +17,7 @@ segment that differs holds at least one difference.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
@@ -27,17 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import kernels
-from tessella.llm.components import components
+from tessella.operators.graph import components
 from tessella.session import materialise
 
-#: Tolerance beyond what the pigeonhole needs, so that a few empty segments do no harm.
-SPARE = 1
+#: Standard deviations by which a plan's tolerance exceeds the differences, so that empty segments rarely do harm.
+DEVIATIONS = 5
+#: How likely unrelated sets share a shingle, and the cost of a chance match, in digests.
+SHARED, PAIR_COST = 0.1, 200
 #: Rounds in which a digest's smallest member meets the others, before all meet in blocks.
 STARS = 2
 #: Members of a digest in one block, on average.
 BLOCK = 1024
 #: Sizes in one band: the largest is about this many times the smallest.
-BAND = 1.25
+BAND = 1.6
+#: Documents of which all tasks are told at most (8 bytes each).
+TOLD = 1_000_000
 
 
 @lru_cache(maxsize=4096)
@@ -50,29 +55,57 @@ def band_end(k: int, threshold: Fraction) -> int:
     return max(least, int(low * BAND) + 1)
 
 
+def most_differ(n: int, threshold: Fraction) -> int:
+    """In how many shingles a set of n and a linked one of at least n can differ."""
+    return int((1 - threshold) / threshold * n)
+
+
 @lru_cache(maxsize=4096)
 def plan(k: int, threshold: Fraction) -> tuple[int, int]:
     """Numbers of plain segments and of segments with neighbourhoods for pairs from band k up.
 
-    The smaller set of a pair is in band k and the larger one in band k or k + 1. Cost of a
-    choice: digests written for a set, plus the matches expected by chance, taking a shingle
-    to be shared by unrelated sets with probability 0.5.
+    The smaller set of a pair is in band k and the larger one in band k or k + 1. What a set of
+    the band tolerates must exceed the differences by DEVIATIONS standard deviations, as hashing
+    leaves some segments empty. Cost of a choice: digests written for a set, plus the matches
+    expected by chance, at PAIR_COST each, if unrelated sets share a shingle with probability SHARED.
     """
-    most = band_end(k, threshold) - 1
-    differ = int((1 - threshold) / threshold * most)  # of sets of sizes r <= r / threshold
-    if differ == 0:
-        return 1, 0
-    need = differ + 1 + SPARE
+    sizes = (band_end(k - 1, threshold), band_end(k, threshold) - 1)
+    if most_differ(sizes[1], threshold) == 0:
+        return 0, 0
+
+    def enough(plain: int, double: int) -> bool:
+        m = plain + double
+        for n in sizes:
+            held = n / m
+            none, one = math.exp(-held), held * math.exp(-held)
+            tolerated = plain * (1 - none) + double * (2 - 2 * none - one)
+            spread = math.sqrt(plain * none * (1 - none) + double * (4 * none + one - (2 * none + one) ** 2))
+            if tolerated - DEVIATIONS * spread < most_differ(n, threshold) + 1:
+                return False
+        return True
+
     best = None
-    for double in range(need // 2 + 1):
-        plain = need - 2 * double
-        held = most / max(1, plain + double)
-        digests = plain + double * (1 + held)
-        chance = 0.5**held * (plain + double * (1 + held))
-        cost = digests + 200 * chance
+    most = sizes[1]
+    top = most_differ(most, threshold) + 1
+    for double in range(0, top // 2 + 2, max(1, top // 40)):
+        low, high = (0 if double else 1), 4 * top + 40
+        if not enough(high, double):
+            continue
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if enough(middle, double) else (middle + 1, high)
+        held = most / (low + double)
+        digests = low + double * (1 + held)
+        chance = digests * (math.exp(-held * (1 - SHARED)) - math.exp(-held))
+        cost = digests + PAIR_COST * chance
         if best is None or cost < best[0]:
-            best = (cost, plain, double)
-    return best[1], best[2]
+            best = (cost, low, double)
+    return best[1:] if best else (top + most, 0)
+
+
+@lru_cache(maxsize=4096)
+def _edges(m: int) -> np.ndarray:
+    return np.array([(j << 64) // m for j in range(1, m)], dtype=np.uint64)
 
 
 def bands_of(n: int, threshold: Fraction) -> list[int]:
@@ -84,8 +117,16 @@ def bands_of(n: int, threshold: Fraction) -> list[int]:
     return [k - 1, k] if below else [k]
 
 
+_bands_of = lru_cache(maxsize=1 << 16)(bands_of)
+
+
 def digests(hashes: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """The segment digests of a set of sorted distinct hashes."""
+    """The segment digests of a set of sorted distinct hashes.
+
+    A pair is missed by its segments only if each plain one that isn't empty differs, and each of
+    the others in as many shingles as it tolerates and one more; then neither set tolerates more
+    than the pair's differences. Such sets, which are rare, write a digest that they all share.
+    """
     n = len(hashes)
     if not n:
         return np.zeros(0, np.uint64)
@@ -93,22 +134,24 @@ def digests(hashes: np.ndarray, threshold: Fraction) -> np.ndarray:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(strong, out=sums[1:])
     out = []
-    for k in bands_of(n, threshold):
+    for k in _bands_of(n, threshold):
         plain, double = plan(k, threshold)
         m = plain + double
-        edge = np.array([(j << 64) // m for j in range(1, m)], dtype=np.uint64)
-        cut = np.concatenate(([0], np.searchsorted(hashes, edge), [n]))
+        if not m:
+            continue  # only equal sets are linked
+        cut = np.concatenate(([0], np.searchsorted(hashes, _edges(m)), [n]))
         total, held = sums[cut[1:]] - sums[cut[:-1]], np.diff(cut)
         salt = kernels.mix(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 32))
-        thin = held < np.where(np.arange(m) < plain, 1, 2)
-        keep = ~thin
-        if m > 1 and thin.any() and np.where(np.arange(m) < plain, 1, 2)[thin].sum() > SPARE:
-            keep[:] = True  # rare: then thin segments count too
-        out.append(kernels.mix(total + salt)[keep])
-        for j in range(plain, m):
-            if keep[j]:
-                out.append(kernels.mix(total[j] - strong[cut[j] : cut[j + 1]] + salt[j]))
-    return np.unique(np.concatenate(out))
+        out.append(kernels.mix(total + salt)[held > 0])
+        if double:
+            first = cut[plain]
+            segment = np.repeat(np.arange(plain, m), held[plain:])
+            fewer = kernels.mix(total[segment] - strong[first:] + salt[segment])
+            out.append(fewer[held[segment] > 1])
+        tolerates = np.minimum(held[:plain], 1).sum() + np.minimum(held[plain:], 2).sum()
+        if tolerates <= min(most_differ(n, threshold), most_differ(band_end(k, threshold) - 1, threshold)):
+            out.append(kernels.mix(np.array([(k + 1) << 32 | 0xFFFFFFFF], np.uint64)))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -127,30 +170,82 @@ def _fold(rows: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.uint8) for x in rows])
 
 
-_BASE_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch binary, keys array<long>"
+_BASE_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch binary"
+_KEYS_SCHEMA = "r long, digest binary, keys array<long>"
+
+
+def _name(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _describe(size: int, threshold: Fraction):
+def _describe(size: int):
+    """Size, digest and sketch of each row's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first in range(0, len(ids), 2000):
-                part = batch.column(1).slice(first, 2000)
-                counts, names, fine, keys = [], [], [], []
-                for _, words in kernels.each_text(part, kernels.SPACED):
+            counts, names, fine = [], [], []
+            for _, words in kernels.each_text(batch.column(1), kernels.SPACED):
+                hashes = kernels.shingles(words, size)
+                counts.append(len(hashes))
+                names.append(_name(hashes))
+                fine.append(sketch(hashes))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketch"])
+
+    return run
+
+
+def _keys(size: int, threshold: Fraction):
+    """The segment digests of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 2000):
+                part = batch.slice(first, 2000)
+                names, keys = [], []
+                for _, words in kernels.each_text(part.column(1), kernels.SPACED):
                     hashes = kernels.shingles(words, size)
-                    counts.append(len(hashes))
-                    names.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-                    fine.append(sketch(hashes))
+                    names.append(_name(hashes))
                     keys.append(digests(hashes, threshold).view(np.int64))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                columns = [ids.slice(first, 2000), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["r", "digest", "keys"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, r, low of rows sorted by (key, r), for keys with several different r; low is the smallest of them.
+
+    Of a key only its first r and what came last are kept from one batch to the next.
+    """
+    key = low = last = None
+    alone = True  # whether the key's first r is still to be written
+    for batch in batches:
+        keys, rs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(keys):
+            continue
+        new = np.concatenate(([keys[0] != key or key is None], keys[1:] != keys[:-1]))
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1 + (not new[0])
+        firsts = np.concatenate((np.zeros(0, np.int64) if new[0] else np.array([low]), rs[starts]))
+        lows = firsts[group]
+        before = np.concatenate(([rs[0] if new[0] else last], rs[:-1]))
+        more = ~new & (rs != before) & (rs != lows)
+        shared = np.zeros(len(firsts), bool)
+        shared[group[more]] = True
+        write_first = np.flatnonzero(shared)
+        if len(write_first) and not new[0] and not alone and write_first[0] == 0:
+            write_first = write_first[1:]
+        names = np.concatenate((np.zeros(0, np.int64) if new[0] else np.array([key]), keys[starts]))
+        out = [np.concatenate((names[write_first], keys[more])), np.concatenate((firsts[write_first], rs[more])), np.concatenate((firsts[write_first], lows[more]))]
+        continues = group[-1] == 0 and not new[0]
+        alone = not shared[-1] and (alone or not continues)
+        key, low, last = names[-1], firsts[-1], rs[-1]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "r", "low"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The groups of rows sorted by (key, i, j), as dicts of arrays; a group may span batches."""
     held: list[pa.RecordBatch] = []
@@ -225,8 +320,12 @@ def _verify(size: int, threshold: Fraction):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are linked."""
+    """Those of the pairs (a, b) whose texts are linked. Only the texts of documents in a pair are moved, if these are few enough to tell all tasks."""
+    pairs = materialise(pairs, "pairs")
+    named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
+    named = F.broadcast(named) if named.count() <= TOLD else named
     texts = docs.select("doc_id", "text").where("doc_id is not null")
+    texts = texts.join(named, F.col("doc_id") == F.col("id"), "left_semi")
     left = pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("doc_id")).select("a", "b", "text_a")
     full = left.join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("doc_id")).select("a", "b", "text_a", "text_b")
     return full.mapInArrow(_verify(size, threshold), "a long, b long")
@@ -264,16 +363,18 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> tuple[Dat
     which links with nothing; a null doc_id links with nothing. Other columns are ignored.
     """
     limit = Fraction(threshold).limit_denominator(10_000)
-    base = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(size, limit), _BASE_SCHEMA), "shingles")
-    heads = base.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("representative"))
-    heads = materialise(heads, "heads")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    base = materialise(texts.mapInArrow(_describe(size), _BASE_SCHEMA), "shingles")
+    sets = base.where("n_shingles > 0 and doc_id is not null")
+    heads = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("representative")), "heads")
     named = heads.withColumnRenamed("digest", "d")
-    members = base.where("n_shingles > 0 and doc_id is not null").join(named, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("representative")), "left_semi")
-    exploded = members.select(F.col("doc_id").alias("r"), F.explode("keys").alias("key"))
-    grouped = materialise(exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).where("low < high"), "keys")
-    busy = grouped.where("n > 2").select(F.col("key").alias("k"), F.col("low"))
-    crowd = materialise(exploded.join(busy, F.col("key") == F.col("k")).select("key", "r", "low"), "crowd")
-    pairs = grouped.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).union(crowd.where("r > low").select(F.col("r").alias("a"), F.col("low").alias("b"))).distinct()
+    copies = sets.join(named, F.col("digest") == F.col("d")).where("doc_id <> representative").select(F.col("doc_id").alias("c"), "d")
+    copies = materialise(copies.distinct(), "copies")  # Spark tells all tasks about them if they are few
+    keyed = texts.where("doc_id is not null").mapInArrow(_keys(size, limit), _KEYS_SCHEMA)
+    members = keyed.join(copies, (F.col("r") == F.col("c")) & (F.col("digest") == F.col("d")), "left_anti")
+    exploded = members.select(F.explode("keys").alias("key"), "r")
+    crowd = materialise(exploded.repartition("key").sortWithinPartitions("key", "r").mapInArrow(_shared, "key long, r long, low long"), "crowd")
+    pairs = crowd.where("r > low").select(F.col("r").alias("a"), F.col("low").alias("b")).distinct()
     links = materialise(verified(pairs, docs, size, limit), "linked")
     rest = crowd.where("r > low").select("key", "r")
     for turn in range(STARS + 1):

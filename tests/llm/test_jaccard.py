@@ -1,6 +1,8 @@
 import random
 import re
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from tessella.llm import jaccard, queries
@@ -77,3 +79,22 @@ def test_empty_table(no_docs):
 
 def test_query(spark, sf_dir, documents):
     assert got(queries.QUERIES["op8_ngram_jaccard_join"](spark, sf_dir)) == brute([(i, t) for i, t, *_ in documents[1]], 3, 90, 100)
+
+
+@pytest.mark.parametrize("threshold", [Fraction(1, 2), Fraction(4, 5), Fraction(9, 10)])
+def test_linked_sets_share_a_digest(threshold):
+    """The pigeonhole itself: whatever differs, a pair that reaches the threshold has a key in common."""
+    r = np.random.default_rng(9)
+    near = 0
+    for _ in range(1500):
+        n = int(r.integers(1, 160))
+        pool = np.unique(r.integers(0, 2**63, 3 * n + 9, dtype=np.uint64) * np.uint64(2))
+        r.shuffle(pool)
+        drop, more = (int(r.integers(0, 1 + int(n * (1 - threshold)))) for _ in range(2))
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[drop:n], pool[n : n + more])))
+        both = n - drop
+        if both and Fraction(both, n + more) >= threshold:
+            near += 1
+            shared = np.intersect1d(jaccard.digests(a, threshold), jaccard.digests(b, threshold))
+            assert len(shared) or np.array_equal(a, b)
+    assert near > 200
