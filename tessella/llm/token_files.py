@@ -124,29 +124,29 @@ class _Encoder:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.kind)
-        self.parts: dict[str, list[int]] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _piece(self, piece: str) -> list[int] | None:
-        """A piece's ids; none if texts with it can't be taken apart."""
+    def _piece(self, piece: str, known: dict[str, list[int]]) -> list[int] | None:
+        """A piece's ids, by way of the ids of its parts; none if texts with it can't be taken apart."""
         if piece == "\n":
             return [x.id for x in self.model.tokenize(_BYTES[10])]
         if piece[-1].isspace() or piece[:2].isspace():
             return None
         out: list[int] = []
         for part in [piece] if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else self.find(piece):
-            ids = self.parts.get(part)
+            ids = known.get(part)
             if ids is None:
-                ids = self.parts[part] = [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]
+                ids = known[part] = [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]
             out += ids
         return out
 
     def _learn(self, pieces: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
         if len(self.keys) + len(pieces) > self.most:
             self._forget()
-        got = [self._piece(x) for x in pieces]
+        known: dict[str, list[int]] = {}
+        got = [self._piece(x, known) for x in pieces]
         count = np.array([-1 if x is None else len(x) for x in got], np.int32)
         flat = np.array([i for x in got if x for i in x], self.kind)
         first = len(self.ids) + np.concatenate(([0], np.cumsum(np.maximum(count, 0))[:-1]))
