@@ -10,8 +10,8 @@ segment's digest are candidates; the texts of candidate pairs are then compared
 
 Where many sets share a digest, they first meet that digest's smallest member, as in a star;
 members that this connects need no further comparison. The rest meet in blocks of bounded size,
-where the same pigeonhole, with finer segments of one byte each, rules out most pairs: each
-segment that differs holds at least one difference.
+where bit sketches rule out most pairs: first only as many of the others are compared as could
+connect all, and at the end all that are still apart.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ DEVIATIONS = 5
 #: How likely unrelated sets share a shingle, and the cost of a chance match, in digests.
 SHARED, PAIR_COST = 0.1, 200
 #: Rounds in which a digest's smallest member meets the others, before all meet in blocks.
-STARS = 2
+STARS = 1
 #: Members of a digest in one block, on average.
 BLOCK = 1024
 #: Sizes in one band: the largest is about this many times the smallest.
@@ -155,19 +155,16 @@ def digests(hashes: np.ndarray, threshold: Fraction) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """The low bytes of the segments' sums, for a power of two of segments: about one for two shingles."""
-    n = len(hashes)
-    m = 1 << max(0, n.bit_length() - 2)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(kernels.mix(hashes), out=sums[1:])
-    cut = np.searchsorted(hashes, np.arange(1, m, dtype=np.uint64) << np.uint64(64 - m.bit_length() + 1)) if m > 1 else np.zeros(0, np.int64)
-    return np.diff(sums[np.concatenate(([0], cut, [n]))]).astype(np.uint8).tobytes()
+    """Whether each of about six bits a shingle is hit an odd number of times: a shingle that one of two sets lacks changes one bit, so the bits that differ are no more than the shingles."""
+    m = 1 << max(3, len(hashes).bit_length() + 2)
+    at = (kernels.mix(hashes) & np.uint64(m - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def _fold(rows: list[bytes]) -> np.ndarray:
-    """Sketches as rows of equal width: neighbouring segments of longer ones are added up."""
+    """Sketches as rows of equal width: the halves of longer ones are combined."""
     width = min(map(len, rows))
-    return np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.uint8) for x in rows])
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in rows])
 
 
 _BASE_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch binary"
@@ -260,8 +257,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield pa.Table.from_batches(held)
 
 
-def _meet(threshold: Fraction):
-    """Pairs of a block that the sketches can't rule out."""
+def _meet(threshold: Fraction, forest: bool):
+    """Pairs of a block that the sketches can't rule out: all of them, or a forest of them that connects what they connect."""
     up, down = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,13 +267,21 @@ def _meet(threshold: Fraction):
             if rows["i"][0].as_py() == rows["j"][0].as_py():
                 side = np.full(len(r), 2)
             fine = _fold(rows["sketch"].to_pylist())
+            tree = part.copy()
             a, b = [], []
             for k in np.flatnonzero(side != 1):
-                other = (part != part[k]) & (side != 0) & (n[k] * down >= up * n) & (n * down >= up * n[k])
-                other &= (r < r[k]) | (side == 1)
+                other = (tree != tree[k]) & (side != 0) & (n[k] * down >= up * n) & (n * down >= up * n[k])
+                if not forest:
+                    other &= (r < r[k]) | (side == 1)
                 at = np.flatnonzero(other)
-                differ = (fine[at] != fine[k]).sum(axis=1)
-                at = at[differ <= (n[at] + n[k]) * (down - up) // (down + up)]
+                differ = np.bitwise_count(fine[at] ^ fine[k]).sum(axis=1, dtype=np.int64)
+                near = differ <= (n[at] + n[k]) * (down - up) // (down + up)
+                at, differ = at[near], differ[near]
+                if forest and len(at):
+                    at = at[np.argsort(differ, kind="stable")]
+                    trees, first = np.unique(tree[at], return_index=True)
+                    at = at[first]
+                    tree[np.isin(tree, trees)] = tree[k]
                 a += [r[k]] * len(at)
                 b += r[at].tolist()
             if a:
@@ -338,7 +343,7 @@ def _unconnected(rest: DataFrame, parts: DataFrame) -> DataFrame:
     return materialise(at.join(split.select(F.col("key").alias("k"), "low", "n"), F.col("key") == F.col("k")).select("key", "r", "part", "low", "n"), "rest")
 
 
-def _in_blocks(rest: DataFrame, base: DataFrame, threshold: Fraction) -> DataFrame:
+def _in_blocks(rest: DataFrame, base: DataFrame, threshold: Fraction, forest: bool) -> DataFrame:
     """Pairs (a, b) of members of a digest in different components that the sketches can't rule out.
 
     The members of a digest are dealt into blocks of about BLOCK, and each pair of blocks meets in
@@ -349,7 +354,7 @@ def _in_blocks(rest: DataFrame, base: DataFrame, threshold: Fraction) -> DataFra
     met = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") <= F.col("o"), 0).otherwise(1).alias("side"), "r", "part", "n_shingles", "sketch"
     )
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(threshold), "a long, b long").distinct()
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(threshold, forest), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -377,7 +382,7 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> tuple[Dat
     pairs = crowd.where("r > low").select(F.col("r").alias("a"), F.col("low").alias("b")).distinct()
     links = materialise(verified(pairs, docs, size, limit), "linked")
     rest = crowd.where("r > low").select("key", "r")
-    for turn in range(STARS + 1):
+    for turn in range(STARS + 2):
         rest = _unconnected(rest, components(links))
         if rest.limit(1).count() == 0:
             break
@@ -385,9 +390,10 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> tuple[Dat
             centre = rest.where("r = low").select(F.col("key").alias("k"), F.col("part").alias("o"))
             pairs = rest.where("r > low").join(centre, F.col("key") == F.col("k")).where("part <> o").select(F.col("r").alias("a"), F.col("low").alias("b")).distinct()
         else:
-            pairs = _in_blocks(rest, base, limit)
+            pairs = _in_blocks(rest, base, limit, forest=turn == STARS)
         links = links.union(materialise(verified(pairs, docs, size, limit), "linked"))
-        rest = rest.where("r > low").select("key", "r")
+        # a star has compared its centre with all others
+        rest = (rest.where("r > low") if turn < STARS else rest).select("key", "r")
     documents = base.join(named, F.col("digest") == F.col("d"), "left").select("doc_id", "n_shingles", "digest", F.when(F.col("doc_id").isNotNull(), F.col("representative")).alias("representative"))
     return documents, links
 
