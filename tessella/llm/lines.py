@@ -142,12 +142,12 @@ def _cut_runs(least_words: int):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, least_words: int = 30) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """doc_id, n_units, n_removed, removed, kept: each text without passages that stand earlier.
 
     Units are sentences and lines, compared by their lowered words. Occurrences rank by (doc_id,
-    start); the earliest of a unit stays. A run of neighbouring units that are all later
-    occurrences goes if it has at least least_words words, so that short common sentences stay.
+    start); the earliest of a unit stays, and every later one goes, however short. A larger
+    least_words spares runs of neighbouring later occurrences that have fewer words together.
     removed holds the original offsets (code points, end exclusive) of what went. A null text is
     empty; rows without a doc_id neither lose anything nor count; rows that share a doc_id and a
     text rank alike and both keep a unit's first occurrence.

@@ -75,6 +75,30 @@ def test_passage_query(spark, sf_dir, documents):
         assert (r.n_units, r.kept_sha256, r.removed_spans) == (n, hashlib.sha256(kept.encode()).hexdigest(), ",".join(f"{a}:{b}" for a, b in cut))
 
 
+def test_nothing_repeated_survives_beside_an_edit(spark):
+    """An edit cuts a passage into short runs; a short unit follows a partly shared sentence."""
+    unit = lambda letter, n: " ".join(f"{letter}{k}" for k in range(n)) + "."
+    a, b, c, d, long = (unit(x, n) for x, n in (("a", 13), ("b", 13), ("c", 13), ("d", 13), ("e", 40)))
+    first = " ".join([a, b, unit("x", 5), c, d, long, "Short end."])
+    edited = " ".join([a, b, unit("y", 5), c, d])
+    partly = " ".join(["Other " + long, "Short end.", a])
+    rows = [(1, first), (2, edited), (3, partly)]
+    found = {r.doc_id: r for r in lines.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.n_removed for i, r in found.items()} == {1: 0, 2: 4, 3: 2}
+    assert [[edited[x.start : x.end].strip() for x in found[2].removed], found[2].kept.strip()] == [[f"{a} {b}", f"{c} {d}"], unit("y", 5)]
+    assert [found[1].kept, found[3].kept.strip()] == [first, "Other " + long]
+    runs = lambda text: {tuple(w[k : k + 51]) for w in [text.split()] for k in range(len(w) - 50)}
+    assert not runs(found[3].kept) & runs(first) and not runs(found[2].kept) & runs(first)
+
+
+def test_passage_query_leaves_no_later_occurrence(spark, sf_dir, documents):
+    found = queries.QUERIES["op5_substring_dedup"](spark, sf_dir).collect()
+    want = {x[0]: x for x in map(eval, passages(documents[1], 1))}
+    for r in found:
+        _, n, kept, cut = want[r.doc_id]
+        assert (r.n_units, r.kept_sha256, r.removed_spans) == (n, hashlib.sha256(kept.encode()).hexdigest(), ",".join(f"{a}:{b}" for a, b in cut))
+
+
 def test_empty_tables(no_docs):
     assert lines.drop_repeated_lines(no_docs).collect() == []
     assert lines.remove_repeated_passages(no_docs).collect() == []
