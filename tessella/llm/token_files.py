@@ -106,7 +106,8 @@ class _Encoder:
     A run of white space that follows another character begins a token of the byte-level pattern,
     and so does the character after a lone line break. So the ids of a text are those of its
     words with the blank before them, of the marks after them, and of its line breaks, put together, unless white space
-    is left at the end of a piece, or two of them meet; such a text is encoded whole. A new piece
+    is left at the end of a piece, or two of them meet; such a text is encoded whole, and so is one
+    that holds the content of an added token, which the model does not know. A new piece
     is taken apart by the pattern, and the model gives the ids of its parts.
     """
 
@@ -115,7 +116,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.find = self.tokenizer.model, regex.compile(_PATTERN).findall
         self.kind, self.most = np.dtype(kind), most
         self._forget()
@@ -128,6 +129,18 @@ class _Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _with_added(self, raw: bytes, offsets: np.ndarray) -> set[int]:
+        """The places of the texts that hold an added token's content."""
+        found = set()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(content) <= offsets[k + 1]:  # else it begins in one text and ends in another
+                    found.add(k)
+                at = raw.find(content, at + 1)
+        return found
+
     def _piece(self, piece: str, known: dict[str, list[int]]) -> list[int] | None:
         """A piece's ids, by way of the ids of its parts; none if texts with it can't be taken apart."""
         if piece == "\n":
@@ -165,6 +178,8 @@ class _Encoder:
         if not len(data):
             yield from [b""] * (len(offsets) - 1)
             return
+        raw = data.tobytes()
+        added = self._with_added(raw, offsets)
         line = data == 10
         begins = line | (data == 32)
         begins[1:] |= line[:-1] | _LETTER[data[:-1]] & _MARK[data[1:]]
@@ -179,7 +194,7 @@ class _Encoder:
             if len(self.keys) + len(new) > self.most:
                 self._forget()
                 new = np.arange(len(distinct))
-            raw, where = data.tobytes(), example[new]
+            where = example[new]
             pieces = [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
             self._learn(pieces, distinct[new], checks[where])
             at = np.searchsorted(self.keys, distinct)
@@ -198,8 +213,8 @@ class _Encoder:
         width = self.kind.itemsize
         for k in range(len(offsets) - 1):
             a, b = cut[k], cut[k + 1]
-            if bad_before[a] != bad_before[b]:
-                yield self.whole(data[offsets[k] : offsets[k + 1]].tobytes().decode())
+            if bad_before[a] != bad_before[b] or k in added:
+                yield self.whole(raw[offsets[k] : offsets[k + 1]].decode())
             else:
                 yield ids[stop[a] * width : stop[b] * width]
 

@@ -74,3 +74,17 @@ def test_pieces_give_the_ids_of_the_whole(texts):
     for most in (10, 1_000_000):
         encoder.most = most
         assert list(encoder.texts(pa.array(texts, pa.string()))) == list(map(encoder.whole, texts))
+
+
+def test_added_tokens_as_the_tokenizer_has_them(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    encode = lambda text: plain.encode(text, add_special_tokens=False).ids
+    assert encode("ab <|endoftext|> c") == [397, 220, 50256, 269]
+    rows = [(1, "one two"), (2, "ab <|endoftext|> c"), (3, "x <|endof"), (4, "text|> y"), (5, ""), (6, "<|endoftext|><|endoftext|>\n"), (7, "é<|endoftext|>"), (8, "one two")]
+    encoder = token_files._Encoder(TOKENIZER, "<u4")
+    for _ in range(2):  # new pieces, then known ones
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.texts(pa.array([t for _, t in rows]))] == [encode(t) for _, t in rows]
+    found = token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == brute(rows, encode)
