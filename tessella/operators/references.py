@@ -88,6 +88,12 @@ def lineage(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("target").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct("source").alias("n"))
 
 
+def shared_targets(pairs: DataFrame) -> DataFrame:
+    """target, source, n of the (source, target) pairs whose target n > 1 sources have. Targets are counted and joined back, so that no target's sources are gathered."""
+    rows = pairs.select("target", "source").distinct()
+    return rows.join(rows.groupBy("target").agg(F.count("source").alias("n")).where("n > 1"), "target")
+
+
 def collisions(wanted: DataFrame, name: str) -> DataFrame:
     """The rows whose name another row wants too."""
     return wanted.withColumn("n", F.count("*").over(W.partitionBy(name))).where("n > 1")

@@ -126,10 +126,9 @@ def reference_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT reference AS target, array_to_string(list_sort(list(DISTINCT page_id)), ',') AS sources, count(DISTINCT page_id) AS n FROM ({_LINKS}) GROUP BY reference HAVING count(DISTINCT page_id) BETWEEN 2 AND 5",
 )
 def link_targets_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that two to five pages share, with the pages."""
+    """Links that several pages share, a row for each of the pages, and how many pages they are."""
     links = facts.references(pages(spark, sf_dir), "page_id", "html").select(F.col("file").alias("source"), F.col("reference").alias("target"))
-    found = references.lineage(links).where("n between 2 and 5")
-    return found.select("target", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), "n")
+    return references.shared_targets(links)
 
 
 @register(
