@@ -13,3 +13,10 @@ def test_targets_of_many_pages_stay(spark, tmp_path):
     rows = [(i, "u", html("/all", "/all", *(["/two"] if i < 2 else []), f"/own{i}")) for i in range(9)]
     found = run(spark, tmp_path, "link_targets_lineage", "pages", rows, "page_id long, url string, html string")
     assert sorted((r.target, r.source, r.n) for r in found) == [*(("/all", i, 9) for i in range(9)), ("/two", 0, 2), ("/two", 1, 2)]
+
+
+def test_roots_of_all_parts(spark, tmp_path):
+    keys = [0, 5, 1999, 2000, 2025, 20_005]
+    found = run(spark, tmp_path, "modular_roots", "part", [(k,) for k in keys], "p_partkey long")
+    roots = lambda k, m: ",".join(str(r) for r in range(m) if (r * r - k) % m == 0)
+    assert sorted(map(tuple, found)) == [(k, roots(k, 101), roots(k, 143)) for k in keys]
