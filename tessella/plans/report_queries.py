@@ -303,11 +303,9 @@ _CASE = "CASE " + " ".join(f"WHEN s = '{a}' AND c = '{b}' THEN '{t}'" for (a, b)
     SELECT user_id, s AS state, coalesce(s = 'bought', false) AS accepted FROM r WHERE k = 4""",
 )
 def accepted_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state after each user's first four events, and whether it is a final one."""
-    first = sequences.examples(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")], 3)
-    symbols = F.transform(F.sort_array(F.collect_list(F.struct("place", "event_type"))), lambda x: x["event_type"])
-    rows = first.groupBy("user_id").agg(symbols.alias("symbols")).where(F.size("symbols") == 4)
-    return rows.select("user_id", acceptance.end_state(F.col("symbols"), STEPS, "new").alias("state"), acceptance.accepted(F.col("symbols"), STEPS, "new", ["bought"]).alias("accepted"))
+    """The state after all of each user's events, and whether it is a final one."""
+    ended = acceptance.end_states(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", STEPS, "new")
+    return ended.withColumn("accepted", F.coalesce(F.col("state") == "bought", F.lit(False)))
 
 
 @register("windowed_events", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")

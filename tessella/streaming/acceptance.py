@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,6 +23,23 @@ def accepted(symbols: Column, transitions: Transitions, start: str, final: list[
     return F.coalesce(end_state(symbols, transitions, start).isin(*final), F.lit(False))
 
 
+def end_states(rows: DataFrame, key: str, order: list[str], symbol: str, transitions: Transitions, start: str, chunk: int = 1000) -> DataFrame:
+    """key, state: the state after all symbols of a key in their order; null once a symbol isn't expected.
+
+    A key's symbols are cut into chunks, and a chunk is reduced to the states it leads to from
+    each state, so that no more than chunk symbols, or the maps of one key's chunks, are gathered.
+    """
+    states = sorted({start} | {x for (s, _), t in transitions.items() for x in (s, t)})
+    place = F.create_map(*(F.lit(x) for k, s in enumerate(states) for x in (s, k)))
+    numbered = rows.select(key, F.col(symbol).alias("c"), F.row_number().over(W.partitionBy(key).orderBy(*order)).alias("k"))
+    symbols = F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"])
+    chunks = numbered.groupBy(key, F.expr(f"(k - 1) div {chunk}").alias("part")).agg(symbols.alias("symbols"))
+    leads = chunks.select(key, "part", F.array(*(end_state(F.col("symbols"), transitions, s) for s in states)).alias("to"))
+    maps = F.transform(F.sort_array(F.collect_list(F.struct("part", "to"))), lambda x: x["to"])
+    joined = leads.groupBy(key).agg(maps.alias("maps"))
+    return joined.select(key, F.aggregate("maps", F.lit(start), lambda s, m: F.get(m, F.try_element_at(place, s))).alias("state"))
+
+
 def expected(transitions: Transitions, state: str) -> list[str]:
     """The symbols that may follow, sorted."""
     return sorted({c for s, c in transitions if s == state})

@@ -20,3 +20,22 @@ def test_roots_of_all_parts(spark, tmp_path):
     found = run(spark, tmp_path, "modular_roots", "part", [(k,) for k in keys], "p_partkey long")
     roots = lambda k, m: ",".join(str(r) for r in range(m) if (r * r - k) % m == 0)
     assert sorted(map(tuple, found)) == [(k, roots(k, 101), roots(k, 143)) for k in keys]
+
+
+def test_whole_sequences_are_judged(spark, tmp_path):
+    from tessella.plans.report_queries import STEPS
+    from tessella.streaming import acceptance
+
+    kinds = {1: "signup view click purchase error", 2: "signup", 3: "view signup purchase", 4: "click", 5: "signup" + " view" * 2500 + " purchase", 6: "signup" + " view" * 998 + " purchase error" + " view" * 1500}
+    rows = [(k, u, c) for u, x in kinds.items() for k, c in enumerate(x.split())]
+    want = []
+    for u, x in kinds.items():
+        state = "new"
+        for c in x.split():
+            state = STEPS.get((state, c))
+        want.append((u, state, state == "bought"))
+    stamped = [(k, f"2024-01-01 00:{k // 60:02}:{k % 60:02}", u, c) for k, u, c in rows]
+    found = run(spark, tmp_path, "accepted_sequences", "events", stamped, "event_id long, ts string, user_id long, event_type string")
+    assert sorted(map(tuple, found)) == want
+    events = spark.createDataFrame(rows, "k long, u long, c string")
+    assert sorted(map(tuple, acceptance.end_states(events, "u", ["k"], "c", STEPS, "new", 2).collect())) == [x[:2] for x in want]
