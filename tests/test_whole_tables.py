@@ -39,3 +39,9 @@ def test_whole_sequences_are_judged(spark, tmp_path):
     assert sorted(map(tuple, found)) == want
     events = spark.createDataFrame(rows, "k long, u long, c string")
     assert sorted(map(tuple, acceptance.end_states(events, "u", ["k"], "c", STEPS, "new", 2).collect())) == [x[:2] for x in want]
+
+
+def test_rule_statistics_of_all_orders(spark, tmp_path):
+    rows = [(0, 7, 10.0, "a"), (1, 9, 20.0, "a"), (2, 3, 1.0, "b"), (3, 5, 499_001.0, "b"), (5, 1, 499_002.0, "b")]
+    found = run(spark, tmp_path, "rule_statistics", "orders", rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string")
+    assert sorted((r.rule, r.passes, r.furthest) for r in found) == [("a", 0, 9), ("b", 2, -1)]
