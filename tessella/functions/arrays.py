@@ -55,3 +55,23 @@ def span(inner: Column, outer: Column) -> Column:
 
 def has_subsequence(inner: Column, outer: Column) -> Column:
     return span(inner, outer).isNotNull()
+
+
+def least_span(inner: Column, outer: Column) -> Column:
+    """The least span of inner from any start in outer: in its order, else reversed, else in any order; null if outer lacks some of it.
+
+    From a start, the arrangement of inner that is met first is the one of the shortest stretch
+    that holds every element as often as inner does, so arrangements need not be made.
+    """
+    held = F.transform(
+        F.array_distinct(inner),
+        lambda w: F.struct(F.filter(F.transform(outer, lambda x, k: F.when(x == w, k + 1)), lambda p: p.isNotNull()).alias("at"), F.size(F.filter(inner, lambda x: x == w)).alias("n")),
+    )
+
+    def score(start: Column) -> Column:
+        rest = F.slice(outer, start, F.size(outer))
+        ends = F.transform(held, lambda h: F.get(F.filter(h["at"], lambda p: p >= start), h["n"] - 1))
+        return F.coalesce(span(inner, rest), span(F.reverse(inner), rest), F.when(F.forall(ends, lambda p: p.isNotNull()), F.array_max(ends) - start + 1 - F.size(inner)))
+
+    scores = F.transform(F.sequence(F.lit(1), F.size(outer)), score)
+    return F.when((F.size(outer) > 0) & (F.size(F.array_except(inner, outer)) == 0), F.array_min(scores))

@@ -332,11 +332,11 @@ def issue_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, CAST(gap AS INT) AS gap, md5(text) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY gap, size, text) AS k FROM m) WHERE k = 1""",
 )
 def best_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer of each conversation that holds the first word of its first question soonest; ties to the shorter answer."""
+    """The answer of each conversation that holds all words of its first question with the fewest others between; ties to the shorter answer."""
     rows = table(spark, sf_dir, "conversations")
     clean = lambda c: F.filter(T.words(F.col(c)), lambda w: w != "")
-    asked = rows.where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("x")).select("conv_id", F.slice(clean("x.text"), 1, 1).alias("q"))
+    asked = rows.where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("x")).select("conv_id", clean("x.text").alias("q"))
     answers = rows.where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"), clean("text").alias("a"))
-    scored = asked.join(answers, "conv_id").withColumn("gap", arrays.span(F.col("q"), F.col("a"))).where("gap is not null")
+    scored = asked.join(answers, "conv_id").withColumn("gap", arrays.least_span(F.col("q"), F.col("a"))).where("gap is not null")
     best = groups.argmin(scored.select("conv_id", "gap", F.length("answer").alias("size"), "answer"), "conv_id", "gap", "size", "answer")
     return best.select("conv_id", "gap", F.md5("answer").alias("answer"))

@@ -45,3 +45,40 @@ def test_rule_statistics_of_all_orders(spark, tmp_path):
     rows = [(0, 7, 10.0, "a"), (1, 9, 20.0, "a"), (2, 3, 1.0, "b"), (3, 5, 499_001.0, "b"), (5, 1, 499_002.0, "b")]
     found = run(spark, tmp_path, "rule_statistics", "orders", rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string")
     assert sorted((r.rule, r.passes, r.furthest) for r in found) == [("a", 0, 9), ("b", 2, -1)]
+
+
+def test_best_answer_asks_for_the_whole_question(spark, tmp_path):
+    import hashlib
+    import random
+    from itertools import permutations
+
+    def span(q, a):
+        met = passed = 0
+        for x in a:
+            if met == len(q):
+                break
+            if x == q[met]:
+                met += 1
+            else:
+                passed += 1
+        return passed if met == len(q) else None
+
+    def scores(q, a):
+        for i in range(len(a)):
+            tries = [span(q, a[i:]), span(q[::-1], a[i:])]
+            fixed = [x for x in tries if x is not None][:1]
+            yield from fixed or [x for p in permutations(q) if (x := span(p, a[i:])) is not None]
+
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("abcde") for _ in range(n))
+    rows = [(1, 0, "user", "one two"), (1, 1, "assistant", "one"), (1, 2, "assistant", "one x x two, one y two"), (2, 0, "user", "one two"), (2, 1, "assistant", "one alone"), (3, 0, "user", "One two three"), (3, 1, "assistant", "two one x three")]
+    for k in range(4, 60):
+        rows += [(k, 0, "user", text(r.randint(1, 4))), *((k, j, "assistant", text(r.randint(1, 9))) for j in (1, 3)), (k, 2, "user", "z")]
+    best = {}
+    for k, _, role, a in rows:
+        q = next(t for c, _, _, t in rows if c == k).lower().split()
+        for gap in scores(q, a.lower().replace(",", " ").split()) if role == "assistant" else ():
+            best[k] = min(best.get(k, (gap, len(a), a)), (gap, len(a), a))
+    assert best[1][0] == 1 and 2 not in best and best[3][0] == 1
+    found = run(spark, tmp_path, "best_answer", "conversations", rows, "conv_id long, turn long, role string, text string")
+    assert sorted((x.conv_id, x.gap, x.answer) for x in found) == sorted((k, g, hashlib.md5(a.encode()).hexdigest()) for k, (g, _, a) in best.items())
