@@ -319,9 +319,9 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT issue, count(*) AS n, md5(string_agg(user_id || ': ' || segment, chr(10) || '____' || chr(10) ORDER BY ts DESC, CAST(user_id AS VARCHAR) DESC, segment DESC)) AS text FROM (SELECT DISTINCT * FROM s) GROUP BY 1""",
 )
 def issue_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large events of each type as segments, assembled newest first."""
-    rows = table(spark, sf_dir, "events").where("value > 40").select(F.col("event_type").alias("issue"), F.col("user_id").cast("string").alias("user"), F.col("ts").alias("stamp"), F.col("props").alias("text"))
-    return segments.assembled(segments.stamped(rows)).select("issue", "n", F.md5("text").alias("text"))
+    """All events of each type as segments, newest first: a row for each, with its place."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("issue"), F.col("user_id").cast("string").alias("user"), F.col("ts").alias("stamp"), F.col("props").alias("text"))
+    return segments.placed(segments.stamped(rows)).select("issue", "n", "place", F.concat("user", F.lit(": "), "segment").alias("text"))
 
 
 @register(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import trim
+from tessella.session import materialise
 
 MESSAGES = "issue string, user string, stamp timestamp, text string"
 #: A message that begins so is still being written.
@@ -25,6 +27,24 @@ def assembled(segments: DataFrame, separator: str = "____") -> DataFrame:
     return rows.select("issue", "n", F.array_join(F.transform("s", lambda x: F.concat(x["user"], F.lit(": "), x["segment"])), f"\n{separator}\n").alias("text"))
 
 
+def placed(segments: DataFrame) -> DataFrame:
+    """issue, n, place, stamp, user, segment: the order of assembled() as rows, for issues of any size; places count from 1.
+
+    Ranges of the whole order become partitions; a segment's place is its place in its range after
+    the issue's segments in the ranges before, so no issue is gathered in one task.
+    """
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    newest = [F.desc("stamp"), F.desc("user"), F.desc("segment")]
+    ranges = segments.select("issue", "stamp", "user", "segment").distinct().repartitionByRange(parts, "issue", *newest)
+    rows = materialise(ranges.withColumn("part", F.spark_partition_id()), "segments")
+    held = rows.groupBy("issue", "part").agg(F.count("*").alias("m"))
+    every = W.partitionBy("issue")
+    before = F.coalesce(F.sum("m").over(every.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.select("issue", "part", F.sum("m").over(every).alias("n"), before.alias("before"))
+    own = rows.withColumn("k", F.row_number().over(W.partitionBy("issue", "part").orderBy(*newest)))
+    return own.join(held, ["issue", "part"]).select("issue", "n", (F.col("k") + F.col("before")).alias("place"), "stamp", "user", "segment")
+
+
 def exchange(spark: SparkSession, inbox: str, store: str, checkpoint: str, **trigger) -> None:
     """Append what has arrived in the inbox (JSON files) to the store. By default it takes what is there and ends; processingTime='5 seconds' goes on."""
     arrived = spark.readStream.schema(MESSAGES).json(inbox)

@@ -82,3 +82,15 @@ def test_best_answer_asks_for_the_whole_question(spark, tmp_path):
     assert best[1][0] == 1 and 2 not in best and best[3][0] == 1
     found = run(spark, tmp_path, "best_answer", "conversations", rows, "conv_id long, turn long, role string, text string")
     assert sorted((x.conv_id, x.gap, x.answer) for x in found) == sorted((k, g, hashlib.md5(a.encode()).hexdigest()) for k, (g, _, a) in best.items())
+
+
+def test_issues_hold_all_events(spark, tmp_path):
+    rows = [(k, f"2024-01-01 00:{k % 7:02}:00", k % 12, "ab"[k % 5 == 0], float(k), f" p{k % 3} ") for k in range(200)]
+    rows += [(200, "2024-01-01 00:00:00", 1, "a", 90.0, "In progress"), (201, "2024-01-01 00:00:00", 1, "a", 90.0, None)]
+    schema = "event_id long, ts string, user_id long, event_type string, value double, props string"
+    found = run(spark, tmp_path, "issue_history", "events", rows, schema)
+    want = []
+    for issue in "ab":
+        held = sorted({(ts, str(u), p.strip()) for _, ts, u, e, _, p in rows[:200] if e == issue}, reverse=True)
+        want += [(issue, len(held), k, f"{u}: {p}") for k, (_, u, p) in enumerate(held, 1)]
+    assert sorted(map(tuple, found)) == want
