@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is spark.checkpoint.dir where the cluster names one; where that is unset, as in
-    tests, a folder in the warehouse is made the checkpoint folder.
+    It is spark.checkpoint.dir where the cluster names one. Where that is unset, a session on one
+    machine, as in tests, gets a folder in the warehouse; on a cluster that would be a disk which
+    other machines don't see, so it is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     folder = f"{warehouse}/_shared"
     if not spark.sparkContext.getCheckpointDir():
@@ -61,7 +65,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def clear(spark: SparkSession) -> bool:
     """Delete what this application has written to the shared folder. Results that were not saved elsewhere can't be read afterwards."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return _delete(spark, _own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
@@ -73,11 +81,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out, lambda _, k=id(out): _written.pop(k, None)), path)
+    return out
+
+
+#: Where the tables that materialise has returned are, by their identity.
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what materialise has written for these tables; nothing that isn't written yet may depend on them."""
+    for df in tables:
+        kept = _written.pop(id(df), None)
+        if kept:
+            _delete(df.sparkSession, kept[1])
+
+
+#: Bytes of a batch that goes to a Python worker; the number of rows alone does not bound it.
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this library where it is not installed (the same path on every machine)."""
+    """Let Python workers find this library where it is not installed (the same path on every machine), and bound what they are handed at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(":"):
