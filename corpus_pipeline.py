@@ -15,26 +15,31 @@ from tessella.session import materialise, ship, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, and mixtures without a main language, go."""
+    ship(spark)
     return langid.spoken(docs, least=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of 5-word shingles, the one with the smallest doc_id stays."""
+    ship(spark)
     return jaccard.one_of_each(docs, size=5, threshold=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words inside 13-word windows of benchmark items go."""
+    ship(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), window=13, coverage=20)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    ship(spark)
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files of token ids."""
+    ship(spark)
     return token_files.round_trip(docs, tokenizer_file())
 
 

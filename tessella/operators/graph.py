@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialise
+from tessella.session import derived, materialise, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -20,18 +20,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     both = materialise(pairs.select("x", "y").union(pairs.select("y", "x")).distinct(), "links")
     label = materialise(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "label")
+    known = label
     for _ in range(most_rounds):
         heard = both.join(label, F.col("x") == F.col("node")).groupBy(F.col("y").alias("to")).agg(F.min("label").alias("heard"))
         near = label.join(heard, F.col("node") == F.col("to"), "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         jump = label.select(F.col("node").alias("at"), F.col("label").alias("further"))
         far = near.join(jump, F.col("label") == F.col("at"), "left").select("node", "was", F.least("label", "further").alias("label"))
-        far = materialise(far, "label")
-        label = far.select("node", "label")
+        last, far = known, materialise(far, "label")
+        release(last)
+        known, label = far, far.select("node", "label")
         if far.where("label <> was").limit(1).count() == 0:
             break
     else:
         raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
-    return label.select("node", F.col("label").alias("component"))
+    release(both)
+    return derived(label.select("node", F.col("label").alias("component")), known)
 
 
 def closure(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:

@@ -90,6 +90,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 _written: dict[int, tuple[weakref.ref, str]] = {}
 
 
+def derived(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, whose release from now on deletes what materialise has written for table."""
+    _, path = _written.pop(id(table))
+    _written[id(df)] = (weakref.ref(df, lambda _, k=id(df): _written.pop(k, None)), path)
+    return df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what materialise has written for these tables; nothing that isn't written yet may depend on them."""
     for df in tables:
