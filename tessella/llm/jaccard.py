@@ -8,10 +8,16 @@ none), or subsets that differ by one shingle (a segment with its one-deletion ne
 Each band takes the mixture of both kinds that a cost model finds cheapest. Sets that share a
 segment's digest are candidates; the texts of candidate pairs are then compared exactly.
 
-Where many sets share a digest, they first meet that digest's smallest member, as in a star;
-members that this connects need no further comparison. The rest meet in blocks of bounded size,
-where bit sketches rule out most pairs: first only as many of the others are compared as could
-connect all, and at the end all that are still apart.
+Texts are read once for all digests. Rows of digests are sorted in ranges, so that a digest
+which a large part of all sets share lies in several tasks; each finds the digest's smallest
+member in its own range, and what the ranges' borders share meets once more.
+
+Where many sets share a digest, they first meet one member, its centre, as in a star; digests
+whose members this connects need no further comparison. Of the others, only the members outside
+the digest's largest component are left to compare, with all of it: first with that component's
+smallest member, then in blocks of bounded size, where bit sketches rule out most pairs. In the
+first turn only as many pairs are compared as could connect all, and at the end all that are
+still apart.
 """
 
 from __future__ import annotations
@@ -29,16 +35,16 @@ from pyspark.sql import functions as F
 
 from tessella.llm import kernels
 from tessella.operators.graph import components
-from tessella.session import materialise
+from tessella.session import materialise, release
 
 #: Standard deviations by which a plan's tolerance exceeds the differences, so that empty segments rarely do harm.
 DEVIATIONS = 5
 #: How likely unrelated sets share a shingle, and the cost of a chance match, in digests.
 SHARED, PAIR_COST = 0.1, 200
-#: Rounds in which a digest's smallest member meets the others, before all meet in blocks.
+#: Further rounds in which one member of a digest meets the others, before they meet in blocks.
 STARS = 1
 #: Members of a digest in one block, on average.
-BLOCK = 1024
+BLOCK = 2048
 #: Sizes in one band: the largest is about this many times the smallest.
 BAND = 1.6
 #: Documents of which all tasks are told at most (8 bytes each).
@@ -155,8 +161,8 @@ def digests(hashes: np.ndarray, threshold: Fraction) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Whether each of about six bits a shingle is hit an odd number of times: a shingle that one of two sets lacks changes one bit, so the bits that differ are no more than the shingles."""
-    m = 1 << max(3, len(hashes).bit_length() + 2)
+    """Whether each of about six bits a shingle, 512 at least, is hit an odd number of times: a shingle that one of two sets lacks changes one bit, so the bits that differ are no more than the shingles."""
+    m = 1 << max(9, len(hashes).bit_length() + 2)
     at = (kernels.mix(hashes) & np.uint64(m - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -167,56 +173,85 @@ def _fold(rows: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in rows])
 
 
-_BASE_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch binary"
-_KEYS_SCHEMA = "r long, digest binary, keys array<long>"
-
-
-def _name(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def _most_bits(n, threshold: Fraction):
+    """In how many bits the sketches of linked sets can differ that have n shingles together."""
+    up, down = threshold.numerator, threshold.denominator
+    return n * (down - up) // (down + up)
 
 
-def _describe(size: int):
-    """Size, digest and sketch of each row's set."""
+def _allowed(threshold: Fraction):
+    """r, low, a, b, near: whether sizes and sketches of a and b allow a link."""
+    up, down = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, names, fine = [], [], []
-            for _, words in kernels.each_text(batch.column(1), kernels.SPACED):
-                hashes = kernels.shingles(words, size)
-                counts.append(len(hashes))
-                names.append(_name(hashes))
-                fine.append(sketch(hashes))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(fine, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketch"])
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            near = (n * down >= up * m) & (m * down >= up * n)
+            most = _most_bits(n + m, threshold)
+            x, y = batch.column("sketch_a"), batch.column("sketch_b")
+            for k in np.flatnonzero(near):
+                fine = _fold([x[k].as_py(), y[k].as_py()])
+                near[k] = np.bitwise_count(fine[0] ^ fine[1]).sum(dtype=np.int64) <= most[k]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("r", "low", "a", "b")), pa.array(near)], names=["r", "low", "a", "b", "near"])
 
     return run
 
 
-def _keys(size: int, threshold: Fraction):
-    """The segment digests of each row's set."""
+def _compared(pairs: DataFrame, heads: DataFrame, by: str, threshold: Fraction) -> DataFrame:
+    """r, low, a, b, near for pairs (r, low) of sets known by a column of heads; a and b are their representatives."""
+    side = lambda k, x: heads.select(F.col(by).alias(k), F.col("representative").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    met = pairs.join(side("x", "a"), F.col("r") == F.col("x")).join(side("y", "b").hint("merge"), F.col("low") == F.col("y")).where("a <> b")
+    return met.select("r", "low", "a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allowed(threshold), "r long, low long, a long, b long, near boolean")
+
+
+_SETS_SCHEMA = "doc_id long, tie long, n_shingles long, digest binary, name long, sketch binary, keys array<long>"
+#: Sets that a task remembers, so as not to write the digests of equal ones again.
+REMEMBERED = 1 << 20
+
+
+def _name(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _describe(size: int, threshold: Fraction):
+    """Size, digest, name (the digest's first half) and sketch of each row's set; its segment digests where the task meets the set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            for first in range(0, len(batch), 2000):
-                part = batch.slice(first, 2000)
-                names, keys = [], []
-                for _, words in kernels.each_text(part.column(1), kernels.SPACED):
-                    hashes = kernels.shingles(words, size)
-                    names.append(_name(hashes))
-                    keys.append(digests(hashes, threshold).view(np.int64))
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["r", "digest", "keys"])
+            ids = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            counts, names, fine, keys = [], [], [], []
+            for k, words in kernels.each_text(batch.column(1), kernels.SPACED):
+                hashes = kernels.shingles(words, size)
+                name = _name(hashes)
+                counts.append(len(hashes))
+                names.append(name)
+                fine.append(sketch(hashes))
+                if not ids[k] or name in seen:
+                    keys.append(none)
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(name)
+                keys.append(digests(hashes, threshold).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else none
+            short = np.frombuffer(b"".join(x[:8] for x in names), "<i8")
+            columns = [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(short, pa.int64()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "n_shingles", "digest", "name", "sketch", "keys"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, r, low of rows sorted by (key, r), for keys with several different r; low is the smallest of them.
+    """key, r, low, border of rows sorted by (key, r), for keys with several different r; low is the smallest of them here.
 
-    Of a key only its first r and what came last are kept from one batch to the next.
+    The first and the last key may go on in other tasks, so that a row more names each of them
+    and its low, as border. Of a key only its first r and what came last are kept from one batch
+    to the next.
     """
-    key = low = last = None
+    key = low = last = first = None
     alone = True  # whether the key's first r is still to be written
     for batch in batches:
         keys, rs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -239,12 +274,33 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         continues = group[-1] == 0 and not new[0]
         alone = not shared[-1] and (alone or not continues)
         key, low, last = names[-1], firsts[-1], rs[-1]
+        first = first or (names[0], firsts[0])
         if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "r", "low"])
+            yield _rows(*out, border=False)
+    if first:
+        ends = {first, (key, low)}
+        yield _rows([x for x, _ in ends], [x for _, x in ends], [x for _, x in ends], border=True)
+
 
+def _rows(keys, rs, lows, border: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, rs, lows)), pa.array([border] * len(keys), pa.bool_())], names=["key", "r", "low", "border"])
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The groups of rows sorted by (key, i, j), as dicts of arrays; a group may span batches."""
+
+def _crowd(sets: DataFrame) -> DataFrame:
+    """key, r, low: the names of the sets that share a digest with others, and of the digest's centre."""
+    exploded = sets.select(F.explode("keys").alias("key"), F.col("name").alias("r"))
+    ranges = exploded.repartitionByRange("key", "r").sortWithinPartitions("key", "r")
+    found = materialise(ranges.mapInArrow(_shared, "key long, r long, low long, border boolean"), "shared")
+    ends = found.where("border")
+    # two rows for each range at most, so that all tasks can be told
+    over = ends.groupBy("key").agg(F.min("low").alias("top"), F.max("low").alias("other")).where("top < other").select(F.col("key").alias("k"), "top")
+    met = found.where("not border").join(F.broadcast(over), F.col("key") == F.col("k"), "left").select("key", "r", F.coalesce("top", "low").alias("low"))
+    more = ends.join(F.broadcast(over), F.col("key") == F.col("k")).select("key", "r", F.col("top").alias("low"))
+    return met.union(more)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of rows sorted by (key, i, j); a group may span batches."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         table = pa.Table.from_batches([*held, batch])
@@ -263,19 +319,18 @@ def _meet(threshold: Fraction, forest: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
-            r, part, n, side = (rows[c].to_numpy() for c in ("r", "part", "n_shingles", "side"))
-            if rows["i"][0].as_py() == rows["j"][0].as_py():
-                side = np.full(len(r), 2)
+            r, part, n, away, left = (rows[c].to_numpy() for c in ("r", "part", "n_shingles", "away", "left"))
+            right = left == 0
             fine = _fold(rows["sketch"].to_pylist())
             tree = part.copy()
             a, b = [], []
-            for k in np.flatnonzero(side != 1):
-                other = (tree != tree[k]) & (side != 0) & (n[k] * down >= up * n) & (n * down >= up * n[k])
+            for k in np.flatnonzero(left):
+                other = right & (tree != tree[k]) & (n[k] * down >= up * n) & (n * down >= up * n[k])
                 if not forest:
-                    other &= (r < r[k]) | (side == 1)
+                    other &= (away == 0) | (r < r[k])  # of two members away, each meets the other
                 at = np.flatnonzero(other)
                 differ = np.bitwise_count(fine[at] ^ fine[k]).sum(axis=1, dtype=np.int64)
-                near = differ <= (n[at] + n[k]) * (down - up) // (down + up)
+                near = differ <= _most_bits(n[at] + n[k], threshold)
                 at, differ = at[near], differ[near]
                 if forest and len(at):
                     at = at[np.argsort(differ, kind="stable")]
@@ -305,97 +360,152 @@ def shingle_set(text: str | None, size: int) -> set:
 def _verify(size: int, threshold: Fraction):
     up, down = threshold.numerator, threshold.denominator
 
+    def linked(left: set, right: set) -> bool:
+        if len(left) * down < up * len(right) or len(right) * down < up * len(left):
+            return False
+        both = len(left & right)
+        return bool(left) and down * both >= up * (len(left) + len(right) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, right = None, set()
+        last, right = None, []
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(k) for k in range(4))
+            a, b, texts_a, texts_b = (batch.column(k) for k in range(4))
             keep = []
             for k in range(len(a)):
                 if (name := b[k].as_py()) != last:
-                    last, right = name, shingle_set(text_b[k].as_py(), size)
-                left = shingle_set(text_a[k].as_py(), size)
-                if len(left) * down < up * len(right) or len(right) * down < up * len(left):
-                    continue
-                both = len(left & right)
-                if left and down * both >= up * (len(left) + len(right) - both):
+                    last, right = name, [shingle_set(x, size) for x in texts_b[k].as_py()]
+                left = [shingle_set(x, size) for x in texts_a[k].as_py()]
+                if any(linked(x, y) for x in left for y in right):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int32())), b.take(pa.array(keep, pa.int32()))], names=["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are linked. Only the texts of documents in a pair are moved, if these are few enough to tell all tasks."""
-    pairs = materialise(pairs, "pairs")
+def verified(pairs: DataFrame, docs: DataFrame, repeated: DataFrame, size: int, threshold: Fraction) -> DataFrame:
+    """Those of the written pairs (a, b) whose texts are linked.
+
+    Only the texts of documents in a pair are moved, if these are few enough to tell all tasks.
+    repeated: the doc_ids (id) of several rows, whose different texts are gathered.
+    """
     named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
-    named = F.broadcast(named) if named.count() <= TOLD else named
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
-    texts = texts.join(named, F.col("doc_id") == F.col("id"), "left_semi")
-    left = pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("doc_id")).select("a", "b", "text_a")
-    full = left.join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("doc_id")).select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_verify(size, threshold), "a long, b long")
+    texts = docs.select(F.expr(_ID).alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    texts = texts.join(_told(named), F.col("doc_id") == F.col("id"), "left_semi")
+    many = _told(repeated)
+    several = texts.join(many, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
+    texts = texts.join(many, F.col("doc_id") == F.col("id"), "left_anti").select("doc_id", F.array("text").alias("texts")).union(several)
+    left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("x"), F.col("texts").alias("texts_a")).hint("merge"), F.col("a") == F.col("x")).select("a", "b", "texts_a")
+    full = left.join(texts.select(F.col("doc_id").alias("y"), F.col("texts").alias("texts_b")).hint("merge"), F.col("b") == F.col("y")).select("a", "b", "texts_a", "texts_b")
+    out = materialise(full.mapInArrow(_verify(size, threshold), "a long, b long"), "linked")
+    release(named)
+    return out
+
+
+def _parts_of(rows: DataFrame, parts: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows with the component of the document in a column; one without links is its own."""
+    known = parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return rows.join(known.hint("merge"), F.col(column) == F.col("_n"), "left").withColumn(part, F.coalesce("_c", column)).drop("_n", "_c")
 
 
 def _unconnected(rest: DataFrame, parts: DataFrame) -> DataFrame:
-    """key, r, part, low, n: members of the digests whose members are in different components."""
-    at = rest.join(parts, F.col("r") == F.col("node"), "left").select("key", "r", F.coalesce("component", "r").alias("part"))
-    split = at.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("r").alias("low"), F.count("*").alias("n")).where("p < q")
-    return materialise(at.join(split.select(F.col("key").alias("k"), "low", "n"), F.col("key") == F.col("k")).select("key", "r", "part", "low", "n"), "rest")
+    """key, r, part, home, centre, n, out: members of the digests whose members are in different components.
+
+    home is the component with most of the n members, centre its smallest one; out members are
+    elsewhere. Counts are combined by (key, component) and then by key before they are shuffled.
+    """
+    at = materialise(_parts_of(rest, parts, "r", "part"), "parted")
+    sizes = at.groupBy("key", "part").agg(F.count("*").alias("m"), F.min("r").alias("least"))
+    homes = sizes.groupBy("key").agg(F.max(F.struct("m", (-F.col("part")).alias("part"), "least")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("k")).where("k > 1")
+    homes = homes.select(F.col("key").alias("h"), (-F.col("top.part")).alias("home"), F.col("top.least").alias("centre"), "n", (F.col("n") - F.col("top.m")).alias("out"))
+    out = materialise(at.join(homes.hint("merge"), F.col("key") == F.col("h")).drop("h"), "rest")
+    release(at)
+    return out
 
 
-def _in_blocks(rest: DataFrame, base: DataFrame, threshold: Fraction, forest: bool) -> DataFrame:
+def _in_blocks(rest: DataFrame, heads: DataFrame, threshold: Fraction, forest: bool) -> DataFrame:
     """Pairs (a, b) of members of a digest in different components that the sketches can't rule out.
 
-    The members of a digest are dealt into blocks of about BLOCK, and each pair of blocks meets in
-    a group of its own, so that no group grows with the data.
+    Members away from home are dealt into blocks of about BLOCK, and so are all members; each
+    pair of blocks meets in a group of its own, so that no group grows with the data.
     """
-    known = base.select(F.col("doc_id").alias("d"), "n_shingles", "sketch").where("n_shingles > 0")
-    rows = rest.join(known, F.col("r") == F.col("d")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")))
-    met = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") <= F.col("o"), 0).otherwise(1).alias("side"), "r", "part", "n_shingles", "sketch"
-    )
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(threshold, forest), "a long, b long").distinct()
+    known = heads.select(F.col("representative").alias("d"), "n_shingles", "sketch")
+    away = F.col("part") != F.col("home")
+    rows = rest.join(known, F.col("r") == F.col("d")).select("key", "r", "part", "n_shingles", "sketch", away.cast("int").alias("away"), F.ceil(F.col("out") / BLOCK).alias("across"), F.ceil(F.col("n") / BLOCK).alias("down"))
+    block = lambda of: F.pmod(F.xxhash64("r"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    what = ["r", "part", "n_shingles", "away", "sketch"]
+    left = rows.where("away = 1").select("key", block("across").alias("i"), every("down").alias("j"), F.lit(1).alias("left"), *what)
+    right = rows.select("key", every("across").alias("i"), block("down").alias("j"), F.lit(0).alias("left"), *what)
+    return left.union(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(threshold, forest), "a long, b long").distinct()
+
+
+#: A row's document, and a hash of its text (a null one is not like an empty one).
+_ID, _TIE = "cast(doc_id as bigint)", "xxhash64(text is null, cast(text as string))"
 
 
-def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): the classes of equal sets, and links between their representatives.
+def _told(ids: DataFrame) -> DataFrame:
+    """A written table of ids, as one that all tasks are told if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= TOLD else ids
 
-    documents: doc_id, n_shingles, digest, representative (smallest doc_id with the same set).
-    links: a, b. Enough exact links to connect what is linked: a pair is left out only where
-    other links already connect its ends. Nothing is capped or sampled.
+
+def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, links, parts): the classes of equal sets, links between their representatives, and these' components.
+
+    documents: doc_id, tie (a hash of the text), n_shingles, representative (smallest doc_id with the same set). links: a,
+    b. Enough exact links to connect what is linked: a pair is left out only where other links
+    already connect its ends. Nothing is capped or sampled. parts: node, component, for
+    representatives with links.
 
     Rows that share a doc_id are one node. A null text or one without words has an empty set,
-    which links with nothing; a null doc_id links with nothing. Other columns are ignored.
+    which links with nothing; a null doc_id links with nothing. Other columns are ignored, whatever
+    their names. Tables that are no longer needed are deleted on the way.
     """
+    return _similar(docs, size, threshold)[:3]
+
+
+def _similar(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """What similar returns, and the written tables that documents and links rest on."""
     limit = Fraction(threshold).limit_denominator(10_000)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    base = materialise(texts.mapInArrow(_describe(size), _BASE_SCHEMA), "shingles")
-    sets = base.where("n_shingles > 0 and doc_id is not null")
-    heads = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("representative")), "heads")
-    named = heads.withColumnRenamed("digest", "d")
-    copies = sets.join(named, F.col("digest") == F.col("d")).where("doc_id <> representative").select(F.col("doc_id").alias("c"), "d")
-    copies = materialise(copies.distinct(), "copies")  # Spark tells all tasks about them if they are few
-    keyed = texts.where("doc_id is not null").mapInArrow(_keys(size, limit), _KEYS_SCHEMA)
-    members = keyed.join(copies, (F.col("r") == F.col("c")) & (F.col("digest") == F.col("d")), "left_anti")
-    exploded = members.select(F.explode("keys").alias("key"), "r")
-    crowd = materialise(exploded.repartition("key").sortWithinPartitions("key", "r").mapInArrow(_shared, "key long, r long, low long"), "crowd")
-    pairs = crowd.where("r > low").select(F.col("r").alias("a"), F.col("low").alias("b")).distinct()
-    links = materialise(verified(pairs, docs, size, limit), "linked")
-    rest = crowd.where("r > low").select("key", "r")
-    for turn in range(STARS + 2):
-        rest = _unconnected(rest, components(links))
-        if rest.limit(1).count() == 0:
-            break
-        if turn < STARS:
-            centre = rest.where("r = low").select(F.col("key").alias("k"), F.col("part").alias("o"))
-            pairs = rest.where("r > low").join(centre, F.col("key") == F.col("k")).where("part <> o").select(F.col("r").alias("a"), F.col("low").alias("b")).distinct()
-        else:
-            pairs = _in_blocks(rest, base, limit, forest=turn == STARS)
-        links = links.union(materialise(verified(pairs, docs, size, limit), "linked"))
-        # a star has compared its centre with all others
-        rest = (rest.where("r > low") if turn < STARS else rest).select("key", "r")
-    documents = base.join(named, F.col("digest") == F.col("d"), "left").select("doc_id", "n_shingles", "digest", F.when(F.col("doc_id").isNotNull(), F.col("representative")).alias("representative"))
-    return documents, links
+    texts = docs.select(F.expr(_ID).alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(_TIE).alias("tie"))
+    sets = materialise(texts.mapInArrow(_describe(size, limit), _SETS_SCHEMA), "sets")
+    heads = materialise(sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "name").agg(F.min("doc_id").alias("representative"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "heads")
+    crowd = materialise(_crowd(sets), "crowd")
+    first = heads.select(F.col("name").alias("x"), F.col("representative").alias("a"))
+    pairs = materialise(_compared(crowd.where("r <> low").select("r", "low").distinct(), heads, "name", limit), "pairs")
+    repeated = materialise(sets.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    links = verified(pairs.where("near"), docs, repeated, size, limit)
+    found = [links]
+    parts = components(links)
+    apart = _parts_of(_parts_of(pairs, parts, "a", "p"), parts, "b", "q").where("p <> q").select(F.col("r").alias("x"), F.col("low").alias("y")).distinct()
+    apart = materialise(apart, "apart")
+    if apart.limit(1).count():
+        open_ = crowd.join(apart, F.expr("r = x and low = y"), "left_semi").select(F.col("key").alias("k")).distinct()
+        # all others have met the centre
+        rest = crowd.where("r <> low").join(open_.hint("merge"), F.col("key") == F.col("k"), "left_semi").select("key", "r").distinct()
+        rest = materialise(rest.join(first, F.col("r") == F.col("x")).select("key", F.col("a").alias("r")).distinct(), "members")
+        release(crowd, pairs, apart)
+        for turn in range(STARS + 2):
+            known = rest if turn in (0, STARS + 1) else rest.where("r <> centre")
+            held, rest = rest, _unconnected(known.select("key", "r"), parts)
+            release(held)
+            if rest.limit(1).count() == 0:
+                break
+            if turn < STARS:
+                star = rest.where("part <> home and r <> centre").select(F.greatest("r", "centre").alias("r"), F.least("r", "centre").alias("low")).distinct()
+                more = _compared(star, heads, "representative", limit).where("near").select("a", "b").distinct()
+            else:
+                more = _in_blocks(rest, heads, limit, forest=turn == STARS)
+            more = materialise(more, "pairs")
+            found.append(verified(more, docs, repeated, size, limit))
+            release(more, parts)
+            links = links.union(found[-1])
+            parts = components(links)
+        release(rest)
+    else:
+        release(crowd, pairs, apart)
+    named = heads.select(F.col("digest").alias("d"), "representative")
+    documents = sets.join(named, F.col("digest") == F.col("d"), "left").select("doc_id", "tie", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("representative")).alias("representative"))
+    return documents, links, parts, [sets, heads, repeated, *found]
 
 
 def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -404,15 +514,26 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     component_id is the smallest doc_id reachable over links, the document itself included.
     An empty table gives an empty one.
     """
-    documents, links = similar(docs, size, threshold)
-    parts = components(links)
+    documents, _, parts = similar(docs, size, threshold)
     return documents.join(parts, F.col("representative") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "representative", "doc_id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents with the smallest doc_id of their group, all columns kept; of rows that share a doc_id one stays, and every row without a doc_id."""
-    keep = groups(docs, size, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    """The documents with the smallest doc_id of their group, all columns kept.
+
+    Of rows that share a doc_id and a text one stays; rows that share a doc_id but not the text
+    all stay with it, as does every row without a doc_id. A text's hash stands for it.
+    """
+    documents, _, parts, used = _similar(docs, size, threshold)
+    known = documents.where("doc_id is not null").select(F.col("doc_id").alias("i"), F.col("tie").alias("t"), "representative")
+    gone = known.join(parts, F.col("representative") == F.col("node"), "left").where("i <> coalesce(component, representative, i)").select("i", "t")
+    gone = materialise(gone.distinct(), "gone")
+    again = materialise(known.groupBy("i", "t").agg(F.count("*").alias("n")).where("n > 1").select("i", "t"), "repeated")
+    release(*used, parts)
+    rows = docs.select(F.struct("*").alias("row"), F.expr(_ID).alias("_i"), F.expr(_TIE).alias("_t"))
+    same = (F.col("_i") == F.col("i")) & (F.col("_t") == F.col("t"))
+    rows = rows.join(_told(gone), same, "left_anti")
+    once = rows.join(_told(again), same, "left_anti")
+    return once.unionByName(rows.join(_told(again), same, "left_semi").dropDuplicates(["_i", "_t"])).select("row.*")

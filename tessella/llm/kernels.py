@@ -64,7 +64,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 20):
+def slices(offsets: np.ndarray, size: int = 1 << 18):
     """Runs (first, end) of texts with about size bytes; a longer text is alone in its run."""
     n, i = len(offsets) - 1, 0
     while i < n:

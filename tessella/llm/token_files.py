@@ -111,7 +111,7 @@ class _Encoder:
     is taken apart by the pattern, and the model gives the ids of its parts.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, kind: str, most: int = 600_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -171,7 +171,7 @@ class _Encoder:
     def texts(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a column; nulls are empty."""
         data, offsets = kernels.utf8(column)
-        for i, j in kernels.slices(offsets, 2 << 20):
+        for i, j in kernels.slices(offsets, 1 << 20):
             yield from self._slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:

@@ -72,6 +72,34 @@ def test_empty_tables(docs, no_docs, benchmark, texts):
     assert len(found) == len(texts) and not any(r.contaminated for r in found)
 
 
+def test_many_equal_and_short_items():
+    """20,000 items of one word are one class, marked once."""
+    import pickle
+    import time
+
+    began = time.perf_counter()
+    items = [(k, [b"true"]) for k in range(20_000)] + [(20_000 + k, [b"it", b"is"] + [b"true"] * (k % 3)) for k in range(9)]
+    built = decontaminate.Automaton(items, 13)
+    spans, classes, longest = built.match([b"it", b"is", b"true", b"true", b"no", b"true"])
+    assert (sorted(set(spans)), longest) == ([(0, 2), (0, 3), (0, 4), (2, 3), (3, 4), (5, 6)], 4)
+    assert sorted(built.items(classes)) == list(range(20_009))
+    assert len(pickle.dumps(built)) < 1_000_000 and time.perf_counter() - began < 5
+
+
+def test_shards_read_again(docs, texts, benchmark, items, monkeypatch):
+    """With one shard kept, each batch reads the others again; the driver's setting is the tasks' default, so search here."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 60)
+    monkeypatch.setattr(decontaminate, "KEPT", 1)
+    folder, names = decontaminate.automata(benchmark, 13)
+    assert len(names) > 2
+    shards = decontaminate.Shards(folder, names)
+    found = list(decontaminate._search(shards, pa.array([t for _, t, *_ in texts])))
+    assert [(n, sum(x["last"] - x["first"] for x in runs), set(which)) for n, which, runs, _ in found] == [brute(t, items) for _, t, *_ in texts]
+    assert len(shards.kept) == 1
+
+
 def test_query(spark, sf_dir, documents):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     found = {r.doc_id: r for r in queries.QUERIES["op2_decontamination"](spark, sf_dir).collect()}

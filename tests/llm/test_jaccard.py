@@ -72,6 +72,54 @@ def test_one_of_each(docs, texts):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, want))
 
 
+def test_unlike_texts_of_a_doc_id_stay(spark):
+    """Each row is judged by its own text: no text goes because another one shares its doc_id."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (2, long), (2, "something else entirely that nobody has said before"), (2, long), (3, None), (3, None), (3, ""), (4, long + " end"), (None, long), (None, long)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id int, text string"), 5, 0.8)
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[6], rows[8], rows[9]]))
+
+
+def test_a_digest_that_most_sets_share(spark, monkeypatch):
+    """One group of near copies holds a third of all rows, and a long passage is shared by unlike texts: several ranges and blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(3)
+    passage = [f"p{k}" for k in range(80)]
+    text = [f"t{k}" for k in range(100)]
+    rows = []
+    for k in range(300):
+        copy = list(text)
+        copy[r.randrange(100)] = f"x{k}"
+        own = [f"o{k}x{j}" for j in range(r.choice((2, 9, 30)))]
+        rows += [(3 * k, " ".join(copy)), (3 * k + 1, " ".join(passage + own)), (3 * k + 2, " ".join(f"y{k}z{j}" for j in range(20)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert got(jaccard.groups(df, 3, 0.9)) == brute(rows, 3, 90, 100)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shared_over_ranges():
+    """Keys that go on from one range to the next are told by their borders."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    rows = sorted((r.randrange(6), r.randrange(40)) for _ in range(90))
+    for cuts in ([], [30], [10, 11, 60], [5, 40, 41, 42, 80]):
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            part = rows[a:b]
+            batches = [pa.RecordBatch.from_pydict({"key": [x for x, _ in part[i : i + 7]], "r": [x for _, x in part[i : i + 7]]}, pa.schema([("key", pa.int64()), ("r", pa.int64())])) for i in range(0, len(part), 7)]
+            found = [x for y in jaccard._shared(iter(batches)) for x in y.to_pylist()]
+            firsts = {k: min(v for x, v in part if x == k) for k, _ in part}
+            held = {k: {v for x, v in part if x == k} for k in firsts}
+            assert sorted((x["key"], x["r"], x["low"]) for x in found if not x["border"]) == sorted((k, v, firsts[k]) for k, vs in held.items() if len(vs) > 1 for v in vs)
+            assert {(x["key"], x["low"]) for x in found if x["border"]} == {(part[0][0], firsts[part[0][0]]), (part[-1][0], firsts[part[-1][0]])}
+
+
 def test_empty_table(no_docs):
     assert jaccard.groups(no_docs).collect() == []
     assert jaccard.one_of_each(no_docs).collect() == []
