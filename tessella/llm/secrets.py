@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -174,10 +176,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = base_spans(text)
             base.append([{"start": a, "end": b, "kind": k} for a, b, k in known])
             own = []
+            starts = [s for s, _, _ in known]
+            reach = list(accumulate((e for _, e, _ in known), max))  # the furthest end of a known form so far
             for m in _RUN.finditer(text):
                 a, b, run = m.start(), m.end(), m[0]
                 name = encoding(run)
-                if name and not any(s < b and a < e for s, e, _ in known):
+                before = bisect_left(starts, b)  # known forms that begin before the run ends
+                if name and not (before and reach[before - 1] > a):
                     pairs, changes, serial = statistics(run, name)
                     own.append({"start": a, "end": b, "encoding": name, "pairs": pairs, "changes": changes, "serial": serial})
             runs.append(own)

@@ -66,3 +66,16 @@ def test_query(spark, sf_dir, documents):
         assert found[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert found[i].n_hex == sum(x.startswith("hex") for x in want)
         assert set(want) <= set(found[i].spans.split(",")) | {""}
+
+
+def test_long_texts_take_time_in_proportion():
+    """Many known forms and many candidates in one text: no candidate is held against every known form."""
+    import time
+
+    import pyarrow as pa
+
+    text = "\n".join(f"password: Zx{k:08d}q and AbC{k:09d}xYzAbC{k:09d}xYz" for k in range(40_000))
+    began = time.perf_counter()
+    row = next(secrets._scan(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])]))).to_pylist()[0]
+    assert len(row["base"]) == len(row["runs"]) == 40_000 and len(text) > 2_000_000
+    assert time.perf_counter() - began < 30
