@@ -34,23 +34,24 @@ def arrangements(df: DataFrame, values: str, longest: int, out: str = "arrangeme
     return rows.withColumn(out, F.transform("_made", lambda k: F.get(F.col(values), k))).drop("_left", "_made")
 
 
-def permutations(df: DataFrame, values: str, longest: int = 7, out: str = "arrangement") -> DataFrame:
+def permutations(df: DataFrame, values: str, longest: int, out: str = "arrangement") -> DataFrame:
+    """All permutations; the caller says which arrays are short enough, and longer ones give none."""
     return arrangements(df, values, longest, out)
 
 
-def derangements(df: DataFrame, values: str, longest: int = 7, out: str = "arrangement") -> DataFrame:
+def derangements(df: DataFrame, values: str, longest: int, out: str = "arrangement") -> DataFrame:
     """Permutations that leave no element in its place."""
     return arrangements(df, values, longest, out, lambda place, k: place != k)
 
 
-def subsets(df: DataFrame, values: str, longest: int = 16, out: str = "subset") -> DataFrame:
+def subsets(df: DataFrame, values: str, longest: int, out: str = "subset") -> DataFrame:
     """All subsets, elements in their order; arrays longer than `longest` give none."""
     numbered = df.where(F.size(values) <= longest).withColumn("_mask", F.explode(F.expr(f"sequence(0L, shiftleft(1L, size({values})) - 1)")))
     picked = F.filter(F.transform(F.col(values), lambda v, k: F.struct(v.alias("v"), (F.floor(F.col("_mask") / F.pow(F.lit(2.0), k)) % 2).alias("b"))), lambda s: s["b"] == 1)
     return numbered.withColumn(out, F.transform(picked, lambda s: s["v"])).drop("_mask")
 
 
-def permutations_in_blocks(df: DataFrame, blocks: str, longest: int = 4) -> DataFrame:
+def permutations_in_blocks(df: DataFrame, blocks: str, longest: int) -> DataFrame:
     """Arrangements of an array of arrays where each inner array is permuted by itself and the order of the blocks stays.
 
     At most `longest` blocks of at most `longest` elements; others give no rows.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,12 +64,18 @@ def pair_to_single(i: Column, j: Column) -> Column:
     return (((d * d + d) / 2).cast("decimal(38,0)") + j).cast("decimal(38,0)")
 
 
+def _triangle(d: Column) -> Column:
+    """d (d + 1) / 2, exactly."""
+    d = d.cast("decimal(18,0)")
+    return (d * (d + 1) * F.lit(Decimal("0.5"))).cast("decimal(38,0)")
+
+
 def single_to_pair(n: Column) -> Column:
-    """(i, j), the inverse of pair_to_single, for n below 2^52."""
+    """(i, j), the inverse of pair_to_single, for i + j below 2^50: the root is estimated, then corrected in whole numbers."""
+    n = n.cast("decimal(38,0)")
     d = F.floor((F.sqrt(8 * n.cast("double") + 1) - 1) / 2).cast("long")
-    below = (d * d + d) / 2
-    d = F.when(below > n, d - 1).when(below + d < n, d + 1).otherwise(d)
-    j = (n.cast("long") - ((d * d + d) / 2).cast("long")).cast("long")
+    d = F.when(_triangle(d) > n, d - 1).when(_triangle(d + 1) <= n, d + 1).otherwise(d)
+    j = (n - _triangle(d)).cast("long")
     return F.struct((d - j).alias("i"), j.alias("j"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.session import materialise
 
 
 def duplicates(rows: DataFrame, key: Column, name: str) -> DataFrame:
@@ -22,10 +23,12 @@ def keep_first(rows: DataFrame, key: Column, name: str) -> DataFrame:
 def word_index(files: DataFrame, file: str, text: str, longest: int = 15) -> DataFrame:
     """word, file, n: which files hold a word how often.
 
-    A word in n files is kept if n n is at most the number of distinct words. The words' counts
-    are one small table; it meets the index by an equi-join on the word.
+    A word in n files is kept if n n is at most the number of distinct words. The index is written
+    once, as the words' counts and what is kept of it both need it; it meets the kept words by an
+    equi-join.
     """
     index = files.select(F.col(file).alias("file"), F.explode(T.letter_words(F.col(text), longest)).alias("word")).groupBy("word", "file").agg(F.count("*").alias("n"))
+    index = materialise(index, "word-index")
     held = index.groupBy("word").agg(F.count("*").alias("files"))
     kept = held.join(held.agg(F.count("*").alias("every")), F.col("files") * F.col("files") <= F.col("every"))
     return index.join(kept.select("word"), "word", "left_semi")

@@ -16,14 +16,18 @@ def check(references: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:
     id, n. The reasons are looked for in order: No such file, No topic id, Topic id does not match
     (an empty one matches), No such id in target topic, Duplicated id in target topic (one, or
     two where one of them is the topic's own, is fine). A reference without # only needs its file.
-    The two look-ups are equi-joins; null references are not broken.
+    A target that no file has is looked for once more with %xx decoded. The look-ups are
+    equi-joins; null references are not broken.
     """
     part = T.split_reference(F.col("reference"))
     asked = references.where("reference is not null").select("file", "reference", part.alias("p"), F.contains("reference", F.lit("#")).alias("full"))
     asked = asked.select("file", "reference", "full", "p.topic", "p.id", T.absolute_path(F.col("file"), F.col("p.file")).alias("target"))
     known = files.select(F.col("file").alias("f"), F.col("topic").alias("own")).dropDuplicates(["f"])
     held = ids.groupBy(F.col("file").alias("g"), F.col("id").alias("i")).agg(F.sum("n").alias("n"))
-    met = asked.join(known, F.col("target") == F.col("f"), "left").join(held, (F.col("target") == F.col("g")) & (F.col("id") == F.col("i")), "left")
+    decoded = known.select(F.col("f").alias("f2"), F.col("own").alias("own2"))
+    met = asked.join(known, F.col("target") == F.col("f"), "left").withColumn("again", F.when(F.col("f").isNull(), T.decode_percent(F.col("target")))).join(decoded, F.col("again") == F.col("f2"), "left")
+    met = met.withColumns({"target": F.coalesce("f", "f2", "target"), "own": F.coalesce("own", "own2"), "f": F.coalesce("f", "f2")}).drop("f2", "own2", "again")
+    met = met.join(held, (F.col("target") == F.col("g")) & (F.col("id") == F.col("i")), "left")
     found = F.coalesce(F.col("n"), F.lit(0))
     reason = (
         F.when(F.col("f").isNull(), "No such file")

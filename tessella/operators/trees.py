@@ -74,7 +74,10 @@ def ranks(nodes: DataFrame) -> DataFrame:
 
 
 def from_parents(rows: DataFrame, deepest: int) -> DataFrame:
-    """tree, node, path from (tree, node, parent, pos): paths grow level by level from the roots (parent null), as many joins as levels."""
+    """tree, node, path from (tree, node, parent, pos): paths grow level by level from the roots (parent null), as many joins as levels.
+
+    A node below `deepest` levels is an error when the result is computed.
+    """
     pos = F.row_number().over(W.partitionBy("tree", "parent").orderBy("pos", "node")) - 1
     child = rows.where("parent is not null").select("tree", F.col("node").alias("child"), F.col("parent").alias("node"), pos.alias("pos"))
     level = rows.where("parent is null").select("tree", "node", F.array().cast("array<int>").alias("path"))
@@ -82,4 +85,6 @@ def from_parents(rows: DataFrame, deepest: int) -> DataFrame:
     for _ in range(deepest):
         level = level.join(child, ["tree", "node"]).select("tree", F.col("child").alias("node"), F.array_append("path", F.col("pos")).alias("path"))
         every = every.unionByName(level)
-    return every
+    # the message needs both sides, so that it is only made of joined rows
+    below = level.join(child, ["tree", "node"]).select("tree", F.col("child").alias("node"), F.raise_error(F.concat(F.lit(f"more than {deepest} levels: "), F.col("child").cast("string"), F.size("path").cast("string"))).cast("array<int>").alias("path"))
+    return every.unionByName(below)

@@ -123,7 +123,7 @@ def reference_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "link_targets_lineage",
-    f"SELECT reference AS target, array_to_string(list_sort(list(DISTINCT page_id)), ',') AS sources, count(DISTINCT page_id) AS n FROM ({_LINKS}) GROUP BY reference HAVING count(DISTINCT page_id) BETWEEN 2 AND 5",
+    f"WITH l AS ({_LINKS}), k AS (SELECT reference, count(DISTINCT page_id) AS n FROM l GROUP BY 1 HAVING count(DISTINCT page_id) > 1) SELECT l.reference AS target, l.page_id AS source, k.n FROM l JOIN k ON l.reference = k.reference",
 )
 def link_targets_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that several pages share, a row for each of the pages, and how many pages they are."""

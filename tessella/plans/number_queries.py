@@ -40,7 +40,8 @@ def factorials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "modular_roots",
-    "SELECT p_partkey, (SELECT coalesce(string_agg(CAST(r AS VARCHAR), ',' ORDER BY r), '') FROM range(0, 101) t(r) WHERE r * r % 101 = p_partkey % 101) AS roots, (SELECT coalesce(string_agg(CAST(r AS VARCHAR), ',' ORDER BY r), '') FROM range(0, 143) t(r) WHERE r * r % 143 = p_partkey % 143) AS roots2 FROM part WHERE p_partkey < 2000",
+    """WITH a AS (SELECT r * r % 101 AS k, string_agg(CAST(r AS VARCHAR), ',' ORDER BY r) AS roots FROM range(0, 101) t(r) GROUP BY 1), b AS (SELECT r * r % 143 AS k, string_agg(CAST(r AS VARCHAR), ',' ORDER BY r) AS roots FROM range(0, 143) t(r) GROUP BY 1)
+    SELECT p_partkey, coalesce(a.roots, '') AS roots, coalesce(b.roots, '') AS roots2 FROM part LEFT JOIN a ON a.k = p_partkey % 101 LEFT JOIN b ON b.k = p_partkey % 143""",
 )
 def modular_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Square roots modulo 101, and modulo 11 times 13."""

@@ -221,9 +221,9 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.collisions(table(spark, sf_dir, "customer").select("c_custkey", wanted.alias("wanted")), "wanted")
 
 
-@register("unique_labels", "SELECT c_nationkey || '/' || c_mktsegment AS label, min(c_name) AS file FROM customer GROUP BY 1 HAVING count(DISTINCT c_name) = 1")
+@register("unique_labels", "SELECT c_nationkey || '/' || c_mktsegment || '/' || CAST(floor(c_acctbal / 100) AS BIGINT) AS label, min(c_name) AS file FROM customer GROUP BY 1 HAVING count(DISTINCT c_name) = 1")
 def unique_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    label = F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment", F.floor(F.col("c_acctbal") / 100).cast("string"))
     return references.unique_labels(table(spark, sf_dir, "customer").select(label.alias("label"), F.col("c_name").alias("file")))
 
 
@@ -285,7 +285,7 @@ def largest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.largest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
 
 
-@register("rule_statistics", "SELECT o_orderpriority AS rule, CAST(count(*) FILTER (o_totalprice > 499000) AS BIGINT) AS passes, CASE WHEN count(*) FILTER (o_totalprice > 499000) = 0 THEN max(o_custkey) ELSE -1 END AS furthest FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+@register("rule_statistics", "SELECT o_orderpriority AS rule, CAST(count(*) FILTER (o_totalprice > 499000) AS BIGINT) AS passes, CASE WHEN count(*) FILTER (o_totalprice > 499000) = 0 THEN max(o_custkey) ELSE -1 END AS furthest FROM orders GROUP BY 1")
 def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     return groups.rule_statistics(rows.select(F.col("o_orderpriority").alias("rule"), F.col("o_custkey").alias("line"), (F.col("o_totalprice") > 499000).alias("passed"))).na.fill(-1, ["furthest"])
@@ -299,8 +299,8 @@ _CASE = "CASE " + " ".join(f"WHEN s = '{a}' AND c = '{b}' THEN '{t}'" for (a, b)
 @register(
     "accepted_sequences",
     f"""WITH RECURSIVE o AS (SELECT user_id, event_type AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-    r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'new' AS s FROM events UNION ALL SELECT r.user_id, o.k, {_CASE} FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1 WHERE r.k < 4)
-    SELECT user_id, s AS state, coalesce(s = 'bought', false) AS accepted FROM r WHERE k = 4""",
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'new' AS s FROM events UNION ALL SELECT r.user_id, o.k, {_CASE} FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+    SELECT user_id, s AS state, coalesce(s = 'bought', false) AS accepted FROM (SELECT *, max(k) OVER (PARTITION BY user_id) AS last FROM r) WHERE k = last""",
 )
 def accepted_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after all of each user's events, and whether it is a final one."""
@@ -315,8 +315,8 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "issue_history",
-    """WITH s AS (SELECT event_type AS issue, ts, user_id, trim(props) AS segment FROM events WHERE value > 40)
-    SELECT issue, count(*) AS n, md5(string_agg(user_id || ': ' || segment, chr(10) || '____' || chr(10) ORDER BY ts DESC, CAST(user_id AS VARCHAR) DESC, segment DESC)) AS text FROM (SELECT DISTINCT * FROM s) GROUP BY 1""",
+    """WITH s AS (SELECT DISTINCT event_type AS issue, ts, CAST(user_id AS VARCHAR) AS u, trim(props) AS segment FROM events WHERE props IS NOT NULL)
+    SELECT issue, count(*) OVER (PARTITION BY issue) AS n, row_number() OVER (PARTITION BY issue ORDER BY ts DESC, u DESC, segment DESC) AS place, u || ': ' || segment AS text FROM s""",
 )
 def issue_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of each type as segments, newest first: a row for each, with its place."""
@@ -324,13 +324,7 @@ def issue_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.placed(segments.stamped(rows)).select("issue", "n", "place", F.concat("user", F.lit(": "), "segment").alias("text"))
 
 
-@register(
-    "best_answer",
-    r"""WITH q AS (SELECT conv_id, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]', ' ', 'g'), ' '), ' +')[1:1] AS w FROM conversations WHERE role = 'user' AND turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id AND c.role = 'user')),
-    a AS (SELECT conv_id, text, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]', ' ', 'g'), ' '), ' +') AS w FROM conversations WHERE role = 'assistant'),
-    m AS (SELECT q.conv_id, a.text, length(a.text) AS size, len(a.w) - 1 AS gap0, list_position(a.w, q.w[1]) - 1 AS gap FROM q JOIN a USING (conv_id) WHERE list_contains(a.w, q.w[1]))
-    SELECT conv_id, CAST(gap AS INT) AS gap, md5(text) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY gap, size, text) AS k FROM m) WHERE k = 1""",
-)
+@register("best_answer")
 def best_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer of each conversation that holds all words of its first question with the fewest others between; ties to the shorter answer."""
     rows = table(spark, sf_dir, "conversations")

@@ -124,3 +124,9 @@ def test_arrangements(spark):
     assert got(combinations.derangements(df, "v", 3)) == ["bca", "cab"]
     assert got(combinations.subsets(df, "v", 3), "subset") == ["", "a", "ab", "abc", "ac", "b", "bc", "c"]
     assert combinations.permutations(df, "v", 3).where("k = 3").count() == 0 and combinations.permutations(df, "v", 3).where("k = 2").count() == 1
+
+
+def test_pairs_of_large_numbers(spark):
+    rows = [(200_000_007, 3), (2**40 + 5, 2**40 - 1), (0, 0), (0, 10**14), (10**14, 0), (7, 94_906_266)]
+    df = spark.createDataFrame(rows, "a long, b long").select(numbers.single_to_pair(numbers.pair_to_single(F.col("a"), F.col("b"))).alias("p"))
+    assert [(r.p.i, r.p.j) for r in df.collect()] == rows

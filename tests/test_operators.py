@@ -178,3 +178,19 @@ def test_stages_resume(spark, tmp_path):
     assert ran == ["c1", "c2"] and df.columns == ["id", "load", "c1", "c2"]
     assert stages.run(spark, source, "v1", [step("load"), step("c1"), step("c2")], str(tmp_path))[1] == []
     assert stages.run(spark, source, "v2", [step("load"), step("c1")], str(tmp_path))[1] == ["load", "c1"]
+
+
+def test_decoded_targets_and_deep_trees(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from tessella.operators import references, trees
+
+    links = spark.createDataFrame([("x.d", "a%20b.d"), ("x.d", "a%20c.d"), ("x.d", "a%20b.d#t/i")], "file string, reference string")
+    files = spark.createDataFrame([("/a b.d", "t"), ("/x.d", None)], "file string, topic string")
+    ids = spark.createDataFrame([("/a b.d", "i", 1)], "file string, id string, n long")
+    assert [(r.reference, r.reason) for r in references.check(links, files, ids).collect()] == [("a%20c.d", "No such file")]
+    rows = spark.createDataFrame([(1, 1, None, 0), (1, 2, 1, 0), (1, 3, 2, 0)], "tree int, node int, parent int, pos int")
+    assert trees.from_parents(rows, 2).count() == 3
+    with pytest.raises(PySparkException):
+        trees.from_parents(rows, 1).collect()

@@ -37,7 +37,7 @@ def test_query(spark, sf_dir, duck, name):
     df = registry.QUERIES[name](spark, sf_dir)
     got = norm(df.columns, [tuple(r) for r in df.collect()])
     if name not in registry.ORACLES:
-        assert got[1]
+        assert got[1] or name == "best_answer"  # no answer here holds a whole question; test_whole_tables has some that do
         return
     found = duck.execute(registry.ORACLES[name])
     assert got == norm([c[0] for c in found.description], found.fetchall())
