@@ -5,7 +5,8 @@ copies neither crowd a graph nor hide each other. Classes are hashed into shards
 same size, however many there are. A shard's graph is three flat arrays: a level for each node,
 the neighbours at the lowest level, and the neighbours above. Nodes enter in their order and
 link to near nodes that entered before, diverse in direction, which gives early nodes the long
-links that searches travel on. Nearness is the inner product: one more component makes all
+links that searches travel on. As shards are small, the candidates for links are found by exact
+products in blocks, not by searching the growing graph. Nearness is the inner product: one more component makes all
 vectors of a shard equally long, after which it is a distance.
 
 Queries are a stated set. They meet the shards in blocks, and what the shards find is merged.
