@@ -25,7 +25,8 @@ MOST = 3
 #: The weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
 
-_UNIT = "struct<doc_id: bigint, source: string, size: bigint, rows: bigint, words: double, mass: double, up: boolean>"
+_FIELDS = ("doc_id", "source", "size", "digest", "rows", "sure", "words", "mass", "up")
+_UNIT = "struct<doc_id: bigint, source: string, size: bigint, digest: bigint, rows: bigint, sure: bigint, words: double, mass: double, up: boolean>"
 
 
 def words(text: Column) -> Column:
@@ -33,6 +34,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def digest(text: Column) -> Column:
+    """What tells texts apart; null and empty ones have one each."""
+    return F.xxhash64(text.cast("string"), text.isNull())
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target: weights 1, 2, 3 in order of source (null last), none above MOST times its size.
 
@@ -60,8 +66,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _unit(x: Column, **change: Column) -> Column:
-    names = ("doc_id", "source", "size", "rows", "words", "mass", "up")
-    return F.struct(*(change.get(n, x[n]).alias(n) for n in names))
+    return F.struct(*(change.get(n, x[n]).alias(n) for n in _FIELDS))
 
 
 def _uniform(*on: Column) -> Column:
@@ -79,7 +84,7 @@ def _meet(state: Column, new: Column, seed: int) -> Column:
     old = state["carry"]
     give = F.least(old["mass"], new["words"] - new["mass"])
     take = F.least(new["mass"], old["words"] - old["mass"])
-    chance = _uniform(old["doc_id"], old["size"], new["doc_id"], new["size"], F.lit(seed)) * (give + take) < take
+    chance = _uniform(old["doc_id"], old["digest"], new["doc_id"], new["digest"], F.lit(seed)) * (give + take) < take
     # after giving, old is empty or new is full; after taking, new is empty or old is full
     after = F.when(
         chance,
@@ -102,16 +107,15 @@ def _fold(groups: DataFrame, seed: int) -> DataFrame:
     return groups.select("source", "bucket", met.alias("met")).select("source", "bucket", "met.carry", "met.done")
 
 
-def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """doc_id, size, source_size, target, source, copies, taken, one row for each row of docs.
+def _units(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, size, digest, rows, source_size, target, base, extra: how often the rows of a unit are taken.
 
-    Rows that agree in doc_id, source and size are one unit: each is taken equally often. Null
-    texts and texts without words have size 0, are taken once and add no words. A null source is a source,
-    the last one; a null doc_id is a value like others. Reruns agree, since every draw is a hash
-    of what meets; the partitioning has no part in it.
+    Rows that agree in doc_id, source and text are one unit. Each of them is taken `base` times,
+    and `extra` of them once more. Of rows * part expected extra copies the whole ones are sure,
+    and one row with what is left is drawn; so a unit moves at most one text's words.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
-    units = materialise(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "units")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), digest(F.col("text")).alias("digest"))
+    units = materialise(rows.groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("rows")), "units")
     by_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"))
     by_source = materialise(by_source, "sizes")
     goal = targets(by_source.select("source", "source_size")).withColumnRenamed("source", "s")
@@ -120,35 +124,58 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     goal = materialise(goal.withColumn("base", F.least(F.floor("rate"), F.lit(MOST)).cast("long")).withColumn("part", F.when(F.col("rate") < MOST, F.col("rate") - F.floor("rate")).otherwise(0.0)), "goals")
     known = units.join(goal, F.expr("source <=> s"))
     open_ = (F.col("size") > 0) & (F.col("part") > 0)
-    plain = known.where(~open_).select("doc_id", "source", "size", "rows", F.lit(False).alias("up"))
-    weight = (F.col("size") * F.col("rows")).cast("double")
-    unit = F.struct("doc_id", "source", "size", "rows", weight.alias("words"), (weight * F.col("part")).alias("mass"), F.lit(False).alias("up"))
-    bucket = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("n") / GROUP))
+    named = ("doc_id", "source", "size", "digest", "rows")
+    plain = known.where(~open_).select(*named, F.lit(0).cast("long").alias("sure"), F.lit(False).alias("up"))
+    sure = F.floor(F.col("rows") * F.col("part"))
+    left = F.col("size") * (F.col("rows") * F.col("part") - sure)
+    unit = F.struct(*named, sure.alias("sure"), F.col("size").cast("double").alias("words"), left.alias("mass"), F.lit(False).alias("up"))
+    bucket = F.pmod(F.xxhash64("doc_id", "digest", F.lit(seed)), F.ceil(F.col("n") / GROUP))
     level = known.where(open_).select("source", bucket.alias("bucket"), unit.cast(_UNIT).alias("unit"))
     widest = goal.agg(F.max(F.ceil(F.col("n") / GROUP))).first()[0] or 0
     decided, k = [plain], 0
     while True:
         met = materialise(_fold(level.groupBy("source", "bucket").agg(F.collect_list(F.struct((-F.col("unit.words")).alias("order"), "unit")).alias("units")), seed + k), f"level{k}")
-        decided.append(met.select(F.explode("done").alias("u")).select("u.doc_id", "u.source", "u.size", "u.rows", "u.up"))
+        decided.append(met.select(F.explode("done").alias("u")).select(*(f"u.{c}" for c in (*named, "sure", "up"))))
         if widest <= 1:
             break
         level = met.where("carry is not null").select("source", F.floor(F.col("bucket") / GROUP).alias("bucket"), F.col("carry").alias("unit"))
         widest, k = -(-widest // GROUP), k + 1
     last = met.where("carry is not null").select("carry.*")
-    drawn = (_uniform(F.col("doc_id"), F.col("size"), F.lit(seed - 1)) * F.col("words")) < F.col("mass")
-    decided.append(last.select("doc_id", "source", "size", "rows", drawn.alias("up")))
+    drawn = (_uniform(F.col("doc_id"), F.col("digest"), F.lit(seed - 1)) * F.col("words")) < F.col("mass")
+    decided.append(last.select(*named, "sure", drawn.alias("up")))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    full = out.join(goal.select("s", "source_size", "target", "base"), F.expr("source <=> s"))
-    copies = F.when(F.col("size") > 0, F.col("base") + F.col("up").cast("long")).otherwise(F.lit(1).cast("long"))
-    full = full.withColumn("copies", copies).withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return full.select("doc_id", "size", "source_size", "target", "source", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    full = out.join(goal.select("s", "source_size", "target", F.col("base").alias("b")), F.expr("source <=> s"))
+    base = F.when(F.col("size") > 0, F.col("b")).otherwise(F.lit(1).cast("long"))
+    return full.select(*named, "source_size", "target", base.alias("base"), (F.col("sure") + F.col("up").cast("long")).alias("extra"))
+
+
+def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """doc_id, size, source_size, target, source, copies, taken, one row for each row of docs.
+
+    Rows that agree in doc_id, source and text are drawn one by one: their copies differ by one
+    at most. Null texts and texts without words have size 0, are taken once and add no words. A
+    null source is a source, the last one; a null doc_id is a value like others; an empty table
+    gives no rows; other columns, whatever their names, are not read. Reruns agree, since every
+    draw is a hash of what meets; the partitioning has no part in it.
+    """
+    each = _units(docs, seed).withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = F.col("base") + (F.col("each") <= F.col("extra")).cast("long")
+    return each.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "source", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, all columns kept."""
-    copies = mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("n_"), F.col("copies").alias("c_")).distinct()
-    sized = docs.select(F.expr("struct(*)").alias("row"), words(F.col("text")).alias("w_"))
-    met = sized.join(copies, F.expr("cast(row.doc_id as bigint) <=> d_ and cast(row.source as string) <=> s_ and w_ = n_"))
-    return met.withColumn("e_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c_")))).select("row.*")
+    """The documents themselves, each as often as the mix takes it, all columns kept.
+
+    Of rows that agree in doc_id, source and text, the first by its other columns carries the
+    extra copies of all; the others come `base` times.
+    """
+    units = _units(docs, seed).select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("digest").alias("h_"), F.col("rows").alias("r_"), F.col("base").alias("b_"), F.col("extra").alias("x_"))
+    units = materialise(units, "copies")
+    same = F.expr("cast(row.doc_id as bigint) <=> d_ and cast(row.source as string) <=> s_ and w_ = h_")
+    rows = docs.select(F.expr("struct(*)").alias("row"), digest(F.col("text")).alias("w_"))
+    alone = F.col("b_") + F.when(F.col("r_") == 1, F.col("x_")).otherwise(0)
+    every = rows.join(units.withColumn("c_", alone).where("c_ > 0"), same).select("row", "c_")
+    several = rows.join(units.where("r_ > 1 and x_ > 0"), same).groupBy("d_", "s_", "h_").agg(F.min_by("row", F.to_json("row")).alias("row"), F.first("x_").alias("c_")).select("row", "c_")
+    return every.unionByName(several).withColumn("e_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c_")))).select("row.*")
