@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import materialise
+
 
 def cartesian(*sets: DataFrame) -> DataFrame:
     """Every combination of one row from each of a few sets; their column names must differ."""
@@ -63,3 +65,25 @@ def permutations_in_blocks(df: DataFrame, blocks: str, longest: int) -> DataFram
         grown = arrangements(there, "_block", longest, "_own").withColumn("arrangement", F.concat("arrangement", "_own")).withColumn("_k", F.col("_k") + 1).drop("_block", "_own")
         made = grown.unionByName(done)
     return made.where(F.col("_k") >= F.size(blocks)).drop("_k")
+
+
+def transforms(df: DataFrame, values: str, moves: list[list[int]], out: str = "arrangement") -> DataFrame:
+    """Every arrangement that the moves reach, applied in any order and number, the array as it is included.
+
+    A move lists, for each place, the number of the element that comes there. The reached orders
+    of places grow round by round, each joined only with the moves, until a round adds none; they
+    are as many as the moves' group has. Arrays of another length are an error.
+    """
+    if not moves or any(sorted(m) != list(range(len(moves[0]))) for m in moves):
+        raise ValueError("each move must hold every place's number once")
+    spark, n = df.sparkSession, len(moves[0])
+    step = F.array(*(F.array(*map(F.lit, m)) for m in moves))
+    latest = spark.range(1).select(F.array(*map(F.lit, range(n))).alias("_order"))
+    reached = materialise(latest, "orders")
+    latest = reached
+    while not latest.isEmpty():
+        grown = latest.withColumn("_move", F.explode(step)).select(F.transform("_move", lambda k: F.get("_order", k)).alias("_order")).distinct()
+        latest = materialise(grown.join(reached, "_order", "left_anti"), "orders")
+        reached = reached.unionByName(latest)
+    sized = F.when(F.size(values) == n, F.col(values)).otherwise(F.raise_error(F.lit(f"an array does not have {n} elements")).cast(df.schema[values].dataType))
+    return df.withColumn("_v", sized).crossJoin(reached).withColumn(out, F.transform("_order", lambda k: F.get("_v", k))).drop("_v", "_order")

@@ -100,3 +100,73 @@ def circle_meets_line(x, y, r, x1, y1, x2, y2) -> Column:
     h = F.sqrt(F.greatest(r * r - d * d, F.lit(0.0)))
     at = lambda s: F.struct((fx + s * ux * h).alias("x"), (fy + s * uy * h).alias("y"))
     return F.when(near(d, r), F.array(at(0.0))).when(d > r, F.array().cast("array<struct<x: double, y: double>>")).otherwise(F.array(at(1.0), at(-1.0)))
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def midpoint(x1, y1, x2, y2) -> Column:
+    return _point((x1 + x2) / 2, (y1 + y2) / 2)
+
+
+def centroid(x1, y1, x2, y2, x3, y3) -> Column:
+    return _point((x1 + x2 + x3) / 3, (y1 + y2 + y3) / 3)
+
+
+def orthocentre(x1, y1, x2, y2, x3, y3) -> Column:
+    """Where the heights meet; null for a flat triangle."""
+    c = circumcircle(x1, y1, x2, y2, x3, y3)
+    return F.when(c.isNotNull(), _point(x1 + x2 + x3 - 2 * c["x"], y1 + y2 + y3 - 2 * c["y"]))
+
+
+def incircle(x1, y1, x2, y2, x3, y3) -> Column:
+    """(x, y, r) of the circle that touches all sides from within; null for a flat triangle."""
+    a, b, c = sides(x1, y1, x2, y2, x3, y3)
+    area = triangle_area(x1, y1, x2, y2, x3, y3)
+    around = a + b + c
+    return F.when(~near(area), F.struct(((a * x1 + b * x2 + c * x3) / around).alias("x"), ((a * y1 + b * y2 + c * y3) / around).alias("y"), (2 * area / around).alias("r")))
+
+
+def excircles(x1, y1, x2, y2, x3, y3) -> Column:
+    """The three (x, y, r) that touch one side from outside and the other two where they go on, opposite to each corner; null for a flat triangle."""
+    lengths = sides(x1, y1, x2, y2, x3, y3)
+    area = triangle_area(x1, y1, x2, y2, x3, y3)
+
+    def opposite(k: int) -> Column:
+        a, b, c = (-v if j == k else v for j, v in enumerate(lengths))
+        around = a + b + c
+        return F.struct(((a * x1 + b * x2 + c * x3) / around).alias("x"), ((a * y1 + b * y2 + c * y3) / around).alias("y"), (2 * area / around).alias("r"))
+
+    return F.when(~near(area), F.array(*(opposite(k) for k in range(3))))
+
+
+def nine_point_circle(*corners: Column) -> Column:
+    """(x, y, r) of the circle through the sides' midpoints; null for a flat triangle."""
+    x1, y1, x2, y2, x3, y3 = corners
+    return circumcircle((x2 + x3) / 2, (y2 + y3) / 2, (x1 + x3) / 2, (y1 + y3) / 2, (x1 + x2) / 2, (y1 + y2) / 2)
+
+
+def collinear(*corners: Column) -> Column:
+    return near(triangle_area(*corners))
+
+
+def distance_to_line(x, y, x1, y1, x2, y2) -> Column:
+    """From a point to the line through two others; null if these are one."""
+    d = length(x2 - x1, y2 - y1)
+    return F.when(~near(d), F.abs(three_quarter_plane(x1, y1, x2, y2, x, y)) / d)
+
+
+def rotated(x, y, around_x, around_y, angle: Column) -> Column:
+    """A point turned by an angle (radians, anticlockwise) around another."""
+    dx, dy, c, s = x - around_x, y - around_y, F.cos(angle), F.sin(angle)
+    return _point(around_x + dx * c - dy * s, around_y + dx * s + dy * c)
+
+
+def line_angle(x1, y1, x2, y2) -> Column:
+    """Of the line from one point to another, in radians from the x axis; null if they are one."""
+    return F.when(~near(length(x2 - x1, y2 - y1)), F.atan2(y2 - y1, x2 - x1))
+
+
+def circle_area(r: Column) -> Column:
+    return math.pi * r * r

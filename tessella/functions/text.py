@@ -159,3 +159,20 @@ def decode_digits(text: Column, digits: str) -> Column:
         F.lit(0).cast("decimal(38,0)"),
         lambda n, c: (n * F.lit(len(digits)) + F.nullif(F.instr(F.lit(digits), c), F.lit(0)) - F.lit(1)).cast("decimal(38,0)"),
     )
+
+
+def hex_as_words(digits: Column, words: Column) -> Column:
+    """Hex digits as words joined by underscores, 16 bits a word.
+
+    The low 11 bits choose one of the 2,048 words (an array); the five high bits, the highest
+    first, say which of its first five letters are upper case. A last block is filled up with 0.
+    """
+    padded = F.rpad(digits, (F.ceil(F.length(digits) / 4) * 4).cast("int"), F.lit("0"))
+    blocks = F.transform(F.regexp_extract_all(padded, F.lit("([0-9a-fA-F]{4})"), F.lit(1)), lambda b: F.conv(b, 16, 10).cast("int"))
+
+    def word(number: Column) -> Column:
+        letter = lambda w, k: F.when(F.shiftright(number, 15 - k) % 2 == 1, F.upper(F.substring(w, k + 1, 1))).otherwise(F.substring(w, k + 1, 1))
+        plain = F.get(words, number % 2048)
+        return F.concat(*(letter(plain, k) for k in range(5)), F.substring(plain, 6, 2**31 - 1))
+
+    return F.array_join(F.transform(blocks, word), "_")

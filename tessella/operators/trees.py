@@ -88,3 +88,56 @@ def from_parents(rows: DataFrame, deepest: int) -> DataFrame:
     # the message needs both sides, so that it is only made of joined rows
     below = level.join(child, ["tree", "node"]).select("tree", F.col("child").alias("node"), F.raise_error(F.concat(F.lit(f"more than {deepest} levels: "), F.col("child").cast("string"), F.size("path").cast("string"))).cast("array<int>").alias("path"))
     return every.unionByName(below)
+
+
+def common_path(a: Column, b: Column) -> Column:
+    """The longest path that both paths begin with."""
+    both = F.least(F.size(a), F.size(b))
+    steps = F.when(both > 0, F.sequence(F.lit(1), both)).otherwise(F.array().cast("array<int>"))
+    return F.slice(a, 1, F.size(F.filter(steps, lambda k: F.slice(a, 1, k) == F.slice(b, 1, k))))
+
+
+def common_ancestors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (tree, a, b) with `ancestor`, the lowest node that is above both or one of them. Pairs with unknown nodes give no rows."""
+    a = nodes.select("tree", F.col("node").alias("a"), F.col("path").alias("_a"))
+    b = nodes.select("tree", F.col("node").alias("b"), F.col("path").alias("_b"))
+    met = pairs.join(a, ["tree", "a"]).join(b, ["tree", "b"]).withColumn("path", common_path(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return met.join(nodes.select("tree", "path", F.col("node").alias("ancestor")), ["tree", "path"]).drop("path")
+
+
+def _upper_paths(nodes: DataFrame) -> DataFrame:
+    return nodes.select("tree", parent_path(F.col("path")).alias("path")).where("path is not null").distinct()
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """The nodes without children."""
+    return nodes.join(_upper_paths(nodes), ["tree", "path"], "left_anti").select(*nodes.columns)
+
+
+def parents(nodes: DataFrame) -> DataFrame:
+    """The nodes with children."""
+    return nodes.join(_upper_paths(nodes), ["tree", "path"], "left_semi").select(*nodes.columns)
+
+
+def outermost(nodes: DataFrame) -> DataFrame:
+    """tree, node, first, last, n: of each parent the first and the last leaf below it in document order, and how many there are.
+
+    A leaf names the paths above it; minima and maxima are combined before the shuffle.
+    """
+    below = leaves(nodes).where(F.size("path") > 0).select("tree", F.struct("path", "node").alias("leaf"), F.explode(F.sequence(F.lit(0), F.size("path") - 1)).alias("_k"))
+    ends = below.groupBy("tree", F.slice("leaf.path", F.lit(1), F.col("_k")).alias("path")).agg(F.min("leaf").alias("a"), F.max("leaf").alias("b"), F.count("*").alias("n"))
+    return nodes.select("tree", "node", "path").join(ends, ["tree", "path"]).select("tree", "node", F.col("a.node").alias("first"), F.col("b.node").alias("last"), "n")
+
+
+def context(nodes: DataFrame, key: str) -> DataFrame:
+    """tree, node, context: the keys of a node and of all above it, itself first; as long as the node is deep."""
+    above = ancestors(nodes).join(nodes.select("tree", F.col("node").alias("ancestor"), F.col(key).alias("_key")), ["tree", "ancestor"])
+    own = nodes.select("tree", "node", F.lit(0).alias("distance"), F.col(key).alias("_key"))
+    gathered = own.unionByName(above.select("tree", "node", "distance", "_key")).groupBy("tree", "node").agg(F.sort_array(F.collect_list(F.struct("distance", "_key"))).alias("c"))
+    return gathered.select("tree", "node", F.transform("c", lambda x: x["_key"]).alias("context"))
+
+
+def at_path(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (tree, node, steps) with `found`: where the steps, numbers of children, lead from the node; null if they lead nowhere."""
+    start = asked.join(nodes.select("tree", "node", F.col("path").alias("_from")), ["tree", "node"], "left").withColumn("_to", F.concat("_from", "steps"))
+    return start.join(nodes.select("tree", F.col("path").alias("_to"), F.col("node").alias("found")), ["tree", "_to"], "left").select(*asked.columns, "found")

@@ -55,9 +55,10 @@ def title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.titles(pages(spark, sf_dir), "page_id", "html")
 
 
-@register("page_urls", """SELECT DISTINCT page_id AS file, unnest(regexp_extract_all(html, '(https?://[^\\s"''<>]+)', 1)) AS url FROM pages""")
+@register("page_urls", """SELECT DISTINCT page_id AS file, unnest(regexp_extract_all(concat_ws(' ', url, html), '(https?://[^\\s"''<>]+)', 1)) AS url FROM pages""")
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.urls(pages(spark, sf_dir), "page_id", "html")
+    """Absolute links in each page and its own address."""
+    return facts.urls(pages(spark, sf_dir).withColumn("text", F.concat_ws(" ", "url", "html")), "page_id", "text")
 
 
 @register(
@@ -133,18 +134,21 @@ def link_targets_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "navigation_titles",
-    f"""WITH t AS (SELECT '/' || lower(split_part(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ', 1)) AS file, min(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages GROUP BY 1)
-    SELECT page_id AS map, reference AS href, CAST(NULL AS VARCHAR) AS navtitle, t.title, CASE WHEN t.title IS NULL THEN 'No title known' ELSE 'Set' END AS note FROM ({_LINKS}) l LEFT JOIN t ON lower(l.reference) = t.file""",
+    f"""WITH t AS (SELECT '/' || lower(split_part(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ', 1)) AS file, min(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' GROUP BY 1),
+    e AS (SELECT page_id AS map, lower(reference) AS href, CASE page_id % 3 WHEN 1 THEN reference WHEN 2 THEN t.title END AS navtitle, t.title AS known FROM ({_LINKS}) l LEFT JOIN t ON lower(l.reference) = t.file)
+    SELECT map, href, navtitle, coalesce(known, navtitle) AS title, CASE WHEN known IS NULL THEN 'No title known' WHEN navtitle IS NULL THEN 'Set' WHEN navtitle = known THEN 'Unchanged' ELSE 'Changed' END AS note FROM e""",
 )
 def navigation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles for links, where a page's title begins with the link's word."""
+    """Titles for links, where a page's title begins with the link's word.
+
+    Of three pages one has no titles yet, one the links themselves and one the titles that are known.
+    """
     known = facts.titles(pages(spark, sf_dir), "page_id", "html")
-    known = known.unionByName(pages(spark, sf_dir).where(F.regexp_extract("html", "<title>([^<]*)</title>", 1) == "").select(F.col("page_id").alias("file"), F.lit("").alias("title")))
-    named = known.groupBy(F.concat(F.lit("/"), F.lower(F.split_part("title", F.lit(" "), F.lit(1)))).alias("file")).agg(F.min("title").alias("title"))
-    entries = facts.references(pages(spark, sf_dir), "page_id", "html").select(F.col("file").alias("map"), F.col("reference").alias("href"), F.lit(None).cast("string").alias("navtitle"))
-    low = entries.withColumn("shown", F.col("href")).withColumn("href", F.lower("href"))
-    met = low.join(named.withColumnsRenamed({"file": "f", "title": "t"}), F.col("href") == F.col("f"), "left")
-    return met.select("map", F.col("shown").alias("href"), "navtitle", F.col("t").alias("title"), F.when(F.col("t").isNull(), "No title known").otherwise("Set").alias("note"))
+    titles = known.groupBy(F.concat(F.lit("/"), F.lower(F.split_part("title", F.lit(" "), F.lit(1)))).alias("file")).agg(F.min("title").alias("title"))
+    links = facts.references(pages(spark, sf_dir), "page_id", "html").select(F.col("file").alias("map"), F.lower("reference").alias("href"), "reference")
+    shown = links.join(titles.select(F.col("file").alias("f"), "title"), F.col("href") == F.col("f"), "left")
+    entries = shown.select("map", "href", F.when(F.col("map") % 3 == 1, F.col("reference")).when(F.col("map") % 3 == 2, F.col("title")).alias("navtitle"))
+    return references.fill_titles(entries, titles)
 
 
 @register(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays, combinations, geometry, numbers
@@ -302,13 +303,95 @@ def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "siblings_between",
-    f"WITH t AS ({_TREE}), n AS (SELECT tree, min(node) AS start, max(node) AS finish FROM t WHERE k1 >= 0 AND k2 = -1 GROUP BY tree) SELECT n.tree, n.start, n.finish, t.node FROM n JOIN t a ON a.node = n.start JOIN t b ON b.node = n.finish JOIN t ON t.parent = a.parent WHERE t.k1 > a.k1 AND t.k1 < b.k1",
+    f"WITH t AS ({_TREE}), n AS (SELECT tree, parent, arg_min(node, k2) AS start, arg_max(node, k2) AS finish FROM t WHERE k2 >= 0 GROUP BY 1, 2) SELECT n.tree, n.start, n.finish, t.node FROM n JOIN t a ON a.node = n.start JOIN t b ON b.node = n.finish JOIN t ON t.parent = n.parent WHERE t.k2 > a.k2 AND t.k2 < b.k2",
 )
 def siblings_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations between the first and the last of each region by name."""
+    """Suppliers between the first and the last of each nation."""
     tree = _tree(spark, sf_dir)
-    spans = tree.where(F.size("path") == 1).groupBy("tree").agg(F.min("node").alias("start"), F.max("node").alias("finish"))
-    return trees.siblings_between(tree, spans)
+    spans = tree.where(F.size("path") == 2).groupBy("tree", trees.parent_path(F.col("path"))).agg(F.min_by("node", "path").alias("start"), F.max_by("node", "path").alias("finish"))
+    return trees.siblings_between(tree, spans.select("tree", "start", "finish"))
+
+
+@register(
+    "common_ancestors",
+    f"WITH t AS ({_TREE}), s AS (SELECT tree, node, parent, k2, lead(node) OVER w AS b, lead(parent) OVER w AS bp FROM t WHERE k2 >= 0 WINDOW w AS (PARTITION BY tree ORDER BY k2)) SELECT tree, node AS a, b, CASE WHEN parent = bp THEN parent ELSE 'r' || tree END AS ancestor FROM s WHERE b IS NOT NULL",
+)
+def common_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest node above each supplier of a region and the next one by number."""
+    tree = _tree(spark, sf_dir)
+    order = W.partitionBy("tree").orderBy(F.substring("node", 2, 20).cast("long"))
+    pairs = tree.where(F.size("path") == 2).select("tree", F.col("node").alias("a"), F.lead("node").over(order).alias("b")).where("b is not null")
+    return trees.common_ancestors(tree, pairs)
+
+
+@register(
+    "outermost_leaves",
+    f"""WITH t AS ({_TREE}), leaf AS (SELECT * FROM t WHERE node NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL))
+    SELECT p.tree, p.node, arg_min(l.node, CAST(l.k1 AS BIGINT) * 100000000 + l.k2) AS first, arg_max(l.node, CAST(l.k1 AS BIGINT) * 100000000 + l.k2) AS last, count(*) AS n FROM t p JOIN leaf l ON l.tree = p.tree AND l.node <> p.node AND (p.k1 = -1 OR p.k2 = -1 AND p.k1 = l.k1) GROUP BY 1, 2""",
+)
+def outermost_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.outermost(_tree(spark, sf_dir))
+
+
+@register(
+    "leaves_and_parents",
+    f"WITH t AS ({_TREE}) SELECT tree, node, CASE WHEN node IN (SELECT parent FROM t WHERE parent IS NOT NULL) THEN 'parent' ELSE 'leaf' END AS kind FROM t",
+)
+def leaves_and_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _tree(spark, sf_dir)
+    kinds = trees.leaves(tree).withColumn("kind", F.lit("leaf")).unionByName(trees.parents(tree).withColumn("kind", F.lit("parent")))
+    return kinds.select("tree", "node", "kind")
+
+
+@register(
+    "tree_contexts",
+    f"SELECT t.tree, t.node, t.node || CASE WHEN t.k2 >= 0 THEN '<' || t.parent ELSE '' END || CASE WHEN t.k1 >= 0 THEN '<r' || t.tree ELSE '' END AS context FROM ({_TREE}) t",
+)
+def tree_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node with all above it, the root last."""
+    return trees.context(_tree(spark, sf_dir), "node").select("tree", "node", F.array_join("context", "<").alias("context"))
+
+
+@register(
+    "tree_steps",
+    f"""WITH t AS ({_TREE}), c AS (SELECT tree, parent, node, row_number() OVER (PARTITION BY parent ORDER BY k1, k2) AS k FROM t WHERE parent IS NOT NULL)
+    SELECT r.tree, r.node, b.node AS found FROM t r LEFT JOIN c a ON a.parent = r.node AND a.k = 2 LEFT JOIN c b ON b.parent = a.node AND b.k = 3 WHERE r.k1 = -1""",
+)
+def tree_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each region's root: the third supplier of its second nation."""
+    tree = _tree(spark, sf_dir)
+    asked = tree.where(F.size("path") == 0).select("tree", "node", F.array(F.lit(1), F.lit(2)).alias("steps"))
+    return trees.at_path(tree, asked).select("tree", "node", "found")
+
+
+@register(
+    "transformed_lists",
+    "SELECT r_regionkey, array_to_string([v[(a + s * 0) % 4 + 1], v[(a + s * 1) % 4 + 1], v[(a + s * 2) % 4 + 1], v[(a + s * 3) % 4 + 1]], '') AS word FROM ({0}), range(0, 4) t1(a), (SELECT unnest([1, 3]) AS s)".format(_FOUR),
+)
+def transformed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight orders that turning and mirroring four letters on a ring reach."""
+    return combinations.transforms(_four(spark, sf_dir), "v", [[1, 2, 3, 0], [0, 3, 2, 1]]).select("r_regionkey", F.array_join("arrangement", "").alias("word"))
+
+
+@register(
+    "triangle_centres",
+    """WITH t AS (SELECT p_partkey, CAST(p_size % 5 AS DOUBLE) AS x1, CAST(p_partkey % 4 AS DOUBLE) AS y1, CAST(p_partkey % 7 AS DOUBLE) AS x2, CAST(p_size % 3 AS DOUBLE) AS y2, CAST((p_partkey + p_size) % 6 AS DOUBLE) AS x3, CAST((2 * p_partkey) % 5 AS DOUBLE) AS y3 FROM part),
+    s AS (SELECT *, abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2 AS area, sqrt((x2 - x3) * (x2 - x3) + (y2 - y3) * (y2 - y3)) AS a, sqrt((x1 - x3) * (x1 - x3) + (y1 - y3) * (y1 - y3)) AS b, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) AS c FROM t)
+    SELECT p_partkey, round((x1 + x2 + x3) / 3, 6) AS middle, CASE WHEN area > 0 THEN round(2 * area / (a + b + c), 6) END AS inner_r, CASE WHEN area > 0 THEN round(2 * area / (b + c - a), 6) END AS outer_r,
+      CASE WHEN area > 0 THEN round(a * b * c / (8 * area), 6) END AS nine_r, area = 0 AS flat, CASE WHEN c > 0 THEN round(2 * area / c, 6) END AS height FROM s""",
+)
+def triangle_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = ("p_size % 5", "p_partkey % 4", "p_partkey % 7", "p_size % 3", "(p_partkey + p_size) % 6", "(2 * p_partkey) % 5")
+    c = [F.expr(f"cast({e} as double)") for e in corner]
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.round(geometry.centroid(*c)["x"], 6).alias("middle"),
+        F.round(geometry.incircle(*c)["r"], 6).alias("inner_r"),
+        F.round(geometry.excircles(*c)[0]["r"], 6).alias("outer_r"),
+        F.round(geometry.nine_point_circle(*c)["r"], 6).alias("nine_r"),
+        geometry.collinear(*c).alias("flat"),
+        F.round(geometry.distance_to_line(*c[4:], *c[:4]), 6).alias("height"),
+    )
 
 
 _DOTS = "SELECT DISTINCT c_mktsegment AS image, c_nationkey AS x, CAST(floor(c_acctbal / 500) AS INT) AS y FROM customer"
@@ -390,7 +473,17 @@ def content_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", files.content_name(F.col("p_name"), "dita").alias("name"))
 
 
-@register("comment_attributes", r"""SELECT page_id AS file, len(regexp_extract_all(html, '<!--\s*([a-zA-Z_]\w*):\s*(.*?)\s*-->')) AS n FROM pages""")
+#: A page behind comments that hold its address and language, as a report's trailer would.
+_COMMENTED = "concat('<!--url: ', url, '--> <!--lang: ', regexp_extract(html, 'lang=\"([a-z]+)\"', 1), '--> ', html)"
+_COMMENT = r"<!--\s*([a-zA-Z_]\w*):\s*(.*?)\s*-->"
+
+
+@register(
+    "comment_attributes",
+    f"""WITH c AS (SELECT page_id, {_COMMENTED} AS t FROM pages), p AS (SELECT page_id, unnest(regexp_extract_all(t, '{_COMMENT}', 1)) AS name, unnest(regexp_extract_all(t, '{_COMMENT}', 2)) AS value FROM c)
+    SELECT page_id AS file, name, min(value) AS value FROM p GROUP BY 1, 2""",
+)
 def comment_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.comment_attributes(table(spark, sf_dir, "pages"), "page_id", "html")
-    return found.select("file", F.size("attributes").cast("long").alias("n"))
+    """The names and values in the comments of pages that begin with two."""
+    named = table(spark, sf_dir, "pages").select("page_id", F.expr(_COMMENTED).alias("text"))
+    return files.comment_attributes(named, "page_id", "text").select("file", F.explode("attributes").alias("name", "value"))

@@ -130,3 +130,50 @@ def test_pairs_of_large_numbers(spark):
     rows = [(200_000_007, 3), (2**40 + 5, 2**40 - 1), (0, 0), (0, 10**14), (10**14, 0), (7, 94_906_266)]
     df = spark.createDataFrame(rows, "a long, b long").select(numbers.single_to_pair(numbers.pair_to_single(F.col("a"), F.col("b"))).alias("p"))
     assert [(r.p.i, r.p.j) for r in df.collect()] == rows
+
+
+def test_centres_of_triangles(spark):
+    lit = lambda *v: [F.lit(float(x)) for x in v]
+    of = lambda f, *v: one(spark, f(*lit(*v)))
+    assert tuple(of(geometry.midpoint, 0, 0, 2, 4)) == (1, 2) and tuple(of(geometry.centroid, 0, 0, 3, 0, 0, 6)) == (1, 2)
+    assert tuple(of(geometry.orthocentre, 0, 0, 3, 0, 0, 4)) == pytest.approx((0, 0))
+    assert tuple(of(geometry.incircle, 0, 0, 3, 0, 0, 4)) == pytest.approx((1, 1, 1))
+    assert tuple(of(geometry.nine_point_circle, 0, 0, 3, 0, 0, 4)) == pytest.approx((0.75, 1, 1.25))
+    outer = of(geometry.excircles, 0, 0, 3, 0, 0, 4)
+    assert [c.r for c in outer] == pytest.approx([6, 3, 2])  # area / (half the way around - the side): 6 / (6 - 5), 6 / (6 - 4), 6 / (6 - 3)
+    assert (outer[0].x, outer[0].y) == pytest.approx((6, 6))
+    assert of(geometry.collinear, 0, 0, 1, 1, 2, 2) and not of(geometry.collinear, 0, 0, 1, 1, 2, 3)
+    for f in (geometry.orthocentre, geometry.incircle, geometry.excircles, geometry.nine_point_circle):
+        assert of(f, 0, 0, 1, 1, 2, 2) is None
+    assert of(geometry.distance_to_line, 0, 5, -1, 0, 7, 0) == 5 and of(geometry.distance_to_line, 0, 5, 1, 1, 1, 1) is None
+    assert tuple(of(geometry.rotated, 2, 1, 1, 1, math.pi / 2)) == pytest.approx((1, 2))
+    assert of(geometry.line_angle, 0, 0, 0, 3) == pytest.approx(math.pi / 2) and of(geometry.line_angle, 1, 1, 1, 1) is None
+    assert of(geometry.circle_area, 2) == pytest.approx(4 * math.pi)
+
+
+def test_hex_as_words(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda k: F.concat(F.lit("word"), F.lpad(k.cast("string"), 4, "x")))
+    plain = lambda k: "word" + str(k).rjust(4, "x")
+
+    def want(digits):
+        out = []
+        digits += "0" * (-len(digits) % 4)
+        for k in range(0, len(digits), 4):
+            n = int(digits[k : k + 4], 16)
+            w = plain(n & 2047)
+            out.append("".join(c.upper() if j < 5 and n >> (15 - j) & 1 else c for j, c in enumerate(w)))
+        return "_".join(out)
+
+    for digits in ("0000", "ffff", "8001", "deadBEEF12", "7"):
+        assert one(spark, T.hex_as_words(F.lit(digits), words)) == want(digits)
+
+
+def test_transforms(spark):
+    df = spark.createDataFrame([(1, list("abcd")), (2, list("wxyz"))], "k int, v array<string>")
+    ring = combinations.transforms(df, "v", [[1, 2, 3, 0]])
+    assert sorted("".join(r.arrangement) for r in ring.where("k = 1").collect()) == ["abcd", "bcda", "cdab", "dabc"]
+    assert combinations.transforms(df, "v", [[1, 0, 2, 3], [1, 2, 3, 0]]).count() == 2 * 24
+    with pytest.raises(ValueError, match="each move"):
+        combinations.transforms(df, "v", [[0, 0, 1, 2]])
+    with pytest.raises(Exception, match="does not have 4 elements"):
+        combinations.transforms(spark.createDataFrame([(1, ["a"])], "k int, v array<string>"), "v", [[1, 2, 3, 0]]).collect()

@@ -194,3 +194,18 @@ def test_decoded_targets_and_deep_trees(spark):
     assert trees.from_parents(rows, 2).count() == 3
     with pytest.raises(PySparkException):
         trees.from_parents(rows, 1).collect()
+
+
+def test_tree_neighbourhoods(spark):
+    """r has a, b, c; a has d, e; e has f. A second tree is one node."""
+    paths = {"r": [], "a": [0], "b": [1], "c": [2], "d": [0, 0], "e": [0, 1], "f": [0, 1, 0]}
+    tree = spark.createDataFrame([(1, n, p) for n, p in paths.items()] + [(2, "z", [])], "tree int, node string, path array<int>")
+    ask = lambda *x: spark.createDataFrame([(1, *p) for p in x], "tree int, a string, b string")
+    assert rows(trees.common_ancestors(tree, ask(("d", "f"), ("d", "c"), ("e", "f"), ("b", "b"), ("b", "none"))).select("a", "b", "ancestor")) == [("b", "b", "b"), ("d", "c", "r"), ("d", "f", "a"), ("e", "f", "e")]
+    assert rows(trees.leaves(tree).select("tree", "node")) == [(1, "b"), (1, "c"), (1, "d"), (1, "f"), (2, "z")]
+    assert rows(trees.parents(tree).select("tree", "node")) == [(1, "a"), (1, "e"), (1, "r")]
+    assert rows(trees.outermost(tree)) == [(1, "a", "d", "f", 2), (1, "e", "f", "f", 1), (1, "r", "d", "c", 4)]
+    assert {r.node: r.context for r in trees.context(tree, "node").collect()} == {"r": ["r"], "a": ["a", "r"], "b": ["b", "r"], "c": ["c", "r"], "d": ["d", "a", "r"], "e": ["e", "a", "r"], "f": ["f", "e", "a", "r"], "z": ["z"]}
+    steps = spark.createDataFrame([(1, "r", [0, 1, 0]), (1, "a", [1]), (1, "a", []), (1, "b", [0]), (2, "q", [0])], "tree int, node string, steps array<int>")
+    assert sorted((r.node, tuple(r.steps), r.found) for r in trees.at_path(tree, steps).collect()) == [("a", (), "a"), ("a", (1,), "e"), ("b", (0,), None), ("q", (0,), None), ("r", (0, 1, 0), "f")]
+    assert trees.outermost(tree.where("false")).collect() == [] and trees.leaves(tree.where("false")).collect() == []
