@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 from tessella.llm import langid, queries
 
@@ -43,3 +45,70 @@ def test_stage_keeps_columns_and_clean_rows(docs):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert not ids & {4, 5, 6} and {0, 1, 10} <= ids
+
+
+def plain_grams(text):
+    """Buckets of 2 and 3 characters of each word with a blank at both ends, by whole numbers modulo 2^32."""
+    letter = lambda c: "a" <= c <= "z" or ord(c) >= 0xAA and c not in "×÷" and not 0x2000 <= ord(c) <= 0x206F
+    points, last = [32], True
+    for c in text.lower():
+        if letter(c) or last:
+            points.append(ord(c) if letter(c) else 32)
+        last = letter(c)
+    points.append(32)
+    out = []
+    for k in range(len(points) - 1):
+        two = points[k] * 0x9E3779B1 * 31 + points[k + 1] * 0x85EBCA6B
+        out.append(two)
+        if k + 2 < len(points) and points[k + 1] != 32:
+            out.append(two * 31 + points[k + 2] * 0xC2B2AE35)
+    mixed = ((x % 2**32) ^ (x % 2**32) >> 15 for x in out)
+    return Counter((x * 0x2C1B3C6D % 2**32) >> 16 for x in mixed)
+
+
+def plain_mixture(counts, text, penalty=6.0, rounds=12):
+    """EM over dictionaries: counts has a Counter for each language."""
+    labels = sorted(counts)
+    every = sum(sum(c.values()) for c in counts.values()) + 0.5 * 2**16
+    back = lambda b: (sum(c[b] for c in counts.values()) + 0.5) / every
+    own = plain_grams(text)
+    total = sum(own.values())
+    sizes = {x: sum(counts[x].values()) for x in labels}
+    p = {b: {x: (counts[x][b] + 200 * back(b)) / (sizes[x] + 200) for x in labels} for b in own}
+    likelihood = lambda share: sum(n * math.log(sum(w * p[b][x] for x, w in share.items())) for b, n in own.items())
+    first = max(labels, key=lambda x: likelihood({x: 1.0}))
+    share = {first: 1.0}
+    best = likelihood(share)
+    while True:
+        tries = []
+        for x in labels:
+            if x in share or sum(n * p[b][x] / sum(w * p[b][y] for y, w in share.items()) for b, n in own.items()) / total - 1 <= 0.02:
+                continue
+            new = {**{y: 0.8 * w for y, w in share.items()}, x: 0.2}
+            for _ in range(rounds):
+                add = dict.fromkeys(new, 0.0)
+                for b, n in own.items():
+                    whole = sum(w * p[b][y] for y, w in new.items())
+                    for y, w in new.items():
+                        add[y] += n * w * p[b][y] / whole
+                new = {y: v / total for y, v in add.items()}
+            tries.append((likelihood(new) - best, x, new))
+        if not tries or max(tries)[0] <= penalty * math.log(total + 1):
+            return share
+        gain, _, share = max(tries)
+        best += gain
+
+
+def test_mixtures_by_brute_force(documents):
+    """Chosen languages and proportions, of single texts and of pairs of them put together."""
+    df, rows = documents
+    model = langid.train(df)
+    counts = {}
+    for _, text, lang, _ in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    short = [t for _, t, *_ in rows if t and any(map(str.isalpha, t)) and len(t) < 1200]
+    for text in [*short, *(a + " " + b for a, b in zip(short[:40], short[40:80], strict=False))]:
+        got, want = dict(model.mixture(text)), plain_mixture(counts, text)
+        assert set(got) == set(want)
+        assert all(abs(got[x] - want[x]) < 1e-3 for x in got)

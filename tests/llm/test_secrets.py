@@ -1,7 +1,11 @@
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
+from itertools import combinations, pairwise
+from statistics import NormalDist
 
 import pytest
 
@@ -79,3 +83,79 @@ def test_long_texts_take_time_in_proportion():
     row = next(secrets._scan(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])]))).to_pylist()[0]
     assert len(row["base"]) == len(row["runs"]) == 40_000 and len(text) > 2_000_000
     assert time.perf_counter() - began < 30
+
+
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = [DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", DIGITS + UPPER, DIGITS + LOWER, DIGITS + UPPER + LOWER, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_"]
+
+
+def kind(c):
+    return "lower" if c in LOWER else "upper" if c in UPPER else "digit" if c in DIGITS else None
+
+
+def brute_p(run, alphabet, often_in_text, change):
+    """How likely ordinary text would look so even and change class so often; 1 if the run is not random."""
+    n, k = len(run), len(alphabet)
+    above = lambda z: 1 - NormalDist().cdf(z) if z < 5 else math.erfc(z / 2**0.5) / 2
+    if alphabet == DIGITS:
+        return 1.0
+    equal = sum(a == b for a, b in combinations(run, 2))
+    changes = sum((kind(a) or "other") != (kind(b) or "other") for a, b in pairwise(run))
+    at = [alphabet.index(c) - sum(map(alphabet.index, run)) / n for c in run]
+    serial = sum(a * b for a, b in pairwise(at)) / sum(a * a for a in at) if any(at) else 1.0
+    every = n * (n - 1) / 2
+    mean, spread = every / k, (every / k * (1 - 1 / k)) ** 0.5
+    if 2 * above(abs(serial + 1 / n) * n**0.5) < 1e-4 or above((equal - mean) / spread) < 1e-5 or (equal < mean and 2 * above((mean - equal) / spread) < 1e-4):
+        return 1.0
+    total = sum(often_in_text[c] + 0.01 for c in alphabet)
+    s2, s3 = (sum(((often_in_text[c] + 0.01) / total) ** e for c in alphabet) for e in (2, 3))
+    even = above((every * s2 - equal) / max(every * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2**2), 1e-9) ** 0.5)
+    expected = (n - 1) * change
+    often = above((changes - 0.5 - expected) / max(expected * (1 - change), 1e-9) ** 0.5)
+    if changes > expected:  # the exponential bound holds for short runs too
+        often = max(often, math.exp(-2 * (n - 1) * max(0.0, (changes - 0.5) / (n - 1) - change) ** 2))
+    even, often = max(even, 1e-300), max(often, 1e-300)
+    return even * often * (1 - math.log(even * often)) if even * often > 0 else 0.0
+
+
+def brute_random(rows, rate):
+    """The battery and the step-up rule over all rows, one candidate after the other."""
+    symbols, neighbours, changed = Counter(), 0, 0
+    for _, text in rows:
+        symbols.update(text or "")
+        inside = [(kind(a), kind(b)) for a, b in pairwise(text or "") if kind(a) and kind(b)]
+        neighbours, changed = neighbours + len(inside), changed + sum(a != b for a, b in inside)
+    change = (changed + 1) / (neighbours + 20)
+    bands = defaultdict(list)
+    for k, (_, text) in enumerate(rows):
+        known = [tuple(map(int, x.split(":")[1:])) for x in brute(text or "")]
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text or ""):
+            have = set(m[0])
+            one_case = have <= set(LOWER) or have <= set(UPPER)
+            fits = [a for a in ALPHABETS if have <= set(a)]
+            alphabet = (DIGITS + (LOWER if have <= set(LOWER) else UPPER)) if one_case else fits[0] if fits else None
+            if alphabet and not any(a < m.end() and b > m.start() for a, b in known):
+                p = brute_p(m[0], alphabet, symbols, change)
+                rounded = 10.0 ** (-min(1200, math.floor(-math.log10(max(p, 1e-300)) * 4)) / 4)
+                bands[max(b for b in (20, 28, 40, 64, 128) if b <= len(m[0]))].append((rounded, k, m.start(), m.end()))
+    out = [[] for _ in rows]
+    for found in bands.values():
+        good = [t for t, *_ in found if t * len(found) <= rate * sum(u <= t for u, *_ in found)]
+        for t, k, a, b in found:
+            if good and t <= max(good):
+                out[k].append((a, b))
+    return sorted((repr(i), sorted(x)) for (i, _), x in zip(rows, out, strict=True))
+
+
+@pytest.mark.parametrize("rate", [0.001, 0.2])
+def test_battery_and_step_up_rule(planted, rate):
+    df, rows, *_ = planted
+    found = secrets.scan(df, rate).collect()
+    assert sorted((repr(r.doc_id), [(x.start, x.end) for x in r.spans if x.kind == "random"]) for r in found) == brute_random([x[:2] for x in rows], rate)
+
+
+def test_query_by_brute_force(spark, sf_dir, documents):
+    """The whole smallest table, spans of the battery included."""
+    found = queries.QUERIES["op4_secret_scan"](spark, sf_dir).collect()
+    got = sorted((repr(r.doc_id), [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")]) for r in found)
+    assert got == brute_random([x[:2] for x in documents[1]], secrets.RATE)
