@@ -93,6 +93,30 @@ def link_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("reference").alias("n_references"))
 
 
+#: Pages as files with a topic id (every fifth has none) and two ids, and a reference from each to the next one, in nine forms.
+_FILE = "concat('/page ', {0}, '.html')"
+_TOPIC = "concat('t', ({0}) % 7)"
+_REFERENCE = f"""CASE page_id % 9 WHEN 0 THEN {_FILE.format("page_id + 1")} WHEN 1 THEN replace({_FILE.format("page_id + 1")}, ' ', '%20')
+  WHEN 2 THEN concat({_FILE.format("page_id + 1")}, '#', {_TOPIC.format("page_id + 1")}, '/a') WHEN 3 THEN concat({_FILE.format("page_id + 1")}, '#none/a')
+  WHEN 4 THEN concat({_FILE.format("page_id + 1")}, '#', {_TOPIC.format("page_id + 1")}, '/missing') WHEN 5 THEN concat({_FILE.format("page_id + 1")}, '#', {_TOPIC.format("page_id + 1")}, '/', {_TOPIC.format("page_id + 1")})
+  WHEN 6 THEN concat({_FILE.format("page_id + 1")}, '#/a') WHEN 7 THEN concat({_FILE.format("page_id + 1")}, 'x') ELSE concat('#', {_TOPIC.format("page_id")}, '/a') END"""
+
+
+@register(
+    "reference_reasons",
+    f"""WITH r AS (SELECT page_id, {_FILE.format("page_id")} AS file, {_REFERENCE} AS reference, page_id % 9 AS k, page_id + CASE WHEN page_id % 9 = 8 THEN 0 ELSE 1 END AS t FROM pages)
+    SELECT * FROM (SELECT file, reference, CASE WHEN k = 7 OR t NOT IN (SELECT page_id FROM pages) THEN 'No such file' WHEN k < 2 THEN NULL WHEN t % 5 = 0 THEN 'No topic id' WHEN k = 3 THEN 'Topic id does not match'
+      WHEN k = 4 THEN 'No such id in target topic' WHEN k = 5 OR t % 3 = 0 THEN NULL ELSE 'Duplicated id in target topic' END AS reason FROM r) WHERE reason IS NOT NULL""",
+)
+def reference_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken references among all pages, taken as files that hold `a` one to three times and their topic's id once or twice."""
+    df = pages(spark, sf_dir)
+    topic = F.when(F.col("page_id") % 5 != 0, F.expr(_TOPIC.format("page_id")))
+    named = df.select("page_id", F.expr(_FILE.format("page_id")).alias("file"), topic.alias("topic"), F.expr(_REFERENCE).alias("reference"))
+    ids = named.select("file", F.lit("a").alias("id"), (F.col("page_id") % 3 + 1).alias("n")).unionByName(named.where("topic is not null").select("file", F.col("topic").alias("id"), (F.col("page_id") % 2 + 1).alias("n")))
+    return references.check(named.select("file", "reference"), named.select("file", "topic"), ids).select("file", "reference", "reason")
+
+
 @register("external_links", f"SELECT CASE WHEN regexp_matches(reference, '(?i)^(https?:|mailto:|www)') THEN 'external' ELSE 'internal' END AS kind, count(*) AS n FROM ({_LINKS}) GROUP BY 1")
 def external_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = facts.references(pages(spark, sf_dir), "page_id", "html")
