@@ -84,6 +84,26 @@ def test_similar_against_all_pairs(spark):
         assert rows(similarity.similar(spark.createDataFrame(texts, "k long, t string"), "k", "t", level)) == want
 
 
+def test_similar_splits_crowded_words(spark, monkeypatch):
+    """A word of every text: many share it, so its pairs with the words after it are what texts meet by; one more column has a name used inside."""
+    monkeypatch.setattr(similarity, "CROWD", 2)
+    r = random.Random(5)
+    bases = [["x"] + [f"w{r.randrange(30)}" for _ in range(22)] for _ in range(8)]
+    texts = [(k, " ".join(w if r.random() > 0.03 else f"v{r.randrange(9)}" for w in bases[k % 8]), "c") for k in range(64)]
+    texts += [(3, "x " * 5, "c"), (None, texts[0][1], "c"), (90, " \t", "c")]
+    sets = [(k, frozenset(t.split())) for k, t, _ in texts if k is not None and t.split()]
+    for level in (0.6, 0.85, 1.0):
+        part = list(range(len(sets)))
+        for _ in sets:
+            for i, (_, a) in enumerate(sets):
+                for j, (_, b) in enumerate(sets):
+                    if len(a & b) >= level * len(a | b) - 1e-12:
+                        part[i] = part[j] = min(part[i], part[j])
+        members = {p: [k for (k, _), q in zip(sets, part, strict=True) if p == q] for p in part}
+        want = sorted((k, min(m)) for m in members.values() if len(m) > 1 for k in m)
+        assert rows(similarity.similar(spark.createDataFrame(texts, "k long, t string, w string"), "k", "t", level)) == want
+
+
 def test_graph(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 31), (31, 30), (None, 4)], "a long, b long")
     assert rows(graph.components(chain)) == [(k, 0) for k in range(21)] + [(30, 30), (31, 30)]
