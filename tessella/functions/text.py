@@ -176,3 +176,15 @@ def hex_as_words(digits: Column, words: Column) -> Column:
         return F.concat(*(letter(plain, k) for k in range(5)), F.substring(plain, 6, 2**31 - 1))
 
     return F.array_join(F.transform(blocks, word), "_")
+
+
+def escape_xml(text: Column) -> Column:
+    """text as the content of an element or of an attribute in double quotes."""
+    for character, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(character), F.lit(entity))
+    return text
+
+
+def blob_sha(text: Column) -> Column:
+    """The SHA-1 by which a version store names a file of this content."""
+    return F.sha1(F.concat(F.lit("blob "), F.octet_length(text).cast("string"), F.lit("\0"), text))

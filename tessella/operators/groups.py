@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,3 +110,48 @@ def fits_between(first: DataFrame, second: DataFrame) -> DataFrame:
     """tag, may_follow, may_precede of two lists of tags: those that may stand after one and before the other."""
     a, b = first.select(F.col("tag"), F.lit(True).alias("may_follow")).distinct(), second.select(F.col("tag"), F.lit(True).alias("may_precede")).distinct()
     return a.join(b, "tag", "full").select("tag", F.coalesce("may_follow", F.lit(False)).alias("may_follow"), F.coalesce("may_precede", F.lit(False)).alias("may_precede"))
+
+
+def content_edges(children: DataFrame) -> DataFrame:
+    """parent, tag, next, n: which tags follow each other inside a parent's tag, and how often.
+
+    children: parent (a tag), owner (the element), pos, tag; an element without children has one row
+    without a tag. A null tag is the beginning, a null next the end, so an edge from null to null
+    says that the parent may be empty. Children at one place are taken in the order of their tags.
+    """
+    w = W.partitionBy("owner").orderBy("pos", "tag")
+    rows = children.withColumns({"next": F.lead("tag").over(w), "_k": F.row_number().over(w)})
+    begins = rows.where("_k = 1 and tag is not null").select("parent", F.lit(None).cast("string").alias("tag"), F.col("tag").alias("next"))
+    return rows.select("parent", "tag", "next").unionByName(begins).groupBy("parent", "tag", "next").agg(F.count("*").alias("n"))
+
+
+def content_places(edges: DataFrame) -> DataFrame:
+    """parent, tag, may_be_first, may_be_last, parent_may_be_empty for each tag that content_edges has inside a parent."""
+    inside = edges.where("tag is not null").groupBy("parent", "tag").agg(F.max(F.col("next").isNull()).alias("may_be_last"))
+    first = edges.where("tag is null and next is not null").select("parent", F.col("next").alias("tag"), F.lit(True).alias("may_be_first")).distinct()
+    empty = edges.where("tag is null and next is null").select("parent", F.lit(True).alias("parent_may_be_empty")).distinct()
+    met = inside.join(first, ["parent", "tag"], "left").join(empty, "parent", "left")
+    return met.select("parent", "tag", F.coalesce("may_be_first", F.lit(False)).alias("may_be_first"), "may_be_last", F.coalesce("parent_may_be_empty", F.lit(False)).alias("parent_may_be_empty"))
+
+
+def selected(rows: DataFrame, column: str, wanted) -> DataFrame:
+    """The rows whose column is as wanted: equal to a value, one of a list, tuple, set or dict's keys, found by a compiled
+    pattern (in Java's syntax), accepted by a function of the column, or in the first column of a DataFrame. Nulls are never selected."""
+    if isinstance(wanted, DataFrame):
+        return rows.join(wanted.select(F.col(wanted.columns[0]).alias(column)).distinct(), column, "left_semi").select(*rows.columns)
+    value = F.col(column)
+    if isinstance(wanted, re.Pattern):
+        return rows.where(value.rlike(wanted.pattern))
+    if isinstance(wanted, (list, tuple, set, frozenset, dict)):
+        return rows.where(value.isin(*wanted))
+    return rows.where(wanted(value) if callable(wanted) else value == wanted)
+
+
+def matching(rows: DataFrame, wanted: dict) -> DataFrame:
+    """The rows that are as wanted in every column named; a column that rows lack, or no column at all, is an error."""
+    unknown = [c for c in wanted if c not in rows.columns]
+    if unknown or not wanted:
+        raise ValueError(f"no such column: {', '.join(map(repr, unknown))}" if unknown else "say which columns must match")
+    for column, how in wanted.items():
+        rows = selected(rows, column, how)
+    return rows

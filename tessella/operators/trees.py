@@ -141,3 +141,25 @@ def at_path(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (tree, node, steps) with `found`: where the steps, numbers of children, lead from the node; null if they lead nowhere."""
     start = asked.join(nodes.select("tree", "node", F.col("path").alias("_from")), ["tree", "node"], "left").withColumn("_to", F.concat("_from", "steps"))
     return start.join(nodes.select("tree", F.col("path").alias("_to"), F.col("node").alias("found")), ["tree", "_to"], "left").select(*asked.columns, "found")
+
+
+def contents(nodes: DataFrame) -> DataFrame:
+    """tree, node, tag, text, md5 of nodes (tree, node, path, tag, text): what each node holds, itself included.
+
+    text joins the texts of a node and of all below it, in document order, by blanks. md5 is that of
+    a line for each of them, with its depth below the node, its tag and its text, so equal digests
+    mean equal structure. Each node is sent to those above it, as many rows as it is deep; a root
+    gathers one tree, which is one file. Null texts and tags are empty, but leave no blank.
+    """
+    held = nodes.select("tree", "path", "tag", "text", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("_k"))
+    line = F.concat_ws(":", (F.size("path") - F.col("_k")).cast("string"), F.coalesce("tag", F.lit("")), F.coalesce("text", F.lit("")))
+    at = held.select("tree", F.slice("path", F.lit(1), F.col("_k")).alias("_p"), F.struct("path", line.alias("line"), F.col("text").alias("text")).alias("_x"))
+    below = at.groupBy("tree", "_p").agg(F.sort_array(F.collect_list("_x")).alias("_x"))
+    texts = F.array_join("_x.text", " ")
+    below = below.select("tree", F.col("_p").alias("path"), texts.alias("text"), F.md5(F.array_join("_x.line", "\n")).alias("md5"))
+    return nodes.select("tree", "node", "path", "tag").join(below, ["tree", "path"]).select("tree", "node", "tag", "text", "md5")
+
+
+def reused_contents(held: DataFrame) -> DataFrame:
+    """tag, md5, text, n of the contents that occur more than once, from contents()."""
+    return held.groupBy("tag", "md5").agg(F.min("text").alias("text"), F.count("*").alias("n")).where("n > 1")

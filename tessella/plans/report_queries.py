@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,10 +65,8 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("conjunctive_filter", "SELECT p_partkey, p_name, p_type FROM part WHERE regexp_matches(p_name, '^(red|blue)') AND regexp_matches(p_type, 'A') AND regexp_matches(p_brand, '#1') ORDER BY p_partkey")
 def conjunctive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose name, type and brand all match."""
-    wanted = {"p_name": "^(red|blue)", "p_type": "A", "p_brand": "#1"}
-    df = table(spark, sf_dir, "part")
-    for column, pattern in wanted.items():
-        df = df.where(F.col(column).rlike(pattern))
+    wanted = {column: re.compile(pattern) for column, pattern in {"p_name": "^(red|blue)", "p_type": "A", "p_brand": "#1"}.items()}
+    df = groups.matching(table(spark, sf_dir, "part"), wanted)
     return df.select("p_partkey", "p_name", "p_type").orderBy("p_partkey")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import text as T
+
 
 def folder(spark: SparkSession, path: str, extension: str | None = None, charset: str = "UTF-8") -> DataFrame:
     """path, name, extension, bytes, content of the files below a folder; content is the decoded text."""
@@ -47,6 +51,23 @@ def write_report(report: DataFrame, path: str, title: str, formats: tuple[str, .
     return counted.select(F.lit(title).alias("title"), "rows", F.array(*map(F.lit, report.columns)).alias("columns"), F.lit(path).alias("path"))
 
 
+def write_reports(reports: dict[str, DataFrame], path: str, formats: tuple[str, ...] = ("csv", "json")) -> DataFrame:
+    """Write each report below a folder of its own, and the table of them all (title, rows, columns, path) as `index`; return that table."""
+    lines = [write_report(report, f"{path}/{title}", title, formats) for title, report in reports.items()]
+    reduce(DataFrame.unionByName, lines).write.mode("overwrite").parquet(f"{path}/index")
+    return lines[0].sparkSession.read.schema(lines[0].schema).parquet(f"{path}/index")
+
+
+#: What stands before and after the root element of a marked-up file.
+_HEADER = r"^((?:\s*<(?:\?[^>]*\?|![A-Za-z][^>]*)>)*\s*)"
+_TRAILER = r"((?:\s*<!--(?:[^-]|-[^-])*-->)*\s*)$"
+
+
+def with_body(source: Column, body: Column) -> Column:
+    """body between the header (processing instructions, document type) and the trailer (comments) of the source it was made from; an edit in place."""
+    return F.concat(F.regexp_extract(source, _HEADER, 1), F.trim(body), F.regexp_extract(source, _TRAILER, 1))
+
+
 def write_word_index(index: DataFrame, titles: DataFrame, path: str) -> None:
     """Three tables: words with their files, files with their words, files with their titles."""
     index.select("word", "file", "n").write.mode("overwrite").parquet(f"{path}/words_to_files")
@@ -55,8 +76,8 @@ def write_word_index(index: DataFrame, titles: DataFrame, path: str) -> None:
 
 
 def xml_map(entries: DataFrame, key: str, href: str, title: str) -> DataFrame:
-    """key, xml: a map element for each key with its references in order of href."""
-    line = F.concat(F.lit('  <topicref href="'), F.col(href), F.lit('" navtitle="'), F.col(title), F.lit('"/>'))
+    """key, xml: a map element for each key with its references in order of href; names and titles are escaped."""
+    line = F.concat(F.lit('  <topicref href="'), T.escape_xml(F.col(href)), F.lit('" navtitle="'), T.escape_xml(F.col(title)), F.lit('"/>'))
     parts = F.array_sort(F.collect_list(F.struct(F.col(href).alias("h"), line.alias("l"))))
     body = F.array_join(F.transform(parts, lambda p: p["l"]), "\n")
     return entries.groupBy(key).agg(F.concat(F.lit("<map>\n"), body, F.lit("\n</map>")).alias("xml"))
