@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and their SQL."""
+"""The queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontaminate, graph_index, jaccard, langid, lines, mixing, secrets, token_files
+from tessella.llm import blocks, chat, decontaminate, graph_index, infill, jaccard, langid, lines, mixing, resample, secrets, token_files
 from tessella.session import table
 
 QUERIES: dict = {}
@@ -161,3 +161,71 @@ FROM m GROUP BY doc_id
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each document in a mix of all sources with weights 1, 2, 3."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@_register
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents with the same text, the one with the largest doc_id."""
+    return blocks.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@_register
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-the-middle example, and the text rebuilt from it."""
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+k AS (SELECT *, [CAST('0x' || substr(h, 8 * i - 7, 8) AS BIGINT) FOR i IN [1, 2, 3, 4]] AS k FROM t),
+c AS (
+  SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k),
+p AS (SELECT *, substring(text, 1, a) AS pre, substring(text, a + 1, b - a) AS mid, substring(text, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@_register
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn to resemble the benchmark."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: DuckDB has no CRC-32: it is folded over the bytes of each different feature.
+ORACLES["op13_importance_resampling"] = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS step),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+c AS (
+  SELECT f, xor(list_reduce(list_transform(range(CAST(length(x) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda r, y: xor(r >> 8, step[(xor(r, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k
+  FROM h, steps),
+s AS (SELECT k, count(*) AS n FROM df JOIN c USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM bf JOIN c USING (f) GROUP BY k),
+a AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s, coalesce((SELECT sum(n) FROM t), 0) AS t),
+g AS (SELECT s.k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (a.s + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (a.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (k), a),
+m AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM df JOIN c USING (f) JOIN g USING (k) GROUP BY doc_id),
+z AS (
+  SELECT d.doc_id, len(d.w) AS words, coalesce(m.n, 0) AS n_features, coalesce(m.weight, 0) AS weight,
+    coalesce(m.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM z WHERE words >= 20)
+SELECT z.doc_id, n_features, weight, score, CASE WHEN r.r <= 25 * r.n // 100 THEN r.r END AS rank
+FROM z LEFT JOIN r USING (doc_id)
+"""
