@@ -110,18 +110,17 @@ class Automaton:
         link, length, window = self._link, self._length, self.window
         self.short: dict[int, list[tuple[int, int]]] = {}
         self.held: dict[int, set[int]] = {}
-        for at, words, number in ends:
-            width = min(words, window)
-            while length[link[at]] >= width:
-                at = link[at]
-            if words < window:
-                self.short.setdefault(at, []).append((width, number))
-            else:
-                self.held.setdefault(at, set()).add(number)
         above, marked = [0] * len(link), [0] * len(link)
-        for v in sorted(range(1, len(link)), key=length.__getitem__):
+        order = sorted(range(1, len(link)), key=length.__getitem__)
+        for v in order:  # a suffix link leads to a shorter state
             if length[v] >= window:
                 above[v] = v if length[link[v]] < window else above[link[v]]
+        for at, words, number in ends:
+            if words < window:  # the state of a whole item is as long as the item
+                self.short.setdefault(at, []).append((words, number))
+            else:
+                self.held.setdefault(above[at], set()).add(number)
+        for v in order:
             marked[v] = v if v in self.short else marked[link[v]]
         self.above, self.marked = np.array(above, np.int32), np.array(marked, np.int32)
 

@@ -35,15 +35,22 @@ def _inverse(x: int) -> int:
     return pow(x, -1, 2**64)
 
 
+#: So many powers are kept for the next texts; more are made anew where a single word or piece is that long.
+KEPT_POWERS = 1 << 22
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        for k, base in enumerate((int(_BASE), _inverse(int(_BASE)))):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (int(_BASE), _inverse(int(_BASE))):
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,6 +80,24 @@ def slices(offsets: np.ndarray, size: int = 1 << 18):
         i = min(j, n)
 
 
+#: A longer text is read in stretches of so many bytes.
+STRETCH = 1 << 20
+
+
+def stretches(data: np.ndarray, begin: int, end: int, lut: np.ndarray, size: int):
+    """Parts (begin, end) of about size bytes, all of which end where no word goes on."""
+    while begin < end:
+        stop = min(begin + size, end)
+        while stop < end:
+            gap = np.flatnonzero(lut[data[stop : min(stop + size, end)]] == 0)
+            if len(gap):
+                stop += int(gap[0])
+                break
+            stop = min(stop + size, end)
+        yield begin, stop
+        begin = stop
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the words of a run of texts begin and end, and the lowered bytes (0: no word)."""
     low = lut[data]
@@ -111,6 +136,13 @@ def each_text(column: pa.Array, lut: np.ndarray):
     """(number of the text in the column, hashes of its words) for each text, in order."""
     data, offsets = utf8(column)
     for i, j in slices(offsets):
+        if offsets[j] - offsets[i] > STRETCH:  # one long text
+            found = []
+            for begin, end in stretches(data, int(offsets[i]), int(offsets[j]), lut, STRETCH):
+                starts, ends, low = word_bounds(data[begin:end], np.array([0, end - begin]), lut)
+                found.append(word_hashes(low, starts, ends))
+            yield i, np.concatenate(found)
+            continue
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, low = word_bounds(part, at, lut)
         hashes = word_hashes(low, starts, ends)

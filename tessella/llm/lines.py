@@ -79,18 +79,37 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 10, least_docs: int
     )
 
 
-#: A unit ends at a line break or after a full stop, exclamation or question mark before white space.
-_UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|$)")
+_MARKS = re.compile(r"[.!?]+|\n")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+def _unit_bounds(text: str) -> Iterator[tuple[int, int]]:
+    """A unit ends at a line break or after full stops, exclamation or question marks before white space, not with its first character.
+
+    Each run of marks is looked at once, so any text takes a time in proportion to its length.
+    """
+    start = 0
+    for m in _MARKS.finditer(text):
+        end = m.end()
+        if text[m.start()] == "\n":
+            if m.start() > start:
+                yield start, m.start()
+            start = end
+        elif end - start >= 2 and end < len(text) and text[end].isspace():
+            yield start, end
+            start = end
+    if start < len(text):
+        yield start, len(text)
+
+
 def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, normalised) of each unit with words: its words, lowered, with one blank between."""
     out = []
-    for m in _UNIT.finditer(text or ""):
-        words = _WORD.findall(m[0].encode().translate(_LOWER))
+    text = text or ""
+    for start, end in _unit_bounds(text):
+        words = _WORD.findall(text[start:end].encode().translate(_LOWER))
         if words:
-            out.append((m.start(), m.end(), len(words), b" ".join(words)))
+            out.append((start, end, len(words), b" ".join(words)))
     return out
 
 
@@ -105,7 +124,8 @@ def _unit_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names += found
             starts += [x[0] for x in found.values()]
             counts += map(len, found.values())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(names, pa.binary()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "key", "start", "n"])
+        doc_id, tie = (batch.column(c).take(pa.array(rows, pa.int32())) for c in (0, 2))
+        yield pa.RecordBatch.from_arrays([doc_id, tie, pa.array(names, pa.binary()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "tie", "key", "start", "n"])
 
 
 def _cut_runs(least_words: int):
@@ -146,18 +166,22 @@ def remove_repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame
     """doc_id, n_units, n_removed, removed, kept: each text without passages that stand earlier.
 
     Units are sentences and lines, compared by their lowered words. Occurrences rank by (doc_id,
-    start); the earliest of a unit stays, and every later one goes, however short. A larger
-    least_words spares runs of neighbouring later occurrences that have fewer words together.
-    removed holds the original offsets (code points, end exclusive) of what went. A null text is
-    empty; rows without a doc_id neither lose anything nor count; rows that share a doc_id and a
-    text rank alike and both keep a unit's first occurrence.
+    digest of the text, start); the earliest of a unit stays, and every later one goes, however
+    short. A larger least_words spares runs of neighbouring later occurrences that have fewer
+    words together. removed holds the original offsets (code points, end exclusive) of what went.
+    A null text is empty; rows without a doc_id neither lose anything nor count; rows that share
+    a doc_id and a text rank alike and both keep a unit's first occurrence. A text of any length
+    is read whole, in a time that grows with it. An empty table gives no rows. Other columns,
+    whatever their names, are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = texts.where("doc_id is not null and text is not null").mapInArrow(_unit_digests, "doc_id long, key binary, start long, n long")
-    first = held.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
+    held = texts.where("doc_id is not null and text is not null").mapInArrow(_unit_digests, "doc_id long, tie long, key binary, start long, n long")
+    first = held.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "tie", "start")).alias("first")).where("n > 1")
     later = held.join(first.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k"))
-    later = later.select("doc_id", F.struct("key", F.when(F.col("first.doc_id") == F.col("doc_id"), F.col("first.start")).otherwise(-1).alias("at")).alias("x"))
-    later = later.groupBy("doc_id").agg(F.collect_list("x").alias("later"))
-    return texts.join(later.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "later").mapInArrow(
+    same = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tie") == F.col("tie"))
+    later = later.select("doc_id", "tie", F.struct("key", F.when(same, F.col("first.start")).otherwise(-1).alias("at")).alias("x"))
+    # rows that agree in doc_id and text bring each key once
+    later = later.groupBy("doc_id", "tie").agg(F.collect_set("x").alias("later")).withColumnsRenamed({"doc_id": "d", "tie": "t"})
+    return texts.join(later, (F.col("doc_id") == F.col("d")) & (F.col("tie") == F.col("t")), "left").select("doc_id", "text", "later").mapInArrow(
         _cut_runs(least_words), "doc_id long, n_units long, n_removed long, removed array<struct<start: long, end: long>>, kept string"
     )

@@ -25,8 +25,7 @@ from tessella.session import materialise
 BUCKETS = 10_000
 #: Longer words are checksummed one by one.
 WORD = 64
-#: A longer text is read in stretches of so many bytes.
-STRETCH = 1 << 20
+STRETCH = kernels.STRETCH
 #: Reversed polynomial of CRC-32.
 _POLYNOMIAL = 0xEDB88320
 
@@ -91,20 +90,6 @@ def _pair_sums(sums: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.n
     return out
 
 
-def _stretches(data: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    """Parts of about STRETCH bytes, all of which end where no word goes on."""
-    while begin < end:
-        stop = min(begin + STRETCH, end)
-        while stop < end:
-            gap = np.flatnonzero(kernels.ALPHANUMERIC[data[stop : min(stop + STRETCH, end)]] == 0)
-            if len(gap):
-                stop += int(gap[0])
-                break
-            stop = min(stop + STRETCH, end)
-        yield begin, stop
-        begin = stop
-
-
 def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, end, texts of words, texts of features, buckets of features) of runs of texts; texts are numbered from first.
 
@@ -113,7 +98,7 @@ def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     data, offsets = kernels.utf8(column)
     for i, j in kernels.slices(offsets, STRETCH):
         before = None
-        for begin, end in _stretches(data, int(offsets[i]), int(offsets[j])):
+        for begin, end in kernels.stretches(data, int(offsets[i]), int(offsets[j]), kernels.ALPHANUMERIC, STRETCH):
             at = np.clip(offsets[i : j + 1], begin, end) - begin
             starts, ends, low = kernels.word_bounds(data[begin:end], at, kernels.ALPHANUMERIC)
             if not len(starts):

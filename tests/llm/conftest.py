@@ -41,6 +41,7 @@ def texts():
         (None, None, None, None),
         (10, "première façon d’écrire\nlast line here\npremière façon d’écrire", "fr", "c"),
         (11, "\n".join(" ".join(words(r, 12)) for _ in range(2500)), "en", "a"),
+        (60, "before <|endoftext|> after <|endoftext|>", "en", "b"),
         (12, "[INST] 1234567890 !!! \\ 日本語のテキスト 😀", None, "c"),
     ]
     for k in range(13, 60):

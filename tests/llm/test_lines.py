@@ -1,6 +1,10 @@
 import hashlib
+import time
 from collections import defaultdict
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tessella.llm import lines, queries
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -60,18 +64,20 @@ def units(text):
     return out
 
 
-def passages(rows, least):
-    """Units rank by (doc_id, start); runs of later occurrences with enough words go."""
+def passages(rows, least, tie=None):
+    """Units rank by (doc_id, start), or (doc_id, tie of the text, start); runs of later occurrences with enough words go."""
     first = {}
-    for i, text in sorted((i, t) for i, t in {(i, t) for i, t, *_ in rows if i is not None and t}):
+    tie = tie or {}
+    for i, text in {(i, t) for i, t, *_ in rows if i is not None and t}:
         for s, _, _, u in units(text):
-            first[u] = min(first.get(u, (i, s)), (i, s))
+            rank = (i, tie.get(text, 0), s)
+            first[u] = min(first.get(u, rank), rank)
     out = []
     for i, text, *_ in rows:
         cut, run = [], []
         parts = units(text or "")
         for k, (s, _, _, u) in enumerate([*parts, (-1, -1, 0, None)]):
-            if i is not None and u is not None and first[u] != (i, s):
+            if i is not None and u is not None and first[u] != (i, tie.get(text, 0), s):
                 run.append(k)
                 continue
             if run and sum(parts[j][2] for j in run) >= least:
@@ -119,6 +125,31 @@ def test_passage_query_leaves_no_later_occurrence(spark, sf_dir, documents):
         assert (r.n_units, r.kept_sha256, r.removed_spans) == (n, hashlib.sha256(kept.encode()).hexdigest(), ",".join(f"{a}:{b}" for a, b in cut))
 
 
+def test_rows_of_one_doc_id_with_unlike_texts(spark):
+    """Their texts rank by digest: a unit stays in one of them only, whatever its offsets."""
+    same = "This sentence is in all three."
+    rows = [(1, f"{same} And more."), (1, f"Other words here. {same}"), (1, f"{same} Or less!"), (1, f"{same} Or less!"), (2, f"{same} {same}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r.text: r.t for r in df.selectExpr("text", "xxhash64(text) as t").collect()}
+    found = lines.remove_repeated_passages(df).collect()
+    assert sorted(repr((r.doc_id, r.n_units, r.kept, [(x.start, x.end) for x in r.removed])) for r in found) == passages(rows, 1, tie)
+    kept = {r.kept for r in found if same in r.kept}
+    assert len(kept) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.!? \n\t\x1cé", max_size=40))
+def test_unit_bounds(text):
+    assert lines.units(text) == [(s, e, n, w.encode()) for s, e, n, w in units(text)]
+
+
+def test_long_runs_of_marks_take_no_longer_than_other_text():
+    began = time.perf_counter()
+    assert lines.units("." * 1_000_000) == [] and lines.units("!?" * 500_000 + "x") == [(0, 1_000_001, 1, b"x")]
+    assert len(lines.units("a. " * 300_000)) == 300_000
+    assert time.perf_counter() - began < 5
+
+
 def test_empty_tables(no_docs):
     assert lines.drop_repeated_lines(no_docs).collect() == []
     assert lines.remove_repeated_passages(no_docs).collect() == []
