@@ -9,7 +9,12 @@ links that searches travel on. As shards are small, the candidates for links are
 products in blocks, not by searching the growing graph. Nearness is the inner product: one more component makes all
 vectors of a shard equally long, after which it is a distance.
 
-Queries are a stated set. They meet the shards in blocks, and what the shards find is merged.
+How many nodes a search keeps in view is measured for each shard when it is built: a bounded
+sample of its own vectors is searched for, and the view is doubled until RECALL of what an exact
+scan finds is found. A shard in which a quarter of the nodes does not suffice is scanned.
+
+Queries are a stated set. A task reads a shard's graph once and streams blocks of queries past
+it; what the shards find is merged.
 """
 
 from __future__ import annotations
@@ -28,12 +33,14 @@ from tessella.session import materialise
 SHARD = 8192
 #: Links that a node makes when it enters, and those it keeps at the lowest level and above.
 LINKS, LOWEST, UPPER = 16, 32, 16
-#: Candidates for links, and nodes that a search keeps in view.
+#: Candidates for links, and nodes that a search keeps in view at least.
 CANDIDATES, VIEW = 48, 128
+#: Share of the NEAR nearest that a view must find, over SAMPLE vectors of the shard.
+RECALL, NEAR, SAMPLE = 0.97, 21, 64
 #: Nodes whose neighbours a search looks at in one step.
 STEP = 4
-#: Queries in one block.
-BLOCK = 512
+#: Queries in one block, and blocks that one task streams past a shard, about.
+BLOCK, STREAM = 512, 64
 
 
 def _diverse(near: np.ndarray, own: np.ndarray, points: np.ndarray, most: int) -> np.ndarray:
@@ -91,8 +98,9 @@ def _level(points: np.ndarray, entered: np.ndarray, most: int) -> np.ndarray:
 class Graph:
     """A shard's vectors and the flat neighbour arrays of its levels."""
 
-    def __init__(self, vectors: np.ndarray, levels: np.ndarray, lowest: np.ndarray, upper: np.ndarray) -> None:
-        self.vectors, self.levels, self.lowest, self.upper = vectors, levels, lowest, upper
+    def __init__(self, vectors: np.ndarray, levels: np.ndarray, lowest: np.ndarray, upper: np.ndarray, view: int = VIEW) -> None:
+        self.vectors, self.levels, self.lowest, self.upper, self.view = vectors, levels, lowest, upper, view
+        self.light = vectors.astype(np.float32)
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 5) -> Graph:
@@ -110,18 +118,49 @@ class Graph:
         for level in range(1, int(levels.max(initial=0)) + 1):
             entered = np.flatnonzero(levels >= level)
             above.append(_level(points, entered, UPPER))
-        return cls(vectors, levels, lowest, np.concatenate(above) if above else np.zeros((0, UPPER), np.int32))
+        graph = cls(vectors, levels, lowest, np.concatenate(above) if above else np.zeros((0, UPPER), np.int32))
+        graph.view = graph._enough()
+        return graph
+
+    def _enough(self) -> int:
+        """The least view, from VIEW on and doubled each time, that finds RECALL of the nearest; all nodes if a quarter is not enough."""
+        n = len(self.vectors)
+        asked = self.vectors[:: max(1, n // SAMPLE)]
+        k = min(NEAR, n)
+        exact, _ = self.scan(asked, k)
+        view = VIEW
+        while view <= n // 4:
+            found, _ = self.search(asked, k, view)
+            if np.mean([np.isin(a, b).mean() for a, b in zip(exact, found, strict=True)]) >= RECALL:
+                return view
+            view *= 2
+        return max(n, 1)
+
+    def scan(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """What search returns, from all inner products."""
+        n = len(self.vectors)
+        nodes, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf)
+        if n:
+            for a in range(0, len(queries), BLOCK):
+                part = queries[a : a + BLOCK]
+                near = np.argsort(-(part @ self.vectors.T), axis=1, kind="stable")[:, :k]
+                exact = np.einsum("qcd,qd->qc", self.vectors[near], part)
+                order = np.argsort(-exact, axis=1, kind="stable")
+                nodes[a : a + BLOCK, : near.shape[1]] = np.take_along_axis(near, order, axis=1)
+                scores[a : a + BLOCK, : near.shape[1]] = np.take_along_axis(exact, order, axis=1)
+        return nodes, scores
 
     def pack(self) -> dict[str, bytes]:
-        return {"vectors": self.vectors.astype("<f8").tobytes(), "levels": self.levels.tobytes(), "lowest": self.lowest.astype("<i4").tobytes(), "upper": self.upper.astype("<i4").tobytes()}
+        return {"view": self.view, "vectors": self.vectors.astype("<f8").tobytes(), "levels": self.levels.tobytes(), "lowest": self.lowest.astype("<i4").tobytes(), "upper": self.upper.astype("<i4").tobytes()}
 
     @classmethod
-    def unpack(cls, size: int, vectors: bytes, levels: bytes, lowest: bytes, upper: bytes) -> Graph:
+    def unpack(cls, size: int, view: int, vectors: bytes, levels: bytes, lowest: bytes, upper: bytes) -> Graph:
         return cls(
             np.frombuffer(vectors, "<f8").reshape(-1, size),
             np.frombuffer(levels, np.int8),
             np.frombuffer(lowest, "<i4").reshape(-1, LOWEST),
             np.frombuffer(upper, "<i4").reshape(-1, UPPER),
+            view,
         )
 
     def _descend(self, queries: np.ndarray, light: np.ndarray) -> np.ndarray:
@@ -146,12 +185,14 @@ class Graph:
                 best = np.where(better, value, best)
         return at
 
-    def search(self, queries: np.ndarray, k: int, view: int = VIEW) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, view: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, inner products in double precision) of the k nearest found for each query, nearest first; -1 for none."""
+        view = view or self.view
+        if view >= len(self.vectors):
+            return self.scan(queries, k)
         nodes, scores = [np.zeros((0, k), np.int64)], [np.zeros((0, k))]
-        light = self.vectors.astype(np.float32)
         for a in range(0, len(queries), BLOCK):
-            got = self._beam(queries[a : a + BLOCK], light, max(k, view))
+            got = self._beam(queries[a : a + BLOCK], self.light, max(k, view))
             exact = np.einsum("qcd,qd->qc", self.vectors[np.maximum(got, 0)], queries[a : a + BLOCK])
             exact[got < 0] = -np.inf
             order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
@@ -200,7 +241,7 @@ class Graph:
         return nodes
 
 
-_INDEX = "shard long, size int, ids array<long>, vectors binary, levels binary, lowest binary, upper binary"
+_INDEX = "shard long, size int, ids array<long>, view int, vectors binary, levels binary, lowest binary, upper binary"
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -230,7 +271,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([x[0] for x in held])
         graph = Graph.build(np.concatenate([x[1] for x in held]))
         row = {"shard": [name[0]], "size": [name[1]], "ids": [ids], **{k: [v] for k, v in graph.pack().items()}}
-        schema = pa.schema([("shard", pa.int64()), ("size", pa.int32()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("vectors", "levels", "lowest", "upper"))])
+        schema = pa.schema([("shard", pa.int64()), ("size", pa.int32()), ("ids", pa.list_(pa.int64())), ("view", pa.int32()), *((c, pa.binary()) for c in ("vectors", "levels", "lowest", "upper"))])
         return pa.RecordBatch.from_pydict(row, schema)
 
     for batch in batches:
@@ -250,7 +291,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def index(distinct: DataFrame, shard_size: int = SHARD) -> DataFrame:
-    """The graphs of classes: shard, size, ids, vectors, levels, lowest, upper. Vectors of unlike length never share a graph."""
+    """The graphs of classes: shard, size, ids, view, vectors, levels, lowest, upper. Vectors of unlike length never share a graph."""
     n = distinct.count()
     shards = max(1, -(-n // shard_size))
     rows = distinct.select(F.pmod(F.xxhash64("class_id"), F.lit(shards)).alias("shard"), F.size("embedding").alias("size"), "class_id", "embedding")
@@ -272,36 +313,49 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"size": [int(width)], "queries": [ids[part]], "asked": [asked.astype("<f8").tobytes()]}, schema)
 
 
-def _search(k: int, view: int):
+_STREAM = ("size", "ids", "view", "vectors", "levels", "lowest", "upper", "queries", "asked")
+
+
+def _search(k: int, view: int | None):
+    """Rows of a shard's graph, then of the blocks that are searched for in it; then the next one's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = ids = None
         for batch in batches:
             for row in batch.to_pylist():
-                graph = Graph.unpack(row["size"], row["vectors"], row["levels"], row["lowest"], row["upper"])
-                queries = np.frombuffer(row["asked"], "<f8").reshape(-1, row["size"])
-                nodes, scores = graph.search(queries, k, view)
+                if row["queries"] is None:
+                    graph = Graph.unpack(*(row[c] for c in ("size", "view", "vectors", "levels", "lowest", "upper")))
+                    ids = np.array(row["ids"])
+                    continue
+                nodes, scores = graph.search(np.frombuffer(row["asked"], "<f8").reshape(-1, row["size"]), k, view)
                 q, place = np.nonzero(nodes >= 0)
-                names = np.array(row["ids"])[nodes[q, place]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(row["queries"])[q]), pa.array(names), pa.array(scores[q, place])], names=["query", "class_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(row["queries"])[q]), pa.array(ids[nodes[q, place]]), pa.array(scores[q, place])], names=["query", "class_id", "score"])
 
     return run
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int, view: int = VIEW) -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int, view: int | None = None) -> DataFrame:
     """query, class_id, score: the k nearest classes that the shards found, for queries (class_id, embedding).
 
-    Every block of queries meets every shard of its length; the shards' finds are merged by
-    rank, each task passing on at most k rows for a query.
+    Queries are dealt into parts of about STREAM blocks. For each part and each shard of its
+    length, one task reads the shard's graph and then the part's blocks, one after the other. The
+    shards' finds are merged by rank, each task passing on at most k rows for a query. view is
+    what was measured for the shard unless it is given.
     """
     spread = max(2, int(graphs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-queries.count() // (BLOCK * STREAM)))
     blocks = queries.select("class_id", "embedding").repartition(spread, "class_id").mapInArrow(_block, "size int, queries array<long>, asked binary")
-    names = graphs.select(F.col("shard").alias("s"), F.col("size").alias("z")).groupBy("z").agg(F.collect_set("s").alias("shards"))
-    met = blocks.join(names, F.col("size") == F.col("z")).select("size", "queries", "asked", F.explode("shards").alias("s"))
-    pairs = met.withColumnRenamed("size", "z").join(graphs, (F.col("s") == F.col("shard")) & (F.col("z") == F.col("size"))).drop("z", "s")
-    found = pairs.mapInArrow(_search(k, view), "query long, class_id long, score double")
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64(F.element_at("queries", 1)), F.lit(parts)))
+    names = graphs.select(F.col("shard").alias("s"), F.col("size").alias("z"))
+    asked = blocks.join(names, F.col("size") == F.col("z")).drop("z").withColumnRenamed("s", "shard")
+    copies = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    stream = copies.unionByName(asked, allowMissingColumns=True).repartition("shard", "size", "part")
+    stream = stream.sortWithinPartitions("shard", "size", "part", F.col("queries").isNotNull(), F.element_at("queries", 1))
+    found = stream.select(*_STREAM).mapInArrow(_search(k, view), "query long, class_id long, score double")
     return found.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "class_id"))).where(F.col("place") <= k).drop("place")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_size: int = SHARD, view: int = VIEW) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_size: int = SHARD, view: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`.
 
     Nearness is the inner product in double precision, ties to the smaller vec_id; the query's own
@@ -314,7 +368,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_size: int =
     distinct = materialise(classes(rows, k + 1), "classes")
     graphs = materialise(index(distinct, shard_size), "graphs")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    named = asked.join(distinct.select(F.col("embedding").alias("e"), "class_id"), F.col("embedding") == F.col("e")).select(F.col("vec_id").alias("query_id"), "class_id")
+    # sorted by a digest, with the vectors compared where it agrees
+    named = asked.withColumn("h", F.xxhash64("embedding")).join(distinct.select(F.col("embedding").alias("e"), "class_id", F.xxhash64("embedding").alias("g")), F.expr("h = g and embedding <=> e"))
+    named = named.select(F.col("vec_id").alias("query_id"), "class_id")
     named = materialise(named, "queries")
     wanted = distinct.join(named.select(F.col("class_id").alias("c")).distinct(), F.col("class_id") == F.col("c"), "left_semi")
     found = search(graphs, wanted, k + 1, view)

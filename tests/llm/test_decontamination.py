@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -107,3 +108,11 @@ def test_query(spark, sf_dir, documents):
         n, h, names = brute(text, items)
         assert (found[i].n_words, found[i].n_hit, found[i].n_items) == (n, h, len(names))
         assert found[i].items_sha256 == hashlib.sha256(",".join(sorted(map(str, names))).encode()).hexdigest()
+
+
+def test_one_word_many_times_takes_no_longer_than_other_items():
+    began = time.perf_counter()
+    automaton = decontaminate.Automaton([(1, [b"again"] * 20_000), (2, [b"again"] * 5)], 13)
+    assert time.perf_counter() - began < 3
+    spans, found, longest = automaton.match([b"again"] * 40)
+    assert sorted(automaton.items(found)) == [1, 2] and longest == 40 and (27, 40) in spans
