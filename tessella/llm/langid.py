@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 #: Labelled texts of a language that are learnt from: about as many, chosen by a hash of doc_id.
 TRAIN_DOCS = 20_000
+#: Languages that are learnt: the most frequent ones. The model has a number for each of them and each bucket.
+LABELS = 256
+#: n-grams, and different pairs of language and n-gram, that a task keeps before it adds them up or passes them on.
+AT_ONCE = 4_000_000
 _SEEDS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -48,14 +52,28 @@ def _counts(labels: list[str]):
     place = {x: k for k, x in enumerate(labels)}
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(labels), BUCKETS), np.int64)
+        codes, n, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            distinct, at = np.unique(np.concatenate([codes, *waiting]), return_inverse=True)
+            return distinct, np.bincount(at, weights=np.concatenate([n, np.ones(len(at) - len(n), np.int64)]), minlength=len(distinct)).astype(np.int64)
+
+        def rows() -> pa.RecordBatch:
+            names = pa.DictionaryArray.from_arrays(pa.array(codes // BUCKETS, pa.int32()), pa.array(labels)).cast(pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(codes % BUCKETS), pa.array(n)], names=["lang", "bucket", "n"])
+
         for batch in frames:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                total[place[lang]] += np.bincount(grams(text.as_py()), minlength=BUCKETS)
-        for k, label in enumerate(labels):
-            at = np.flatnonzero(total[k])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at), pa.array(total[k, at])], names=["lang", "bucket", "n"])
+                waiting.append(grams(text.as_py()) + place[lang] * BUCKETS)
+                size += len(waiting[-1])
+                if size > AT_ONCE:
+                    (codes, n), waiting, size = merged(), [], 0
+                    if len(codes) > AT_ONCE:  # counts of tasks are added up anyhow
+                        yield rows()
+                        codes, n = codes[:0], n[:0]
+        codes, n = merged()
+        if len(codes):
+            yield rows()
 
     return run
 
@@ -111,17 +129,16 @@ class Model:
 def train(labelled: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 7) -> Model:
     """Learn from (doc_id, text, lang). Of a language with more than per_language texts, about that many, by a hash of doc_id.
 
-    What reaches the driver is one count for each label and bucket at most, whatever the corpus.
+    Of more than LABELS values of lang the most frequent are learnt, ties to the smaller one. What
+    reaches the driver is one count for each of them and each bucket at most, whatever the corpus.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()}
     labels = sorted(sizes)
     if not labels:
         return Model([], np.zeros((0, BUCKETS)))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        part = min(1.0, per_language / n)
-        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < round(part * (1 << 20)))
+    limits = F.create_map(*(F.lit(x) for lang in labels for x in (lang, round(min(1.0, per_language / sizes[lang]) * (1 << 20)))))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < limits[F.col("lang")]
     counted = rows.where(chosen).select("text", "lang").mapInArrow(_counts(labels), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     counts = np.zeros((len(labels), BUCKETS))
@@ -146,8 +163,11 @@ def _infer(shipped):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, mixture for every row of docs; only the text decides.
 
-    score is the estimated share of the predicted language. Null texts and texts without a
-    letter, and all texts if nothing was learnt, are `und` with score 0.
+    score is the estimated share of the predicted language; of languages with equal shares the
+    one that entered first comes first. Null texts and texts without a letter, and all texts if
+    nothing was learnt, are `und` with score 0. A null doc_id is kept, repeated rows come out
+    alike, an empty table gives no rows, and texts of any length are read whole. Other columns,
+    whatever their names, are not read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     if not model.labels:
@@ -163,13 +183,20 @@ def held_out(doc_id) -> F.Column:
 
 
 def predict(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, mixture: learn from the labelled rows that are not held out, predict all."""
+    """doc_id, held_out, lang_pred, score, mixture: learn from the labelled rows that are not held out, predict all.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as in `identify`; rows without
+    a text or lang, and those held out, teach nothing; a null doc_id is not held out.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "mixture")
 
 
 def spoken(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose main language is known and has at least that share; all rows if nothing can be learnt."""
+    """The rows of docs, all columns, whose main language is known and has at least that share; all rows if nothing can be learnt.
+
+    Null texts and texts without a letter go; repeated rows stay or go together; columns of any names are kept.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
     if not model.labels:
         return docs

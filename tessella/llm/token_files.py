@@ -10,6 +10,7 @@ Layout: ids | low bits | high bits | samples (uint32) | doc_ids (int64) | null f
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tessella.llm import kernels
 from tessella.session import materialise, shared_path
 
+#: A file ends at about so many bytes of ids, or documents; it is read in blocks of about so many bytes.
+FILE_BYTES, FILE_DOCS, BLOCK_BYTES = 256 << 20, 1_000_000, 8 << 20
 _MAGIC = b"TESSEF01"
 _FOOTER = "<8sQQBBxxxxxx"  # magic, documents, ids, bytes for an id, low bits
 #: Every so many boundaries the position of the unary one is kept.
@@ -100,6 +103,19 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
+def _byte_level(path: str, tokenizer) -> bool:
+    """Whether a tokenizer is byte-level BPE as _PATTERN and _BYTES have it, by its own file."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = told.get("normalizer") is None and told.get("truncation") is None and model.get("type") == "BPE"
+    plain &= (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+    plain &= not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    # every byte is a token, so that no part is lost
+    plain &= all(tokenizer.token_to_id(x) is not None for x in _BYTES.values())
+    return plain and not any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in tokenizer.get_added_tokens_decoder().values())
+
+
 class _Encoder:
     """Ids of texts; the pieces that texts are made of repeat, so each is encoded once and then known by two hashes.
 
@@ -108,7 +124,8 @@ class _Encoder:
     words with the blank before them, of the marks after them, and of its line breaks, put together, unless white space
     is left at the end of a piece, or two of them meet; such a text is encoded whole, and so is one
     that holds the content of an added token, which the model does not know. A new piece
-    is taken apart by the pattern, and the model gives the ids of its parts.
+    is taken apart by the pattern, and the model gives the ids of its parts. Texts of a tokenizer
+    that its file does not describe as byte-level BPE of this pattern are all encoded whole.
     """
 
     def __init__(self, path: str, kind: str, most: int = 600_000) -> None:
@@ -116,6 +133,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = _byte_level(path, self.tokenizer)
         self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.find = self.tokenizer.model, regex.compile(_PATTERN).findall
         self.kind, self.most = np.dtype(kind), most
@@ -170,6 +188,9 @@ class _Encoder:
 
     def texts(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a column; nulls are empty."""
+        if not self.pieces:
+            yield from (self.whole(x.as_py() or "") for x in column)
+            return
         data, offsets = kernels.utf8(column)
         for i, j in kernels.slices(offsets, 1 << 20):
             yield from self._slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -229,6 +250,35 @@ def _encoder(path: str, kind: str) -> _Encoder:
     return _encoders[path, kind]
 
 
+class _Part:
+    """A file that is being written; it takes its name when it is whole."""
+
+    def __init__(self, store: fs.FileSystem, root: str, shard: int, part: int, width: int) -> None:
+        self.store, self.root, self.width = store, root, width
+        self.row = {"shard": shard, "part": part}
+        self.name, self.attempt = f"{root}/shard-{shard:06d}-{part:06d}.tok", f"{root}/.{shard:06d}-{part:06d}-{uuid.uuid4().hex}"
+        self.out = store.open_output_stream(self.attempt)
+        self.ends, self.doc_ids, self.total = [], [], 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> bool:
+        """Whether another document would be too much."""
+        self.out.write(ids)
+        self.total += len(ids) // self.width
+        self.ends.append(self.total)
+        self.doc_ids.append(doc_id)
+        return self.total * self.width >= FILE_BYTES or len(self.ends) >= FILE_DOCS
+
+    def close(self) -> pa.RecordBatch:
+        edge = EliasFano.encode(np.array(self.ends, np.int64), self.total)
+        self.out.write(edge.low.tobytes() + edge.high.tobytes() + edge.samples.astype("<u4").tobytes())
+        self.out.write(np.array([x or 0 for x in self.doc_ids], "<i8").tobytes() + np.array([x is None for x in self.doc_ids], np.uint8).tobytes())
+        self.out.write(struct.pack(_FOOTER, _MAGIC, len(self.doc_ids), self.total, self.width, edge.low_bits))
+        self.out.close()
+        self.store.move(self.attempt, self.name)  # a second attempt writes the same bytes
+        row = self.row | {"docs": len(self.doc_ids), "ids": self.total, "path": self.name}
+        return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, pa.schema([*((c, pa.int64()) for c in ("shard", "part", "docs", "ids")), ("path", pa.string())]))
+
+
 def _write(folder: str, tokenizer: str, end_id: int, width: int):
     kind = "<u2" if width == 2 else "<u4"
 
@@ -237,24 +287,16 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
         store, root = open_folder(folder)
         store.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
-        name = f"{root}/shard-{shard:06d}.tok"
-        attempt = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
         end = np.array([end_id], kind).tobytes()
-        ends, ids, total = [], [], 0
-        with store.open_output_stream(attempt) as out:
-            for batch in batches:
-                for doc_id, got in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1)), strict=True):
-                    got += end
-                    out.write(got)
-                    total += len(got) // width
-                    ends.append(total)
-                    ids.append(doc_id)
-            edge = EliasFano.encode(np.array(ends, np.int64), total)
-            out.write(edge.low.tobytes() + edge.high.tobytes() + edge.samples.astype("<u4").tobytes())
-            out.write(np.array([x or 0 for x in ids], "<i8").tobytes() + np.array([x is None for x in ids], np.uint8).tobytes())
-            out.write(struct.pack(_FOOTER, _MAGIC, len(ids), total, width, edge.low_bits))
-        store.move(attempt, name)  # a second attempt writes the same bytes
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(ids)], "ids": [total], "path": [name]}, pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("path", pa.string())]))
+        number, part = 0, None
+        for batch in batches:
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1)), strict=True):
+                part = part or _Part(store, root, shard, number, width)
+                if part.add(doc_id, got + end):
+                    yield part.close()
+                    number, part = number + 1, None
+        if part:
+            yield part.close()
 
     return run
 
@@ -285,14 +327,25 @@ class TokenFile:
         return np.frombuffer(self.file.read_at((end - start) * self.width, start * self.width), self.kind)
 
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """All documents in their order, read in blocks of about BLOCK_BYTES."""
+        ends = self.edge.decode()
+        a = 0
+        while a < self.docs:
+            first = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, first + BLOCK_BYTES // self.width, side="right")))
+            block = np.frombuffer(self.file.read_at((int(ends[b - 1]) - first) * self.width, first * self.width), self.kind)
+            yield from np.split(block, ends[a : b - 1] - first)
+            a = b
+
+
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = TokenFile(folder, name)
                 starts, counts, sums, start = [], [], [], before
-                for i in range(file.docs):
-                    ids = file[i]
+                for ids in file.documents():
                     starts.append(start)
                     counts.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
@@ -302,27 +355,36 @@ def _read(folder: str):
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, vocabulary: int = 50257) -> tuple[str, DataFrame]:
+def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, vocabulary: int | None = None) -> tuple[str, DataFrame]:
     """Write documents in ascending doc_id order (null first; ties by text) to files; return the folder and the manifest.
 
-    manifest: shard, docs, ids, path, start (ids in all files before). Ranges of doc_ids become
+    manifest: shard, part, docs, ids, path, start (ids in all files before). Ranges of doc_ids become
     files; equal doc_ids may share a range border, so ties never fill one task unless their texts
-    are equal too. folder: a URI that pyarrow opens on all machines; by default below the shared folder.
+    are equal too. A file ends at about FILE_BYTES of ids or FILE_DOCS documents, and the range goes
+    on in the next one. A null text is empty: the end id alone. A text of any length is one document
+    of one file. An empty table gives no files and an empty manifest. Other columns, whatever
+    their names, are not read. vocabulary: how many ids there are, by default as many as the
+    tokenizer has; 2 bytes hold an id if that is enough. folder: a URI that pyarrow opens on all
+    machines; by default below the shared folder. tokenizer: a file that all machines have.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "token-files")
+    if vocabulary is None:
+        from tokenizers import Tokenizer
+
+        vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0) + 1
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     ordered = texts.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    manifest = materialise(ordered.mapInArrow(_write(folder, tokenizer, end_id, 2 if vocabulary <= 1 << 16 else 4), "shard long, docs long, ids long, path string"), "manifest")
-    before = F.coalesce(F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    manifest = materialise(ordered.mapInArrow(_write(folder, tokenizer, end_id, 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4), "shard long, part long, docs long, ids long, path string"), "manifest")
+    before = F.coalesce(F.sum("ids").over(W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return folder, manifest.withColumn("start", before)
 
 
 def read(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the files."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.where("docs > 0").repartition(n, "shard").select("path", "start").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.where("docs > 0").repartition(n, "shard", "part").select("path", "start").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **more) -> DataFrame:

@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import pyarrow as pa
+
 from tessella.llm import langid, queries
 
 
@@ -112,3 +114,23 @@ def test_mixtures_by_brute_force(documents):
         got, want = dict(model.mixture(text)), plain_mixture(counts, text)
         assert set(got) == set(want)
         assert all(abs(got[x] - want[x]) < 1e-3 for x in got)
+
+
+def test_many_labels_and_little_memory(spark, monkeypatch):
+    """Counts do not depend on when they are passed on; of too many labels the most frequent are learnt."""
+    rows = [(k, f"{'abcdefgh'[k % 8] * 3} {'xyz'[k % 3] * 4} own {k}", f"l{k % 40:02d}" if k % 5 else "most") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = langid.train(df)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in rows]), pa.array([x for *_, x in rows])], names=["text", "lang"])
+    counts = {}
+    for most in (4_000_000, 50):
+        monkeypatch.setattr(langid, "AT_ONCE", most)
+        got = {}
+        for part in langid._counts(whole.labels)(iter([batch])):
+            for r in part.to_pylist():
+                got[r["lang"], r["bucket"]] = got.get((r["lang"], r["bucket"]), 0) + r["n"]
+        counts[most] = got
+    assert counts[50] == counts[4_000_000] and sum(counts[50].values()) == sum(len(langid.grams(t)) for _, t, _ in rows)
+    monkeypatch.setattr(langid, "LABELS", 3)
+    few = langid.train(df).labels
+    assert len(few) == 3 and "most" in few and few[:2] == ["l01", "l02"]

@@ -87,3 +87,38 @@ def test_added_tokens_as_the_tokenizer_has_them(spark):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.texts(pa.array([t for _, t in rows]))] == [encode(t) for _, t in rows]
     found = token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == brute(rows, encode)
+
+
+def test_files_of_bounded_size(spark, docs, texts, encode, monkeypatch):
+    """A range goes on in another file; blocks are smaller than some documents."""
+    from tessella.session import shared_path
+
+    want = sorted(repr((i, n, c)) for i, _, n, c in brute([(i, t) for i, t, *_ in texts], encode))
+    store = shared_path(spark, "small-files")
+    for name, value in (("FILE_DOCS", 3), ("FILE_BYTES", 500), ("BLOCK_BYTES", 64)):
+        monkeypatch.setattr(token_files, name, value)
+    rows = [(i, t) for i, t, *_ in texts]
+    run = token_files._write(store, TOKENIZER, 0, 2)
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: type("Here", (), {"partitionId": lambda self: 4})())
+    made = [b.to_pylist()[0] for b in run(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["doc_id", "text"])]))]
+    assert len(made) > len(rows) // 3 and [x["part"] for x in made] == list(range(len(made))) and all(x["docs"] <= 3 for x in made)
+    found, before = [], 0
+    for x in made:
+        file = token_files.TokenFile(store, x["path"])
+        parts = list(file.documents())
+        assert all((a == file[i]).all() for i, a in enumerate(parts)) and sum(map(len, parts)) == x["ids"]
+        found += [(i, len(p), zlib.crc32(p.astype("<u4").tobytes())) for i, p in zip(file.doc_ids, parts, strict=True)]
+        before += x["ids"]
+    assert sorted(map(repr, found)) == want
+
+
+def test_other_tokenizers_encode_whole_texts(spark, texts):
+    """Word ends, lower case and no byte level: its file says so, and no piece is looked up."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    rows = [(k, t) for k, (_, t, *_) in enumerate(texts[:30])]
+    found = token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == brute(rows, lambda t: other.encode(t or "", add_special_tokens=False).ids)
+    assert token_files._Encoder(TOKENIZER, "<u2").pieces and not token_files._Encoder(path, "<u2").pieces
