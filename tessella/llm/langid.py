@@ -24,8 +24,8 @@ BUCKETS = 1 << 16
 TRAIN_DOCS = 20_000
 #: Languages that are learnt: the most frequent ones. The model has a number for each of them and each bucket.
 LABELS = 256
-#: n-grams, and different pairs of language and n-gram, that a task keeps before it adds them up or passes them on.
-AT_ONCE = 4_000_000
+#: Languages whose counts, half a MB each, a task keeps before it passes them on.
+AT_ONCE = 32
 _SEEDS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -48,34 +48,22 @@ def grams(text: str) -> np.ndarray:
     return (out >> np.uint32(16)).astype(np.int64)
 
 
-def _counts(labels: list[str]):
-    place = {x: k for k, x in enumerate(labels)}
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, np.ndarray] = {}
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            distinct, at = np.unique(np.concatenate([codes, *waiting]), return_inverse=True)
-            return distinct, np.bincount(at, weights=np.concatenate([n, np.ones(len(at) - len(n), np.int64)]), minlength=len(distinct)).astype(np.int64)
-
-        def rows() -> pa.RecordBatch:
-            names = pa.DictionaryArray.from_arrays(pa.array(codes // BUCKETS, pa.int32()), pa.array(labels)).cast(pa.string())
-            return pa.RecordBatch.from_arrays([names, pa.array(codes % BUCKETS), pa.array(n)], names=["lang", "bucket", "n"])
-
-        for batch in frames:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                waiting.append(grams(text.as_py()) + place[lang] * BUCKETS)
-                size += len(waiting[-1])
-                if size > AT_ONCE:
-                    (codes, n), waiting, size = merged(), [], 0
-                    if len(codes) > AT_ONCE:  # counts of tasks are added up anyhow
-                        yield rows()
-                        codes, n = codes[:0], n[:0]
-        codes, n = merged()
-        if len(codes):
-            yield rows()
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at])], names=["lang", "bucket", "n"])
+        held.clear()
 
-    return run
+    for batch in batches:
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            if lang not in held and len(held) >= AT_ONCE:  # counts of tasks are added up anyhow
+                yield from rows()
+            n = np.bincount(grams(text.as_py()), minlength=BUCKETS)
+            held[lang] = held[lang] + n if lang in held else n
+    yield from rows()
 
 
 class Model:
@@ -139,7 +127,7 @@ def train(labelled: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 7) ->
         return Model([], np.zeros((0, BUCKETS)))
     limits = F.create_map(*(F.lit(x) for lang in labels for x in (lang, round(min(1.0, per_language / sizes[lang]) * (1 << 20)))))
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < limits[F.col("lang")]
-    counted = rows.where(chosen).select("text", "lang").mapInArrow(_counts(labels), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = rows.where(chosen).select("text", "lang").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     counts = np.zeros((len(labels), BUCKETS))
     counts[got["lang"].map({x: k for k, x in enumerate(labels)}).to_numpy(int), got["bucket"].to_numpy(int)] = got["n"]
