@@ -19,14 +19,21 @@ def _places(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _short_enough(df: DataFrame, values: str, longest: int) -> DataFrame:
+    """df; an array with more than `longest` elements is an error when its row is computed, rather than missing from the result."""
+    n = F.size(values)
+    said = F.concat(F.lit(f"an array in {values} has more than {longest} elements: "), n.cast("string"))
+    return df.where(F.when(n > longest, F.raise_error(said).cast("boolean")).otherwise(n >= 0))
+
+
 def arrangements(df: DataFrame, values: str, longest: int, out: str = "arrangement", allowed=None) -> DataFrame:
     """Permutations of an array of at most `longest` elements, built one place at a time.
 
-    allowed(place, element): a condition on putting the element (its number) at the place. Rows
-    with longer arrays give none.
+    allowed(place, element): a condition on putting the element (its number) at the place. A
+    longer array is an error; null gives no rows, an empty array its one arrangement.
     """
     left = F.col("_left")
-    rows = df.where(F.size(values) <= longest).withColumn("_left", _places(F.col(values))).withColumn("_made", F.array().cast("array<int>"))
+    rows = _short_enough(df, values, longest).withColumn("_left", _places(F.col(values))).withColumn("_made", F.array().cast("array<int>"))
     for _ in range(longest):
         grown = rows.withColumn("_next", F.explode_outer(left))
         if allowed is not None:
@@ -37,7 +44,7 @@ def arrangements(df: DataFrame, values: str, longest: int, out: str = "arrangeme
 
 
 def permutations(df: DataFrame, values: str, longest: int, out: str = "arrangement") -> DataFrame:
-    """All permutations; the caller says which arrays are short enough, and longer ones give none."""
+    """All permutations; the caller says how long arrays are at most, and longer ones are an error."""
     return arrangements(df, values, longest, out)
 
 
@@ -47,8 +54,8 @@ def derangements(df: DataFrame, values: str, longest: int, out: str = "arrangeme
 
 
 def subsets(df: DataFrame, values: str, longest: int, out: str = "subset") -> DataFrame:
-    """All subsets, elements in their order; arrays longer than `longest` give none."""
-    numbered = df.where(F.size(values) <= longest).withColumn("_mask", F.explode(F.expr(f"sequence(0L, shiftleft(1L, size({values})) - 1)")))
+    """All subsets, elements in their order; arrays longer than `longest` are an error."""
+    numbered = _short_enough(df, values, longest).withColumn("_mask", F.explode(F.expr(f"sequence(0L, shiftleft(1L, size({values})) - 1)")))
     picked = F.filter(F.transform(F.col(values), lambda v, k: F.struct(v.alias("v"), (F.floor(F.col("_mask") / F.pow(F.lit(2.0), k)) % 2).alias("b"))), lambda s: s["b"] == 1)
     return numbered.withColumn(out, F.transform(picked, lambda s: s["v"])).drop("_mask")
 
@@ -56,9 +63,9 @@ def subsets(df: DataFrame, values: str, longest: int, out: str = "subset") -> Da
 def permutations_in_blocks(df: DataFrame, blocks: str, longest: int) -> DataFrame:
     """Arrangements of an array of arrays where each inner array is permuted by itself and the order of the blocks stays.
 
-    At most `longest` blocks of at most `longest` elements; others give no rows.
+    At most `longest` blocks of at most `longest` elements; longer ones are an error. No blocks give no rows.
     """
-    made = df.where(F.size(blocks) > 0).withColumn("arrangement", F.array().cast("array<string>")).withColumn("_k", F.lit(0))
+    made = _short_enough(df, blocks, longest).where(F.size(blocks) > 0).withColumn("arrangement", F.array().cast("array<string>")).withColumn("_k", F.lit(0))
     for _ in range(longest):
         there = made.where(F.col("_k") < F.size(blocks)).withColumn("_block", F.get(F.col(blocks), F.col("_k")))
         done = made.where(F.col("_k") >= F.size(blocks))

@@ -71,8 +71,13 @@ def _triangle(d: Column) -> Column:
 
 
 def single_to_pair(n: Column) -> Column:
-    """(i, j), the inverse of pair_to_single, for i + j below 2^50: the root is estimated, then corrected in whole numbers."""
+    """(i, j), the inverse of pair_to_single, for i + j below 2^50: the root is estimated, then corrected in whole numbers.
+
+    A negative number, or one that stands for a larger sum, is an error.
+    """
     n = n.cast("decimal(38,0)")
+    beyond = F.lit(Decimal(2**49 * (2**50 - 1) + 2**50 - 1)).cast("decimal(38,0)")
+    n = F.when((n < 0) | (n > beyond), F.raise_error(F.concat(F.lit("no pair below 2^50 for "), n.cast("string"))).cast("decimal(38,0)")).otherwise(n)
     d = F.floor((F.sqrt(8 * n.cast("double") + 1) - 1) / 2).cast("long")
     d = F.when(_triangle(d) > n, d - 1).when(_triangle(d + 1) <= n, d + 1).otherwise(d)
     j = (n - _triangle(d)).cast("long")

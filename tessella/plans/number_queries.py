@@ -197,47 +197,49 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_FOUR = "SELECT r_regionkey, [r_name[1:1], r_name[2:2], r_name[3:3], r_name[4:4]] AS v FROM region"
+_FOUR = "SELECT p_partkey, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_brand, CAST(p_size AS VARCHAR)] AS v FROM part"
 
 
 def _four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").select("r_regionkey", F.array(*(F.substring("r_name", k, 1) for k in range(1, 5))).alias("v"))
+    """The two words of each part's name, its brand and its size."""
+    name = F.split("p_name", " ")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array(name[0], name[1], F.col("p_brand"), F.col("p_size").cast("string")).alias("v"))
 
 
-_PERMUTED = "SELECT r_regionkey, a, b, c, d, v[a] || v[b] || v[c] || v[d] AS word FROM ({0}), range(1, 5) t1(a), range(1, 5) t2(b), range(1, 5) t3(c), range(1, 5) t4(d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d".format(_FOUR)
+_PERMUTED = "SELECT p_partkey, a, b, c, d, v[a] || v[b] || v[c] || v[d] AS word FROM ({0}), range(1, 5) t1(a), range(1, 5) t2(b), range(1, 5) t3(c), range(1, 5) t4(d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d".format(_FOUR)
 
 
-@register("permutations", f"SELECT r_regionkey, word FROM ({_PERMUTED})")
+@register("permutations", f"SELECT p_partkey, word FROM ({_PERMUTED})")
 def permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders of the first four letters of each region."""
-    return combinations.permutations(_four(spark, sf_dir), "v", 4).select("r_regionkey", F.array_join("arrangement", "").alias("word"))
+    """All orders of four things that each part has."""
+    return combinations.permutations(_four(spark, sf_dir), "v", 4).select("p_partkey", F.array_join("arrangement", "").alias("word"))
 
 
-@register("derangements", f"SELECT r_regionkey, word FROM ({_PERMUTED}) WHERE a <> 1 AND b <> 2 AND c <> 3 AND d <> 4")
+@register("derangements", f"SELECT p_partkey, word FROM ({_PERMUTED}) WHERE a <> 1 AND b <> 2 AND c <> 3 AND d <> 4")
 def derangements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combinations.derangements(_four(spark, sf_dir), "v", 4).select("r_regionkey", F.array_join("arrangement", "").alias("word"))
+    return combinations.derangements(_four(spark, sf_dir), "v", 4).select("p_partkey", F.array_join("arrangement", "").alias("word"))
 
 
 @register(
     "subsets",
-    f"SELECT r_regionkey, CASE WHEN m % 2 = 1 THEN v[1] ELSE '' END || CASE WHEN m // 2 % 2 = 1 THEN v[2] ELSE '' END || CASE WHEN m // 4 % 2 = 1 THEN v[3] ELSE '' END || CASE WHEN m // 8 % 2 = 1 THEN v[4] ELSE '' END AS word FROM ({_FOUR}), range(0, 16) t(m)",
+    f"SELECT p_partkey, CASE WHEN m % 2 = 1 THEN v[1] ELSE '' END || CASE WHEN m // 2 % 2 = 1 THEN v[2] ELSE '' END || CASE WHEN m // 4 % 2 = 1 THEN v[3] ELSE '' END || CASE WHEN m // 8 % 2 = 1 THEN v[4] ELSE '' END AS word FROM ({_FOUR}), range(0, 16) t(m)",
 )
 def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combinations.subsets(_four(spark, sf_dir), "v", 4).select("r_regionkey", F.array_join("subset", "").alias("word"))
+    return combinations.subsets(_four(spark, sf_dir), "v", 4).select("p_partkey", F.array_join("subset", "").alias("word"))
 
 
-@register("block_permutations", f"SELECT r_regionkey, v[a] || v[b] || v[c] || v[d] AS word FROM ({_FOUR}), range(1, 3) t1(a), range(1, 3) t2(b), range(3, 5) t3(c), range(3, 5) t4(d) WHERE a <> b AND c <> d")
+@register("block_permutations", f"SELECT p_partkey, v[a] || v[b] || v[c] || v[d] AS word FROM ({_FOUR}), range(1, 3) t1(a), range(1, 3) t2(b), range(3, 5) t3(c), range(3, 5) t4(d) WHERE a <> b AND c <> d")
 def block_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two letters in any order, then the next two."""
-    blocks = _four(spark, sf_dir).select("r_regionkey", F.array(F.slice("v", 1, 2), F.slice("v", 3, 2)).alias("blocks"))
-    return combinations.permutations_in_blocks(blocks, "blocks", 2).select("r_regionkey", F.array_join("arrangement", "").alias("word"))
+    """The words of a name in any order, then brand and size in any order."""
+    blocks = _four(spark, sf_dir).select("p_partkey", F.array(F.slice("v", 1, 2), F.slice("v", 3, 2)).alias("blocks"))
+    return combinations.permutations_in_blocks(blocks, "blocks", 2).select("p_partkey", F.array_join("arrangement", "").alias("word"))
 
 
-@register("cartesian", "SELECT a.r_name AS a, b.r_name AS b, c.r_name AS c FROM region a, region b, region c WHERE a.r_name < b.r_name AND length(c.r_name) > 4")
+@register("cartesian", "SELECT s_suppkey, n_name, r_name FROM supplier, nation, region WHERE s_nationkey < n_nationkey AND length(r_name) > 4")
 def cartesian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three regions, five rows each."""
-    region = table(spark, sf_dir, "region").select("r_name")
-    return combinations.cartesian(*(region.withColumnRenamed("r_name", n) for n in "abc")).where("a < b and length(c) > 4")
+    """Every supplier with each nation that comes after its own, and each region with a long name; nations and regions are 25 and 5."""
+    sets = [table(spark, sf_dir, name).select(*columns) for name, columns in (("supplier", ["s_suppkey", "s_nationkey"]), ("nation", ["n_nationkey", "n_name"]), ("region", ["r_name"]))]
+    return combinations.cartesian(*sets).where("s_nationkey < n_nationkey and length(r_name) > 4").select("s_suppkey", "n_name", "r_name")
 
 
 @register("sorted_runs", "SELECT user_id, count(*) AS events, 1 + count(*) FILTER (v < p) AS runs FROM (SELECT user_id, event_type AS v, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY 1")
@@ -366,11 +368,11 @@ def tree_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "transformed_lists",
-    "SELECT r_regionkey, array_to_string([v[(a + s * 0) % 4 + 1], v[(a + s * 1) % 4 + 1], v[(a + s * 2) % 4 + 1], v[(a + s * 3) % 4 + 1]], '') AS word FROM ({0}), range(0, 4) t1(a), (SELECT unnest([1, 3]) AS s)".format(_FOUR),
+    "SELECT p_partkey, array_to_string([v[(a + s * 0) % 4 + 1], v[(a + s * 1) % 4 + 1], v[(a + s * 2) % 4 + 1], v[(a + s * 3) % 4 + 1]], '') AS word FROM ({0}), range(0, 4) t1(a), (SELECT unnest([1, 3]) AS s)".format(_FOUR),
 )
 def transformed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight orders that turning and mirroring four letters on a ring reach."""
-    return combinations.transforms(_four(spark, sf_dir), "v", [[1, 2, 3, 0], [0, 3, 2, 1]]).select("r_regionkey", F.array_join("arrangement", "").alias("word"))
+    """The eight orders that turning and mirroring four things on a ring reach."""
+    return combinations.transforms(_four(spark, sf_dir), "v", [[1, 2, 3, 0], [0, 3, 2, 1]]).select("p_partkey", F.array_join("arrangement", "").alias("word"))
 
 
 @register(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import arrays
 from tessella.functions import text as T
-from tessella.operators import groups, references, sequences, similarity
+from tessella.operators import groups, nesting, references, sequences, similarity
 from tessella.plans.registry import register
 from tessella.session import table
 from tessella.streaming import acceptance, segments
@@ -212,6 +212,22 @@ def under_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.under_headings(table(spark, sf_dir, "events").withColumn("level", level), "user_id", ["ts", "event_id"], "level", "event_id").na.fill(-1, ["section", "outer"]).select("event_id", "section", "outer")
 
 
+@register(
+    "nested_headings",
+    """WITH h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 + event_id % 3 WHEN 'view' THEN 5 + event_id % 4 END AS level FROM events),
+    t AS (SELECT a.event_id, b.event_id AS above, b.k, b.level, min(b.level) OVER (PARTITION BY a.event_id ORDER BY b.k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later, a.level AS own
+      FROM h a JOIN h b ON a.user_id = b.user_id AND b.k < a.k AND b.level IS NOT NULL),
+    o AS (SELECT event_id, above, k FROM t WHERE level < coalesce(later, 1000) AND level < coalesce(own, 1000))
+    SELECT h.event_id, coalesce(max_by(above, o.k), -1) AS parent, count(above) AS depth, coalesce(string_agg(above, '/' ORDER BY o.k), '') AS trail FROM h LEFT JOIN o USING (event_id) GROUP BY 1""",
+)
+def nested_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings above each event, signups, purchases and views being headings of eight levels; the users are documents."""
+    level = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", 2 + F.col("event_id") % 3).when(F.col("event_type") == "view", 5 + F.col("event_id") % 4)
+    found = nesting.under_headings(table(spark, sf_dir, "events").withColumn("level", level), "user_id", ["ts", "event_id"], "level", "event_id")
+    parent = F.coalesce(F.get("trail", F.size("trail") - 1).cast("long"), F.lit(-1))
+    return found.select("event_id", parent.alias("parent"), F.size("trail").cast("long").alias("depth"), F.array_join("trail", "/").alias("trail"))
+
+
 @register(
     "name_collisions",
     "WITH w AS (SELECT c_custkey, left(c_mktsegment, 1) || c_nationkey || '_' || CAST(floor(c_acctbal / 500) AS BIGINT) AS wanted FROM customer) SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY wanted) AS n FROM w) WHERE n > 1",

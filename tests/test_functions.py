@@ -118,18 +118,27 @@ def test_arrays(spark):
 
 
 def test_arrangements(spark):
-    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, list("abcdefgh"))], "k int, v array<string>")
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, None)], "k int, v array<string>")
     got = lambda rows, c="arrangement": sorted("".join(r[c]) for r in rows.where("k = 1").collect())
     assert got(combinations.permutations(df, "v", 3)) == sorted("".join(p) for p in permutations("abc"))
     assert got(combinations.derangements(df, "v", 3)) == ["bca", "cab"]
     assert got(combinations.subsets(df, "v", 3), "subset") == ["", "a", "ab", "abc", "ac", "b", "bc", "c"]
     assert combinations.permutations(df, "v", 3).where("k = 3").count() == 0 and combinations.permutations(df, "v", 3).where("k = 2").count() == 1
+    for make in (combinations.permutations, combinations.derangements, combinations.subsets):
+        with pytest.raises(Exception, match="more than 2 elements: 3"):
+            make(df, "v", 2).collect()
+    blocks = spark.createDataFrame([([["a"], ["b"], ["c"]],)], "b array<array<string>>")
+    with pytest.raises(Exception, match="more than 2 elements"):
+        combinations.permutations_in_blocks(blocks, "b", 2).collect()
 
 
 def test_pairs_of_large_numbers(spark):
     rows = [(200_000_007, 3), (2**40 + 5, 2**40 - 1), (0, 0), (0, 10**14), (10**14, 0), (7, 94_906_266)]
     df = spark.createDataFrame(rows, "a long, b long").select(numbers.single_to_pair(numbers.pair_to_single(F.col("a"), F.col("b"))).alias("p"))
     assert [(r.p.i, r.p.j) for r in df.collect()] == rows
+    beyond = spark.createDataFrame([(2**49, 2**49)], "a long, b long").select(numbers.single_to_pair(numbers.pair_to_single(F.col("a"), F.col("b"))).alias("p"))
+    with pytest.raises(Exception, match="no pair below"):
+        beyond.collect()
 
 
 def test_centres_of_triangles(spark):
