@@ -97,3 +97,60 @@ def from_level_index(s: Column, levels: int = 6) -> Column:
     level = F.when(a <= 1, 0).otherwise(F.floor(a))
     steps = F.sequence(F.lit(1), F.lit(levels))
     return F.signum(s) * F.aggregate(steps, a - level, lambda n, k: F.when(k <= level, F.exp(n)).otherwise(n))
+
+
+def _divided(a: Column, b: Column, otherwise: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(otherwise)
+
+
+def _combined(x: Column, y: Column, sign: int) -> Column:
+    """The level index of X + Y or X - Y for level indices x >= y >= 0, without X or Y.
+
+    With phi(t) for the number of a level index t, the scales a_j = 1 / phi(x - j), the ratios b_j =
+    phi(y - j) / phi(x - j), kept as logarithms, and c_j = phi(z - j) / phi(x - j) are all small: a and b come from the last
+    level down, as phi(t) = exp(phi(t - 1)), and c goes up again, by c_j = 1 + a_j ln c_(j - 1).
+    """
+    level, other = F.floor(x).cast("int"), F.floor(y).cast("int")
+    f, g = x - level, y - other
+    none = F.array().cast("array<int>")
+    scales = F.aggregate(
+        F.when(level > 1, F.sequence(F.lit(2), level)).otherwise(none),
+        F.array(F.exp(-f)),
+        lambda s, _: F.concat(F.array(F.when(s[0] > 0, F.exp(F.lit(-1.0) / F.when(s[0] > 0, s[0]))).otherwise(F.lit(0.0))), s),
+    )
+
+    def put(a: Column) -> Column:
+        down = F.when(other > 1, F.sequence(other - 1, F.lit(1))).otherwise(none)
+        far = F.lit(-1e300)
+        # logarithms of the ratios: exactly 0 where x = y
+        first = F.when(other == level, g - f).otherwise(g - _divided(F.lit(1.0), F.get(a, other), -far))
+        deep = F.aggregate(down, first, lambda d, j: _divided(F.expm1(d), F.when(a[j] > 0, a[j]), F.when(d < 0, far).otherwise(F.lit(0.0))))
+        ratio = F.when(other > 0, deep).otherwise(F.log(F.when(a[0] * g > 0, a[0] * g)))
+        c0 = (1 + F.exp(ratio)) if sign > 0 else -F.expm1(ratio)
+        start = F.struct(F.coalesce(c0, F.lit(1.0)).alias("c"), F.lit(None).cast("double").alias("z"))
+
+        def up(s: Column, j: Column) -> Column:
+            c = F.when(j == 0, s["c"]).otherwise(1 + a[j] * F.log(F.when(s["c"] > 0, s["c"])))
+            return F.when(s["z"].isNotNull(), s).otherwise(F.struct(c.alias("c"), F.when((c < a[j]) | (c <= 0), j + _divided(c, F.when(a[j] > 0, a[j]), F.lit(0.0))).alias("z")))
+
+        done = F.aggregate(F.sequence(F.lit(0), level - 1), start, up)
+        v = f + F.log(F.when(done["c"] > 0, done["c"]))
+        return F.coalesce(done["z"], level + F.when(v <= 1, v).otherwise(1 + F.log(F.when(v > 0, v))))
+
+    small = f + sign * g
+    flat = F.when(small <= 1, small).otherwise(1 + F.log(F.when(small > 0, small)))
+    return F.when(level == 0, flat).otherwise(F.element_at(F.transform(F.array(scales), put), 1))
+
+
+def add_level_index(x: Column, y: Column) -> Column:
+    """The level index of the sum of the numbers of two level indices, which may be far beyond a DOUBLE; null if one is null."""
+    x, y = x.cast("double"), y.cast("double")
+    larger, smaller = F.when(F.abs(x) >= F.abs(y), x).otherwise(y), F.when(F.abs(x) >= F.abs(y), y).otherwise(x)
+    same = F.signum(larger) * F.signum(smaller) >= 0
+    value = F.when(same, _combined(F.abs(larger), F.abs(smaller), 1)).otherwise(_combined(F.abs(larger), F.abs(smaller), -1))
+    return F.when(x.isNotNull() & y.isNotNull(), F.signum(larger) * value)
+
+
+def subtract_level_index(x: Column, y: Column) -> Column:
+    """The level index of the difference."""
+    return add_level_index(x, -y)

@@ -70,6 +70,20 @@ def level_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(s, 6).alias("sli"), F.round(numbers.from_level_index(s), 2).alias("back"))
 
 
+@register(
+    "level_index_sums",
+    """WITH v AS (SELECT o_orderkey, o_totalprice AS x, 1.0 + o_custkey AS y FROM orders), r AS (SELECT o_orderkey, x + y AS a, abs(x - y) AS d, sign(x - y) AS s FROM v)
+    SELECT o_orderkey, round(CASE WHEN ln(ln(a)) > 1 THEN 3 + ln(ln(ln(a))) WHEN ln(a) > 1 THEN 2 + ln(ln(a)) ELSE 1 + ln(a) END, 6) AS plus,
+      round(s * CASE WHEN d <= 1 THEN d WHEN ln(d) <= 1 THEN 1 + ln(d) WHEN ln(ln(d)) <= 1 THEN 2 + ln(ln(d)) ELSE 3 + ln(ln(ln(d))) END, 6) AS minus FROM r""",
+)
+def level_index_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and differences of orders' prices and customers' numbers, without leaving the level index."""
+    x, y = numbers.to_level_index(F.col("o_totalprice")), numbers.to_level_index(1 + F.col("o_custkey").cast("double"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), y.alias("y"))
+    plus, minus = numbers.add_level_index(F.col("x"), F.col("y")), numbers.subtract_level_index(F.col("x"), F.col("y"))
+    return rows.select("o_orderkey", F.round(plus, 6).alias("plus"), F.round(minus, 6).alias("minus"))
+
+
 @register("base_digits", "SELECT c_custkey, lower(to_base(c_custkey, 36)) AS base36, to_base(c_custkey, 2) AS base2, c_custkey AS back FROM customer")
 def base_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = "0123456789abcdefghijklmnopqrstuvwxyz"
