@@ -155,3 +155,41 @@ def matching(rows: DataFrame, wanted: dict) -> DataFrame:
     for column, how in wanted.items():
         rows = selected(rows, column, how)
     return rows
+
+
+def content_chains(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """parent, tag, place: the tags that every content of a parent has, in the order in which they must first come; places count from 1.
+
+    edges: what content_edges gives. A tag must be there if no way from the beginning to the end
+    leaves it out, and comes before another one if that can't be reached without it. All tags of
+    all parents are left out at once, each in a copy of its parent's edges, and the ways grow by
+    an edge a round. Tables of edges have a row for each two tags, whatever the number of elements.
+    """
+    end = "\u0000end"
+    steps = edges.select("parent", F.coalesce("tag", F.lit("")).alias("a"), F.coalesce("next", F.lit(end)).alias("b")).distinct()
+    steps = materialise(steps, "content-steps")
+    tags = steps.where("a <> ''").select("parent", F.col("a").alias("without")).unionByName(steps.where(F.col("b") != end).select("parent", F.col("b").alias("without"))).distinct()
+    reached = front = materialise(tags.select("parent", "without", F.lit("").alias("b")), "content-ways")
+    for _ in range(most_rounds):
+        near = front.withColumnRenamed("b", "a").join(steps, ["parent", "a"]).where("b <> without").select("parent", "without", "b").distinct()
+        front = materialise(near.join(reached, ["parent", "without", "b"], "left_anti"), "content-ways")
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+    else:
+        raise RuntimeError(f"the ways were not found in {most_rounds} rounds")
+    must = tags.join(reached.where(F.col("b") == end).select("parent", "without"), ["parent", "without"], "left_anti")
+    must = materialise(must, "content-musts")
+    pairs = must.select("parent", F.col("without").alias("tag")).join(must, "parent")
+    # what must come before a tag: itself, and what it is not reached without
+    before = pairs.join(reached.withColumnRenamed("b", "tag"), ["parent", "without", "tag"], "left_anti")
+    return before.groupBy("parent", "tag").agg(F.count("*").alias("place"))
+
+
+def content_follows(edges: DataFrame) -> DataFrame:
+    """parent, tag, must_precede, must_follow: the only tag that may come next, and the only one that may come before; null if there are several, or an end is one."""
+    inside = edges.where("tag is not null or next is not null")
+    only = lambda c: F.when((F.count_distinct(F.coalesce(c, F.lit("\u0000"))) == 1), F.min(c))
+    after = inside.where("tag is not null").groupBy("parent", "tag").agg(only(F.col("next")).alias("must_precede"))
+    before = inside.where("next is not null").groupBy("parent", F.col("next").alias("tag")).agg(only(F.col("tag")).alias("must_follow"))
+    return after.join(before, ["parent", "tag"], "full")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import reuse, tree_edits
+from tessella.operators import groups, images, reuse, tree_edits
 from tessella.plans.registry import register
 from tessella.session import materialise, table
 from tessella.sources import markup
@@ -75,3 +75,45 @@ def edited_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in (1, 2, 3):
         nodes = materialise(tree_edits.edit(nodes, edits_of_pages(nodes, batch)), f"edited{batch}")
     return nodes.select("tree", "node", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "tag")
+
+
+def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tags follow each other among the children of each tag, over all elements of all pages."""
+    nodes = page_trees(spark, sf_dir).where("tag <> 'CDATA'")
+    up = F.slice("path", F.lit(1), F.size("path") - 1)
+    owners = nodes.select("tree", F.col("path").alias("up"), F.col("tag").alias("parent"), F.concat_ws("/", F.col("tree").cast("string"), F.col("node").cast("string")).alias("owner"))
+    children = nodes.select("tree", up.alias("up"), F.element_at("path", -1).alias("pos"), "tag")
+    return materialise(groups.content_edges(owners.join(children, ["tree", "up"], "left").select("parent", "owner", "pos", "tag")), "page-edges")
+
+
+@register("page_content_chains")
+def page_content_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every element of a tag must hold, in which order, and what may only stand beside it, as far as the pages show."""
+    edges = page_edges(spark, sf_dir)
+    return groups.content_follows(edges).join(groups.content_chains(edges), ["parent", "tag"], "left")
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, text: for each market segment a drawing with a mark where a nation (across) has a customer of some balance (down, by 500)."""
+    dots = table(spark, sf_dir, "customer").selectExpr("c_mktsegment as image", "cast(c_nationkey as int) as x", "cast(floor(c_acctbal / 500) + 2 as int) as y").distinct()
+    lines = dots.groupBy("image", "y").agg(F.collect_set("x").alias("xs"), F.max("x").alias("wide"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("wide")), lambda x: F.when(F.array_contains("xs", x), "#").otherwise(" ")), "")
+    return lines.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("y", line.alias("line")))).alias("l")).select(
+        "image", F.array_join(F.transform(F.sequence(F.lit(0), F.array_max("l.y")), lambda y: F.coalesce(F.get(F.filter("l", lambda r: r["y"] == y), 0)["line"], F.lit(""))), "\n").alias("text")
+    )
+
+
+@register("drawing_loops")
+def drawing_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of drawings read from text: each pixel's layer, and whether it is in a loop or between loops."""
+    dots = materialise(images.pixels(drawings(spark, sf_dir), "image", "text"), "pixels")
+    core = images.core(dots).withColumn("in_core", F.lit(True))
+    return images.layers(dots).join(core, ["image", "x", "y"], "left").select("image", "x", "y", "layer", F.coalesce("in_core", F.lit(False)).alias("in_core"))
+
+
+@register("drawing_paths")
+def drawing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of drawings read from text: shortest paths between far ends of all parts of 10 pixels or more."""
+    dots = materialise(images.pixels(drawings(spark, sf_dir), "image", "text"), "pixels")
+    found = images.long_paths(dots, least=10)
+    return found.select("image", F.col("part.x").alias("part_x"), F.col("part.y").alias("part_y"), "x", "y", "steps")
