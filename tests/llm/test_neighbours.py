@@ -70,17 +70,14 @@ def test_recall_of_a_graph():
     assert (np.diff(scores, axis=1) <= 0).all()
 
 
-@pytest.mark.parametrize("uneven", [False, True])
-def test_recall_of_normal_vectors_in_full_shards(spark, uneven):
+def test_recall_of_normal_vectors_in_full_shards(spark):
     """Vectors without any structure: a view of 128 finds 0.88 of the nearest, so wider ones are chosen."""
     r = np.random.default_rng(4)
     vectors = r.normal(size=(18_000, 64))
-    if uneven:
-        vectors *= np.exp(r.normal(size=(len(vectors), 1)) / 2)
     vectors = vectors.astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     graphs = graph_index.index(graph_index.classes(graph_index.usable(df), 21)).select("shard", "view").collect()
-    assert len(graphs) == 3 and all(x.view >= (128 if uneven else 256) for x in graphs)
+    assert len(graphs) == 3 and all(x.view >= 256 for x in graphs)
     found = got(graph_index.nearest(df))
     wide = vectors.astype(np.float64)
     hits = 0
@@ -90,6 +87,15 @@ def test_recall_of_normal_vectors_in_full_shards(spark, uneven):
     assert hits >= 0.95 * 20 * len(found) and len(found) == 900
 
 
+def test_recall_of_vectors_of_uneven_length():
+    r = np.random.default_rng(14)
+    vectors = r.normal(size=(8192, 64)) * np.exp(r.normal(size=(8192, 1)) / 2)
+    graph = graph_index.Graph.build(vectors)
+    nodes, _ = graph.search(vectors[::41], 20)
+    exact = np.argsort(-(vectors[::41] @ vectors.T), axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(nodes, exact, strict=True)]) >= 0.95
+
+
 def test_an_exact_scan_where_no_view_is_enough(monkeypatch):
     monkeypatch.setattr(graph_index, "RECALL", 1.01)
     vectors = np.random.default_rng(6).normal(size=(1500, 16))
