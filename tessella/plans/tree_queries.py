@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import groups, images, reuse, tree_edits
+from tessella.operators import grids, groups, images, reuse, tree_edits
 from tessella.plans.registry import register
 from tessella.session import materialise, table
 from tessella.sources import markup
@@ -117,3 +117,12 @@ def drawing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     dots = materialise(images.pixels(drawings(spark, sf_dir), "image", "text"), "pixels")
     found = images.long_paths(dots, least=10)
     return found.select("image", F.col("part.x").alias("part_x"), F.col("part.y").alias("part_y"), "x", "y", "steps")
+
+
+@register("table_grids")
+def table_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables of three cells a row, spanning columns and rows by quantity and part: how many have which faults."""
+    lines = table(spark, sf_dir, "lineitem")
+    cells = lines.select(F.col("l_orderkey").alias("table"), F.floor(F.col("l_linenumber") / 3).alias("row"), F.col("l_linenumber").alias("pos"), (1 + F.col("l_quantity").cast("int") % 3).alias("colspan"), (1 + F.col("l_partkey") % 2).alias("rowspan"))
+    found = grids.dimensions(materialise(grids.placed(cells), "grid"))
+    return found.groupBy("rows", "columns", "ragged", "overlapping", "hanging").agg(F.count("*").alias("n"))
