@@ -134,7 +134,8 @@ def format_conversations(conversations: DataFrame, template: str = TURN, part_ch
     exclusive); an empty one has no span. Rows of a conversation are its turns by `turn` (null
     first; ties by role, then text); repeated rows are turns of their own. A null role or text is
     empty, and rows with a null conv_id are one conversation. Parts are numbered from 0; `more`
-    says that another follows. An empty table gives none.
+    says that another follows. An empty table gives none. A text of any length is read whole; a
+    conversation is one task's. Other columns, whatever their names, are not read.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -362,7 +362,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_size: int =
     row is no candidate. Vectors null, empty, zero or with null or non-finite components take no
     part, nor do rows without a vec_id; only vectors of equal length are compared. Equal vectors
     are searched for once, and all of them are found. With fewer candidates than k, all are
-    returned; an empty table gives an empty result.
+    returned; an empty table gives an empty result. Of rows that share a vec_id one takes part.
+    Other columns, whatever their names, are not read.
     """
     rows = materialise(usable(vectors), "vectors")
     distinct = materialise(classes(rows, k + 1), "classes")

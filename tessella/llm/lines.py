@@ -67,7 +67,9 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 10, least_docs: int
 
     The document with the smallest doc_id keeps its lines. Null and empty texts are one empty
     line; shorter keys and lines of rows without a doc_id stay and are not counted. Rows that
-    share a doc_id are one document when documents are counted, and each is returned.
+    share a doc_id are one document when documents are counted, and each is returned. Texts of any
+    length are read whole; an empty table gives no rows. Other columns, whatever their names, are
+    not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = texts.where("doc_id is not null and text is not null").mapInArrow(_line_digests(least_chars), "doc_id long, key binary")

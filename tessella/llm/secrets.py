@@ -246,7 +246,8 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     base: the known forms' spans (start, end exclusive, in code points; kind), by start and then
     kind as listed. spans: these and the spans of kind `random` that the battery reports. A run
     that touches a known form is no candidate. Null texts are empty; a null doc_id is kept; rows
-    that repeat are each reported. One pass reads the texts; what the rule needs from the whole
+    that repeat are each reported; an empty table gives no rows; texts of any length are read whole,
+    in a time that grows with them. Other columns, whatever their names, are not read. One pass reads the texts; what the rule needs from the whole
     corpus are counts by symbol and by band.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
