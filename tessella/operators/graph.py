@@ -65,3 +65,26 @@ def paths(links: DataFrame, roots: DataFrame, longest: int, a: str = "a", b: str
         level = level.join(edges, F.col("node") == F.col("_a")).where(~F.array_contains("path", F.col("_b"))).select("root", F.col("_b").alias("node"), F.array_append("path", F.col("_b")).alias("path"))
         every = every.unionByName(level)
     return every
+
+
+def unanimous(links: DataFrame, values: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """node, value, many: the one value that a node and all below it have, or that there are several.
+
+    links: above, below. values: node, value; nulls say nothing. A node without any value below it is
+    left out. A state is nothing, one value or many, so what comes up is joined by a minimum and a
+    maximum, which are combined before the shuffle; a round carries it one level up and only passes
+    on what has changed. Cycles end, as states only grow.
+    """
+    up = materialise(links.select("above", "below").where("above is not null and below is not null and above <> below").distinct(), "links")
+    joined = (F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    state = materialise(values.where("node is not null and value is not null").groupBy("node").agg(F.min("value").alias("lo"), F.max("value").alias("hi")), "states")
+    changed = state
+    for _ in range(most_rounds):
+        told = up.join(changed.withColumnRenamed("node", "below"), "below").groupBy(F.col("above").alias("node")).agg(*joined)
+        met = told.join(state.select(F.col("node").alias("n"), F.col("lo").alias("l"), F.col("hi").alias("h")), F.col("node") == F.col("n"), "left")
+        grown = met.select("node", F.least("lo", "l").alias("lo"), F.greatest("hi", "h").alias("hi"), "n", "l", "h").where("n is null or lo < l or hi > h")
+        changed = materialise(grown.select("node", "lo", "hi"), "changed")
+        if changed.isEmpty():
+            return state.select("node", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("value"), (F.col("lo") < F.col("hi")).alias("many"))
+        state = materialise(state.unionByName(changed).groupBy("node").agg(*joined), "states")
+    raise RuntimeError(f"the values did not settle in {most_rounds} rounds")

@@ -136,3 +136,15 @@ def look_up(rows: DataFrame, codes: DataFrame, key: str, out: str, missing: Colu
     known = codes.select(F.col("code").alias("_c"), F.col("name").alias("_n"))
     name = F.col("_n") if missing is None else F.coalesce("_n", missing)
     return rows.join(known, F.col(key) == F.col("_c"), "left").withColumn(out, name).drop("_c", "_n")
+
+
+def unused_ids(ids: DataFrame, references: DataFrame, files: DataFrame) -> DataFrame:
+    """file, id of the ids that no reference of any file names, but for a file's own topic id.
+
+    ids: file, id. references: reference, as file#topic/id; an id that is named anywhere is kept
+    everywhere, as what the reference leads to may have been moved. files: file, topic.
+    """
+    named = references.select(T.split_reference(F.col("reference"))["id"].alias("id")).where("id <> ''").distinct()
+    own = files.where("topic is not null").select("file", F.col("topic").alias("id")).distinct()
+    held = ids.where("file is not null and id is not null").select("file", "id").distinct()
+    return held.join(named, "id", "left_anti").join(own, ["file", "id"], "left_anti").select("file", "id")

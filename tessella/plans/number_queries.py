@@ -269,6 +269,23 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(hierarchy(spark, sf_dir))
 
 
+@register(
+    "hoisted_values",
+    """WITH v AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS n, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_acctbal < 8000 THEN 'low' ELSE 'high' END AS value FROM supplier),
+    u AS (SELECT s AS node, value FROM v UNION ALL SELECT n, value FROM v UNION ALL SELECT 'r' || n_regionkey, value FROM v JOIN nation ON n = 'n' || n_nationkey)
+    SELECT node, CASE WHEN min(value) = max(value) THEN min(value) END AS value, min(value) < max(value) AS many FROM u WHERE value IS NOT NULL GROUP BY node""",
+)
+def hoisted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of suppliers, nations and regions: the rating that all suppliers below agree in, or that they differ; every fourth supplier has none."""
+    suppliers = table(spark, sf_dir, "supplier")
+    rating = F.when(F.col("s_suppkey") % 4 != 0, F.when(F.col("s_acctbal") < 8000, "low").otherwise("high"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    values = suppliers.select(name("s", "s_suppkey").alias("node"), rating.alias("value"))
+    links = suppliers.select(name("n", "s_nationkey").alias("above"), name("s", "s_suppkey").alias("below"))
+    links = links.unionByName(table(spark, sf_dir, "nation").select(name("r", "n_regionkey").alias("above"), name("n", "n_nationkey").alias("below")))
+    return graph.unanimous(links, values)
+
+
 @register("paths", f"WITH RECURSIVE e AS ({_EDGES}), p(root, node, path) AS (SELECT DISTINCT a, a, a FROM e WHERE a LIKE 'r%' UNION ALL SELECT root, e.b, path || '/' || e.b FROM p JOIN e ON p.node = e.a) SELECT * FROM p")
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = hierarchy(spark, sf_dir)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import resolution
+from tessella.operators import references, resolution
 from tessella.plans.registry import register
 from tessella.session import table
 
@@ -99,3 +99,23 @@ def guid_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = F.expr("case k % 4 when 0 then g when 1 then concat(g, '#', g, '/a') when 2 then concat(g, '#', g, '/b') else concat(g, '#t/a') end")
     ids = pages.select("file", F.lit("a").alias("id"), (F.col("k") % 3).alias("n"))
     return resolution.guid_reasons(pages.select("file", reference.alias("reference")), pages.select("file", F.when(F.col("k") % 7 != 2, F.col("g")).alias("topic")), ids)
+
+
+_LINK_WORDS = """SELECT page_id, lower(unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)<', 1))) AS id FROM pages"""
+
+
+@register(
+    "unused_ids",
+    rf"""WITH i AS (SELECT DISTINCT page_id, id FROM ({_LINK_WORDS})), r AS (SELECT DISTINCT lower(unnest(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' '))) AS id FROM pages),
+    t AS (SELECT page_id, lower(regexp_extract(html, '<a href="[^"]*">([^<]*)<', 1)) AS id FROM pages)
+    SELECT page_id AS file, id FROM i WHERE id NOT IN (SELECT id FROM r) AND (page_id, id) NOT IN (SELECT page_id, id FROM t)""",
+)
+def unused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of pages' links, taken as ids, that no title has; the first one of a page is its own and stays."""
+    pages = table(spark, sf_dir, "pages")
+    words = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)<'), 1)
+    ids = pages.select(F.col("page_id").alias("file"), F.explode(words).alias("id")).withColumn("id", F.lower("id"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    named = pages.select(F.explode(F.split(title, " ")).alias("w")).select(F.concat(F.lit("f#t/"), F.lower("w")).alias("reference"))
+    own = pages.select(F.col("page_id").alias("file"), F.lower(F.regexp_extract("html", '<a href="[^"]*">([^<]*)<', 1)).alias("topic"))
+    return references.unused_ids(ids, named, own)

@@ -112,3 +112,40 @@ def test_guid_reasons(spark):
     want = {"GUID-1": None, "GUID-1#GUID-1": None, "GUID-1#GUID-2": "Guid does not match topic id", "GUID-1#GUID-1/x": None, "GUID-1#GUID-1/y": "Duplicated id in target topic", "GUID-1#GUID-1/z": "No such id in target topic", "GUID-9": "No such guid defined"}
     asked = spark.createDataFrame([("b", r) for r in [*want, "other", None]], "file string, reference string")
     assert {r.reference: r.reason for r in resolution.guid_reasons(asked, files, ids).collect()} == want
+
+
+def test_unused_ids(spark):
+    from tessella.operators import references
+
+    ids = spark.createDataFrame([("a", "i"), ("a", "j"), ("a", "j"), ("b", "i"), ("b", "t"), ("c", "t"), (None, "z"), ("c", None)], "file string, id string")
+    named = spark.createDataFrame([("x#y/i",), ("a",), ("a#t",), (None,)], "reference string")
+    files = spark.createDataFrame([("a", None), ("b", "t"), ("d", "j")], "file string, topic string")
+    assert sorted(map(tuple, references.unused_ids(ids, named, files).collect())) == [("a", "j"), ("c", "t")]
+
+
+def test_unanimous_values(spark):
+    from tessella.operators import graph
+
+    r = random.Random(6)
+    links = [(f"g{r.randrange(40)}", f"g{r.randrange(40)}") for _ in range(50)] + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), (None, "d"), ("d", None)] + [(f"c{k}", f"c{k + 1}") for k in range(12)]
+    values = [(f"g{k}", r.choice(["u", "v", None])) for k in range(0, 40, 3)] + [("d", "u"), ("x", "w"), ("c12", "v"), ("c4", None), (None, "u"), ("b", "u")]
+    below = {}
+    for a, b in links:
+        if a and b:
+            below.setdefault(a, set()).add(b)
+    own = {}
+    for n, v in values:
+        if n and v:
+            own.setdefault(n, set()).add(v)
+    want = set()
+    for n in {*below, *own}:
+        seen, todo = {n}, [n]
+        while todo:
+            new = below.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        have = set().union(*(own.get(x, set()) for x in seen))
+        if have:
+            want.add((n, min(have) if len(have) == 1 else None, len(have) > 1))
+    got = graph.unanimous(spark.createDataFrame(links, "above string, below string"), spark.createDataFrame(values, "node string, value string"))
+    assert {(x.node, x.value, x.many) for x in got.collect()} == want
