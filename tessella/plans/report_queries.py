@@ -324,6 +324,26 @@ def accepted_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ended.withColumn("accepted", F.coalesce(F.col("state") == "bought", F.lit(False)))
 
 
+@register(
+    "sliding_windows",
+    """SELECT w AS start, event_type AS kind, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 minute, ts) - INTERVAL 15 minute * k FOR k IN range(0, 4)]) AS w, ts FROM events) GROUP BY 1, 2""",
+)
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each kind in hours that begin every quarter of an hour."""
+    return segments.sliding_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@register(
+    "sessions",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 hour THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 hour AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users: events with less than half a day between."""
+    return segments.session_counts(table(spark, sf_dir, "events"), "user_id", "ts", "12 hours")
+
+
 @register("windowed_events", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")

@@ -45,15 +45,27 @@ def expected(transitions: Transitions, state: str) -> list[str]:
     return sorted({c for s, c in transitions if s == state})
 
 
-def follow(stream: DataFrame, key: str, symbol: str, transitions: Transitions, start: str, final: list[str]) -> DataFrame:
+def follow(stream: DataFrame, key: str, symbol: str, transitions: Transitions, start: str, final: list[str], time: str | None = None, idle_seconds: int = 0, late: str = "0 seconds") -> DataFrame:
     """key, accepted_n, state, complete, error for a stream of symbols, updated with each batch. After an error a key stays in it.
 
     The rows of a batch must come in order for each key; the state is one string and one number.
+    With a column `time`, a key from which nothing has come for idle_seconds of event time is told
+    once more, as `expired` with what was expected next unless it is complete or in error, and its
+    state is dropped: what comes later begins anew. The watermark is `late` behind the latest event.
     """
+    timed = time is not None
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, n, error = held.get if held.exists else (start, 0, "")
+        state, n, error, last = held.get if held.exists else (start, 0, "", 0)
+        if held.hasTimedOut:
+            held.remove()
+            if not error and state not in final:
+                error = f"expired after {n} symbols; expected: {', '.join(expected(transitions, state))}"
+            yield pd.DataFrame({key: [name[0]], "accepted_n": [n], "state": [state], "complete": [not error and state in final], "error": [error], "expired": [True]})
+            return
         for batch in batches:
+            if timed and len(batch):
+                last = max(last, int(batch[time].max().timestamp() * 1000))
             for c in batch[symbol]:
                 if error:
                     break
@@ -62,8 +74,13 @@ def follow(stream: DataFrame, key: str, symbol: str, transitions: Transitions, s
                     error = f"{c} after {n} symbols; expected: {', '.join(expected(transitions, state))}"
                 else:
                     state, n = target, n + 1
-        held.update((state, n, error))
-        yield pd.DataFrame({key: [name[0]], "accepted_n": [n], "state": [state], "complete": [not error and state in final], "error": [error]})
+        held.update((state, n, error, last))
+        if timed:
+            held.setTimeoutTimestamp(max(last + 1000 * idle_seconds, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [name[0]], "accepted_n": [n], "state": [state], "complete": [not error and state in final], "error": [error], "expired": [False]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, accepted_n long, state string, complete boolean, error string", "state string, n long, error string", "update", GroupStateTimeout.NoTimeout)
+    out = f"{key} {kind}, accepted_n long, state string, complete boolean, error string, expired boolean"
+    rows = stream.withWatermark(time, late) if timed else stream
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(step, out, "state string, n long, error string, last long", "update", timeout)

@@ -59,3 +59,24 @@ def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hou
     rows = rows.withWatermark(time, late) if events.isStreaming else rows
     counted = rows.groupBy(F.window(time, width).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
     return counted.select(F.col("w.start").alias("start"), "kind", "n", "value")
+
+
+def sliding_counts(events: DataFrame, time: str, kind: str, width: str = "1 hour", step: str = "15 minutes", late: str = "2 hours") -> DataFrame:
+    """start, kind, n: events in windows that begin at every step, so that each event is in width / step of them. Works on streams and tables alike."""
+    rows = events.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if events.isStreaming else rows
+    counted = rows.groupBy(F.window(time, width, step).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("start"), "kind", "n")
+
+
+def session_counts(events: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """key, start, end, n: the events of a key that follow each other with less than a gap between, from the first event to a gap after the last.
+
+    On a stream a session is told once the watermark has passed its end; events older than the
+    watermark are dropped, others join the sessions they touch. Sessions are merged in each task
+    before the shuffle. Rows without a time are left out.
+    """
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull())
+    rows = rows.withWatermark(time, late) if events.isStreaming else rows
+    counted = rows.groupBy(F.session_window(time, gap).alias("w"), F.col(key)).agg(F.count("*").alias("n"))
+    return counted.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
