@@ -113,9 +113,9 @@ def drawing_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("drawing_paths")
 def drawing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of drawings read from text: shortest paths between far ends of all parts of 10 pixels or more."""
+    """Of drawings read from text: shortest paths between far ends of all parts of three pixels or more."""
     dots = materialise(images.pixels(drawings(spark, sf_dir), "image", "text"), "pixels")
-    found = images.long_paths(dots, least=10)
+    found = images.long_paths(dots, least=3)
     return found.select("image", F.col("part.x").alias("part_x"), F.col("part.y").alias("part_y"), "x", "y", "steps")
 
 
