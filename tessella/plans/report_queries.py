@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import arrays
 from tessella.functions import text as T
-from tessella.operators import groups, nesting, references, sequences, similarity
+from tessella.operators import choices, groups, nesting, references, sequences, similarity
 from tessella.plans.registry import register
 from tessella.session import table
 from tessella.streaming import acceptance, segments
@@ -159,6 +159,20 @@ def genre_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.genre_overlap(_genres(spark, sf_dir), "p_partkey", "genres")
 
 
+@register("part_choices")
+def part_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts divided by words of their names and types, brands and sizes into sets of twelve: how many are in each set, and how many are shown there."""
+    words = F.concat(F.split("p_name", " "), F.split("p_type", " "), F.array("p_brand", F.concat(F.lit("size "), (F.col("p_size") % 7).cast("string"))))
+    divided = choices.divide(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), words.alias("genres"), F.col("p_retailprice").alias("popularity")), 12)
+    shown = choices.unwrap_singles(choices.promote(divided.where("problem is null"), 12))
+    name = lambda c: F.array_join(c, "/")
+    counts = divided.groupBy(name("path").alias("path"), "problem").agg(F.count("*").alias("n"))
+    places = shown.groupBy(name("shown").alias("path")).agg(F.count("*").alias("shown"))
+    extra = places.join(counts.where("problem is null"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("problem"), F.lit(0).cast("long").alias("n"), "shown")
+    known = counts.join(places, "path", "left").select("path", "problem", "n", F.when(F.col("problem").isNull(), F.coalesce("shown", F.lit(0))).alias("shown"))
+    return known.unionByName(extra)
+
+
 @register("promoted_parts", "SELECT p_type, p_partkey, CAST(slot AS INT) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS slot FROM part) WHERE slot <= 4")
 def promoted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.promote(table(spark, sf_dir, "part"), "p_type", "p_partkey", "p_retailprice", 4).select("p_type", "p_partkey", "slot")
