@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.session import materialise, release
 
 
 def folder(spark: SparkSession, path: str, extension: str | None = None, charset: str = "UTF-8") -> DataFrame:
@@ -26,9 +27,11 @@ def comment_attributes(files: DataFrame, file: str, text: str) -> DataFrame:
     """file and a map of the `<!--name: value-->` comments; of repeated names the last counts."""
     names = F.regexp_extract_all(F.col(text), F.lit(r"<!--\s*([a-zA-Z_]\w*):\s*(.*?)\s*-->"), F.lit(1))
     values = F.regexp_extract_all(F.col(text), F.lit(r"<!--\s*([a-zA-Z_]\w*):\s*(.*?)\s*-->"), F.lit(2))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.greatest(F.size(pairs) - k - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
-    return files.select(F.col(file).alias("file"), F.map_from_entries(last).alias("attributes"))
+    placed = F.transform(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    # sorted by name and place, the last of a name stands before another name
+    last = F.transform(F.array(F.sort_array(placed)), lambda a: F.filter(a, lambda p, j: F.coalesce(F.get(a, j + 1)["k"] != p["k"], F.lit(True))))
+    entries = F.transform(F.get(last, F.lit(0)), lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value")))
+    return files.select(F.col(file).alias("file"), F.map_from_entries(entries).alias("attributes"))
 
 
 def lines(files: DataFrame, file: str, text: str) -> DataFrame:
@@ -43,12 +46,17 @@ def content_name(text, extension: str):
 
 
 def write_report(report: DataFrame, path: str, title: str, formats: tuple[str, ...] = ("csv", "json")) -> DataFrame:
-    """Write a report in several formats below a folder; return its line for an index of reports: title, rows, columns, path."""
-    counted = report.agg(F.count("*").alias("rows"))
+    """Write a report in several formats below a folder; return its line for an index of reports: title, rows, columns, path.
+
+    The report is computed once, whatever the number of formats.
+    """
+    kept = materialise(report, "report")
     for kind in formats:
-        writer = report.write.mode("overwrite")
+        writer = kept.write.mode("overwrite")
         (writer.option("header", "true") if kind == "csv" else writer).format(kind).save(f"{path}/{kind}")
-    return counted.select(F.lit(title).alias("title"), "rows", F.array(*map(F.lit, report.columns)).alias("columns"), F.lit(path).alias("path"))
+    line = report.sparkSession.createDataFrame([(title, kept.count(), report.columns, path)], "title string, rows long, columns array<string>, path string")
+    release(kept)
+    return line
 
 
 def write_reports(reports: dict[str, DataFrame], path: str, formats: tuple[str, ...] = ("csv", "json")) -> DataFrame:
