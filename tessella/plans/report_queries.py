@@ -384,3 +384,16 @@ def best_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = asked.join(answers, "conv_id").withColumn("gap", arrays.least_span(F.col("q"), F.col("a"))).where("gap is not null")
     best = groups.argmin(scored.select("conv_id", "gap", F.length("answer").alias("size"), "answer"), "conv_id", "gap", "size", "answer")
     return best.select("conv_id", "gap", F.md5("answer").alias("answer"))
+
+
+@register("closest_answer")
+def closest_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each conversation the answer that has most of the first question's first ten different words, with the fewest others between these; ties to the shorter answer."""
+    rows = table(spark, sf_dir, "conversations")
+    clean = lambda c: F.filter(T.words(F.col(c)), lambda w: w != "")
+    asked = rows.where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("x")).select("conv_id", F.slice(F.array_distinct(clean("x.text")), 1, 10).alias("q"))
+    answers = rows.where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"), clean("text").alias("a"))
+    met = asked.join(answers, "conv_id").withColumn("common", F.filter("q", lambda w: F.array_contains("a", w))).where("size(common) > 0")
+    scored = met.withColumn("gap", arrays.least_span(F.col("common"), F.col("a"))).select("conv_id", (-F.size("common")).alias("fewest"), "gap", F.length("answer").alias("size"), "answer")
+    best = groups.argmin(scored, "conv_id", "fewest", "gap", "size", "answer")
+    return best.select("conv_id", (-F.col("fewest")).cast("long").alias("words"), "gap", F.md5("answer").alias("answer"))

@@ -83,6 +83,17 @@ def test_best_answer_asks_for_the_whole_question(spark, tmp_path):
     found = run(spark, tmp_path, "best_answer", "conversations", rows, "conv_id long, turn long, role string, text string")
     assert sorted((x.conv_id, x.gap, x.answer) for x in found) == sorted((k, g, hashlib.md5(a.encode()).hexdigest()) for k, (g, _, a) in best.items())
 
+    closest = {}
+    for k, _, role, a in rows:
+        words = a.lower().replace(",", " ").split()
+        q = list(dict.fromkeys(next(t for c, _, _, t in rows if c == k).lower().split()))[:10]
+        common = [w for w in q if w in words]
+        if role == "assistant" and common:
+            mine = (-len(common), min(scores(common, words)), len(a), a)
+            closest[k] = min(closest.get(k, mine), mine)
+    found = run(spark, tmp_path / "again", "closest_answer", "conversations", rows, "conv_id long, turn long, role string, text string")
+    assert sorted((x.conv_id, x.words, x.gap, x.answer) for x in found) == sorted((k, -n, g, hashlib.md5(a.encode()).hexdigest()) for k, (n, g, _, a) in closest.items())
+
 
 def test_issues_hold_all_events(spark, tmp_path):
     rows = [(k, f"2024-01-01 00:{k % 7:02}:00", k % 12, "ab"[k % 5 == 0], float(k), f" p{k % 3} ") for k in range(200)]
