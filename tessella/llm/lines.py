@@ -1,6 +1,6 @@
-"""Operators 9 and 5: lines, or runs of sentences, that several documents hold.
+"""Operators 9 and 5: lines, sentences, or passages of many words that several documents hold.
 
-Both digest units in tasks, group the digests globally, and send each document only the digests
+All digest units in tasks, group the digests globally, and send each document only the digests
 that concern it. No group is gathered: a frequent unit is a count and a minimum, combined before
 the shuffle, and the join back has one row for it on one side, which adaptive execution splits.
 """
@@ -16,6 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import kernels
+from tessella.session import materialise, release
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WHITE = b" \t\n\x0b\x0c\r"
 
@@ -187,3 +190,158 @@ def remove_repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame
     return texts.join(later, (F.col("doc_id") == F.col("d")) & (F.col("tie") == F.col("t")), "left").select("doc_id", "text", "later").mapInArrow(
         _cut_runs(least_words), "doc_id long, n_units long, n_removed long, removed array<struct<start: long, end: long>>, kept string"
     )
+
+
+def _run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of so many consecutive words, given the words' hashes; at least one run."""
+    up, down = kernels.powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return kernels.mix((sums[size:] - sums[:-size]) * down[: len(words) - size + 1])
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each `width` neighbouring values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def window_anchors(words: np.ndarray, window: int) -> np.ndarray:
+    """For each window of words the smallest hash of the runs of half its length in it: equal windows have equal ones."""
+    run = max(1, window // 2)
+    return _least(_run_hashes(words, run), window - run + 1)
+
+
+def _anchors(window: int):
+    """The distinct anchors of each text: about one for a quarter of a window's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, names = [], [np.zeros(0, np.uint64)]
+            for k, words in kernels.each_text(batch.column(1), kernels.ALPHANUMERIC):
+                if len(words) >= window:
+                    names.append(np.unique(window_anchors(words, window)))
+                    rows.append(np.full(len(names[-1]), k))
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(np.concatenate(names).view(np.int64))], names=["doc_id", "tie", "anchor"])
+
+    return run
+
+
+def _windows(window: int):
+    """Digest (key, and the half of the anchor) and place of each window whose anchor other documents hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column(3)
+            held = batch.filter(marks.is_valid())
+            rows, keys, halves, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            shared = held.column(3)
+            for k, words in kernels.each_text(held.column(1), kernels.ALPHANUMERIC) if len(held) else ():
+                anchors = window_anchors(words, window)
+                at = np.flatnonzero(np.isin(anchors, shared[k].values.to_numpy().view(np.uint64)))
+                rows.append(np.full(len(at), k))
+                keys.append(_run_hashes(words, window)[at])
+                halves.append(anchors[at])
+                places.append(at)
+            of = pa.array(np.concatenate(rows))
+            half = np.concatenate(halves).astype(np.uint32).view(np.int32)  # the lower half
+            columns = [held.column(0).take(of), held.column(2).take(of), pa.array(np.concatenate(keys).view(np.int64)), pa.array(half), pa.array(np.concatenate(places))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "key", "half", "place"])
+
+    return run
+
+
+def _again_in(words: np.ndarray, window: int) -> np.ndarray:
+    """Places of the windows that stand earlier in the same text, apart from them."""
+    if len(words) < 2 * window:
+        return np.zeros(0, np.int64)
+    hashes = _run_hashes(words, window)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    return np.flatnonzero(np.arange(len(hashes)) - first[which] >= window)
+
+
+def _word_places(data: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where each word of a text's bytes begins, and the text's length, in code points."""
+    word = kernels.ALPHANUMERIC[data] != 0
+    begins = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
+    points = np.cumsum((data & 0xC0) != 0x80)
+    return points[begins] - 1, int(points[-1]) if len(points) else 0
+
+
+def _cut_windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            count, removed, spans, kept = [], [], [], []
+            for k, words in kernels.each_text(batch.column(1), kernels.ALPHANUMERIC):
+                text = batch.column(1)[k].as_py() or ""
+                begins, length = _word_places(np.frombuffer(text.encode(), np.uint8))
+                bounds = np.array(list(_unit_bounds(text)), np.int64).reshape(-1, 2)
+                parts = np.searchsorted(begins, bounds)
+                parts = parts[parts[:, 0] < parts[:, 1]]  # units with words, as ranges of words
+                later = batch.column(2)[k]
+                places = later.values.to_numpy() if later.is_valid else np.zeros(0, np.int64)
+                places = np.concatenate((places, _again_in(words, window))) if ids[k] else places
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, places, 1)
+                np.add.at(change, places + window, -1)
+                gone = np.concatenate(([False], np.cumsum(change)[:-1] > 0, [False]))
+                edges = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+                lost = np.concatenate(([0], np.cumsum(gone[1:-1])))
+                at, stay, where = 0, [], []
+                for a, b in edges:
+                    start, end = int(begins[a]), int(begins[b]) if b < len(begins) else length
+                    stay.append(text[at:start])
+                    where.append({"start": start, "end": end})
+                    at = end
+                count.append(len(parts))
+                removed.append(int((lost[parts[:, 1]] > lost[parts[:, 0]]).sum()))
+                spans.append(where)
+                kept.append("".join([*stay, text[at:]]))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=["doc_id", "n_units", "n_removed", "removed", "kept"])
+
+    return run
+
+
+def remove_long_passages(docs: DataFrame, window: int = 50) -> DataFrame:
+    """doc_id, n_units, n_removed, removed, kept: each text without passages of `window` words or more that stand earlier.
+
+    Passages begin and end at any word, whatever the sentences, and are compared by their lowered
+    words. A window of so many words goes if the same words stand in a document that ranks before,
+    by (doc_id, digest of the text), or earlier in the same text without touching it; what no such
+    window covers stays, so that texts without such passages are left as they are. removed holds
+    original offsets (code points, end exclusive): from the first word that goes to the next that
+    stays, or to the text's end. n_units are the sentences and lines with words, n_removed those
+    of them that lose words.
+
+    Equal windows have equal anchors, the smallest hash of the half windows inside, of which a
+    text has few. Only windows whose anchor several documents hold are digested and grouped, so
+    none that is repeated is missed.
+
+    A null text is empty; rows without a doc_id neither lose anything nor count; rows that share a
+    doc_id and a text rank alike and keep the same. A text of any length is read whole. An empty
+    table gives no rows. Other columns, whatever their names, are not read.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
+    held = materialise(texts.where("doc_id is not null and text is not null").mapInArrow(_anchors(window), "doc_id long, tie long, anchor long"), "anchors")
+    ends = held.groupBy(F.col("anchor").alias("a")).agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "tie") for n, f in (("min", F.min), ("max", F.max))))
+    shared = ends.where("min_doc_id < max_doc_id or min_tie < max_tie").select("a")
+    marks = held.join(shared, F.col("anchor") == F.col("a")).groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_set("anchor").alias("marks"))
+    marks = materialise(marks, "marks")
+    release(held)
+    same = (F.col("doc_id") == F.col("d")) & (F.col("tie") == F.col("t"))
+    # the exchange of the texts is the same in each join with them, so that Spark moves them once
+    found = texts.join(marks, same, "left").select("doc_id", "text", "tie", "marks").mapInArrow(_windows(window), "doc_id long, tie long, key long, half int, place long")
+    rank = F.struct("doc_id", "tie")
+    first = found.groupBy(F.col("key").alias("k"), F.col("half").alias("h")).agg(F.min(rank).alias("first"))
+    later = found.join(first, (F.col("key") == F.col("k")) & (F.col("half") == F.col("h"))).where(rank > F.col("first"))
+    later = later.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_list("place").alias("later"))
+    return texts.join(later, same, "left").select("doc_id", "text", "later").mapInArrow(
+        _cut_windows(window), "doc_id long, n_units long, n_removed long, removed array<struct<start: long, end: long>>, kept string"
+    )

@@ -72,8 +72,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences and lines that stand earlier in the corpus, and each text without them."""
-    found = lines.remove_repeated_passages(table(spark, sf_dir, "documents"))
+    """Passages of 50 words or more that stand earlier in the corpus, and each text without them."""
+    found = lines.remove_long_passages(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import time
 from collections import defaultdict
 
@@ -150,6 +151,72 @@ def test_long_runs_of_marks_take_no_longer_than_other_text():
     assert time.perf_counter() - began < 5
 
 
+def windowed(rows, size, tie):
+    """Texts without the windows of words that an earlier (doc_id, tie) holds, or that stand earlier in the text, apart."""
+    word = re.compile("(?:[0-9A-Za-z]|[^\\x00-\\x7f])+")
+    places = {}
+    for i, text in {(i, t) for i, t, *_ in rows if i is not None and t}:
+        found = list(word.finditer(text))
+        low = [key(m[0]) for m in found]
+        for k in range(len(low) - size + 1):
+            places.setdefault(tuple(low[k : k + size]), {}).setdefault((i, tie[text]), []).append(k)
+    out = []
+    for i, text, *_ in rows:
+        text = text or ""
+        found = list(word.finditer(text))
+        low = [key(m[0]) for m in found]
+        gone = set()
+        for k in range(len(low) - size + 1) if i is not None else ():
+            held = places[tuple(low[k : k + size])]
+            if min(held) < (i, tie[text]) or min(held[i, tie[text]]) + size <= k:
+                gone |= set(range(k, k + size))
+        cut = []
+        for k in sorted(gone):
+            end = found[k + 1].start() if k + 1 < len(found) else len(text)
+            if cut and cut[-1][1] == found[k].start():
+                cut[-1] = (cut[-1][0], end)
+            else:
+                cut.append((found[k].start(), end))
+        kept, at = "", 0
+        for a, b in cut:
+            kept, at = kept + text[at:a], b
+        lost = sum(any(k in gone and s <= m.start() < e for k, m in enumerate(found)) for s, e, *_ in units(text))
+        out.append((i, len(units(text)), lost, kept + text[at:], cut))
+    return sorted(map(repr, out))
+
+
+def ties(df):
+    return {r.text: r.t for r in df.selectExpr("text", "xxhash64(cast(text as string)) as t").collect()}
+
+
+def test_long_passages(docs, texts, documents):
+    for (df, rows), size in (((docs, texts), 5), ((docs, texts), 20), (documents, 50)):
+        found = lines.remove_long_passages(df, size).collect()
+        assert sorted(repr((r.doc_id, r.n_units, r.n_removed, r.kept, [(x.start, x.end) for x in r.removed])) for r in found) == windowed(rows, size, ties(df))
+
+
+def test_passages_of_unlike_texts_of_one_doc_id(spark):
+    same = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{same} a"), (1, f"b {same}"), (1, f"b {same}"), (None, same), (2, f"{same} {same}"), (0, f"c {same} d, {same}.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.remove_long_passages(df, 10).collect()
+    assert sorted(repr((r.doc_id, r.n_units, r.n_removed, r.kept, [(x.start, x.end) for x in r.removed])) for r in found) == windowed(rows, 10, ties(df))
+
+
+def test_passage_query_takes_passages_inside_sentences_and_leaves_clean_texts(spark, tmp_path):
+    word = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    long = word("p", 51)
+    rows = [(1, f"Yes. {word('a', 30)} {long} {word('b', 9)}. No."), (2, f"Yes. {word('c', 20)} {long}, {word('d', 20)}. No."), (3, f"Yes. {word('e', 60)}. {word('a', 30)}. No.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.QUERIES["op5_substring_dedup"](spark, str(tmp_path)).collect()}
+    start = rows[1][1].index("p0")
+    assert {i: (r.n_units, r.n_removed, r.removed_spans) for i, r in found.items()} == {1: (3, 0, ""), 2: (3, 1, f"{start}:{start + len(long) + 2}"), 3: (4, 0, "")}
+    assert found[2].kept_sha256 == hashlib.sha256(f"Yes. {word('c', 20)} {word('d', 20)}. No.".encode()).hexdigest()
+
+
 def test_empty_tables(no_docs):
     assert lines.drop_repeated_lines(no_docs).collect() == []
     assert lines.remove_repeated_passages(no_docs).collect() == []
+
+def test_long_passages_of_an_empty_table(no_docs):
+    assert lines.remove_long_passages(no_docs).collect() == []
