@@ -287,7 +287,7 @@ def _rows(keys, rs, lows, border: bool) -> pa.RecordBatch:
 
 
 def _crowd(sets: DataFrame) -> DataFrame:
-    """key, r, low: the names of the sets that share a digest with others, and of the digest's centre."""
+    """key, r, low, as a written table: the names of the sets that share a digest with others, and of the digest's centre."""
     exploded = sets.select(F.explode("keys").alias("key"), F.col("name").alias("r"))
     ranges = exploded.repartitionByRange("key", "r").sortWithinPartitions("key", "r")
     found = materialise(ranges.mapInArrow(_shared, "key long, r long, low long, border boolean"), "shared")
@@ -296,7 +296,9 @@ def _crowd(sets: DataFrame) -> DataFrame:
     over = ends.groupBy("key").agg(F.min("low").alias("top"), F.max("low").alias("other")).where("top < other").select(F.col("key").alias("k"), "top")
     met = found.where("not border").join(F.broadcast(over), F.col("key") == F.col("k"), "left").select("key", "r", F.coalesce("top", "low").alias("low"))
     more = ends.join(F.broadcast(over), F.col("key") == F.col("k")).select("key", "r", F.col("top").alias("low"))
-    return met.union(more)
+    crowd = materialise(met.union(more), "crowd")
+    release(found)
+    return crowd
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -467,9 +469,12 @@ def _similar(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, D
     """What similar returns, and the written tables that documents and links rest on."""
     limit = Fraction(threshold).limit_denominator(10_000)
     texts = docs.select(F.expr(_ID).alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(_TIE).alias("tie"))
-    sets = materialise(texts.mapInArrow(_describe(size, limit), _SETS_SCHEMA), "sets")
-    heads = materialise(sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "name").agg(F.min("doc_id").alias("representative"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "heads")
-    crowd = materialise(_crowd(sets), "crowd")
+    described = materialise(texts.mapInArrow(_describe(size, limit), _SETS_SCHEMA), "described")
+    crowd = _crowd(described)
+    heads = materialise(described.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "name").agg(F.min("doc_id").alias("representative"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "heads")
+    # the digests and sketches, most of what is written, are deleted before the pairs are made
+    sets = materialise(described.select("doc_id", "tie", "n_shingles", "digest"), "sets")
+    release(described)
     first = heads.select(F.col("name").alias("x"), F.col("representative").alias("a"))
     pairs = materialise(_compared(crowd.where("r <> low").select("r", "low").distinct(), heads, "name", limit), "pairs")
     repeated = materialise(sets.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")

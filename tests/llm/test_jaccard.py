@@ -1,10 +1,12 @@
 import random
 import re
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from tessella import session
 from tessella.llm import jaccard, queries
 
 
@@ -146,3 +148,23 @@ def test_linked_sets_share_a_digest(threshold):
             shared = np.intersect1d(jaccard.digests(a, threshold), jaccard.digests(b, threshold))
             assert len(shared) or np.array_equal(a, b)
     assert near > 200
+
+
+def test_digests_are_deleted_before_pairs_are_compared(docs, texts, monkeypatch):
+    """They are most of what is written, and neither the comparison nor the result needs them."""
+    written, left, compared = {}, [], jaccard._compared
+
+    def write(df, name):
+        out = session.materialise(df, name)
+        written[name] = (set(df.columns), Path(session._written[id(out)][1].removeprefix("file:")))
+        return out
+
+    def compare(*args):
+        left.append({name for name, (columns, path) in written.items() if columns & {"keys", "border"} and path.exists()})
+        return compared(*args)
+
+    monkeypatch.setattr(jaccard, "materialise", write)
+    monkeypatch.setattr(jaccard, "_compared", compare)
+    found = jaccard.groups(docs, 3, 0.9).collect()
+    assert left and left[0] == set() and any("keys" in columns for columns, _ in written.values())
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in found) == brute([x[:2] for x in texts], 3, 9, 10)
