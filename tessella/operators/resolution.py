@@ -50,23 +50,24 @@ def final_names(renames: DataFrame, most_rounds: int = 40) -> DataFrame:
     return out
 
 
-def guid_files(files: DataFrame) -> DataFrame:
-    """guid, file of files (file, topic) whose topic is a guid; of several files that define one the last by name."""
-    return files.where(F.col("topic").rlike(GUID)).groupBy(F.col("topic").alias("guid")).agg(F.max("file").alias("file"))
+def guid_files(files: DataFrame, *within: str) -> DataFrame:
+    """guid, file of files (file, topic) whose topic is a guid; of several files that define one the last by name, for each value of the columns `within`."""
+    return files.where(F.col("topic").rlike(GUID)).groupBy(*within, F.col("topic").alias("guid")).agg(F.max("file").alias("file"))
 
 
-def guid_reasons(references: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:
+def guid_reasons(references: DataFrame, files: DataFrame, ids: DataFrame, *within: str) -> DataFrame:
     """file, reference, target, reason of the references (file, reference) that begin with a guid; the reason is null where all is well.
 
     A reference is guid, guid#topic or guid#topic/id. files: file, topic. ids: file, id, n. The
     reasons are looked for in order: No such guid defined, Guid does not match topic id, No such id
-    in target topic, Duplicated id in target topic.
+    in target topic, Duplicated id in target topic. All three tables may have columns that say which
+    corpus a row is of (`within`, none of them null); a guid is then looked for in its reference's corpus only.
     """
     part = T.split_reference(F.col("reference"))
-    asked = references.where(F.col("reference").rlike(GUID)).select("file", "reference", part.alias("p")).select("file", "reference", F.col("p.file").alias("guid"), "p.topic", "p.id")
-    known = guid_files(files).select(F.col("guid").alias("g"), F.col("file").alias("target"))
-    held = ids.groupBy(F.col("file").alias("f"), F.col("id").alias("i")).agg(F.sum("n").alias("n"))
-    met = asked.join(known, F.col("guid") == F.col("g"), "left").join(held, (F.col("target") == F.col("f")) & (F.col("id") == F.col("i")), "left")
+    asked = references.where(F.col("reference").rlike(GUID)).select("file", "reference", *within, part.alias("p")).select("file", "reference", *within, F.col("p.file").alias("g"), "p.topic", "p.id")
+    known = guid_files(files, *within).select(*within, F.col("guid").alias("g"), F.col("file").alias("target"))
+    held = ids.groupBy(*within, F.col("file").alias("target"), "id").agg(F.sum("n").alias("n"))
+    met = asked.join(known, [*within, "g"], "left").withColumnRenamed("g", "guid").join(held, [*within, "target", "id"], "left")
     reason = (
         F.when(F.col("target").isNull(), "No such guid defined")
         .when((F.col("topic") != "") & (F.col("topic") != F.col("guid")), "Guid does not match topic id")

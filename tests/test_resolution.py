@@ -114,6 +114,31 @@ def test_guid_reasons(spark):
     assert {r.reference: r.reason for r in resolution.guid_reasons(asked, files, ids).collect()} == want
 
 
+def _as_sql(spark, folder, query, rows):
+    """The query over pages (page_id, url, html), which must give what its SQL gives."""
+    import duckdb
+
+    from tessella.plans import registry
+
+    path = f"{folder}/pages.parquet"
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{path}/*.parquet')")
+    found = registry.QUERIES[query](spark, str(folder))
+    said = con.execute(registry.ORACLES[query])
+    want = [dict(zip((c[0] for c in said.description), r, strict=True)) for r in said.fetchall()]
+    plain = lambda rows: sorted(repr(sorted(r.items())) for r in rows)
+    got = [r.asDict() for r in found.collect()]
+    assert plain(got) == plain(want)
+    return got
+
+
+def test_pages_of_one_address_have_their_own_guids(spark, tmp_path):
+    rows = [(k, ["http://a/en/1", "http://a/en/2", None][k % 3], "") for k in range(30)]
+    found = _as_sql(spark, tmp_path, "guid_reasons", rows)
+    assert len(found) == 30 and all(r["target"] in (None, r["file"]) for r in found)
+
+
 def test_unused_ids(spark):
     from tessella.operators import references
 
