@@ -6,6 +6,8 @@ name that a third of all references use is on one side only and its partition ca
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +104,9 @@ def _best(rows: DataFrame, key: list[str], answer: str) -> DataFrame:
 WAYS = ("guid", "own id", "own file", "base name", "title", "largest of title")
 
 
-def resolve(references: DataFrame, files: DataFrame, lineage: DataFrame, ids: DataFrame, aside: Column | None = None) -> DataFrame:
+def resolve(
+    references: DataFrame, files: DataFrame, lineage: DataFrame, ids: DataFrame, aside: Column | None = None, all_of_guid: bool = False, alike: Callable[[Column], Column] = T.collapse
+) -> DataFrame:
     """references plus `target`, `repaired` and `how`: the first way that leads somewhere.
 
     references: file, reference, text, with whatever else; all of them are taken to be broken. files:
@@ -117,6 +121,8 @@ def resolve(references: DataFrame, files: DataFrame, lineage: DataFrame, ids: Da
     way. repaired is relative to the file, with the topic that now has the id, or with what stood
     behind #. What no way leads to is `moved aside` if aside says so (by default it does) and `none`
     otherwise. Ties go to the smaller name, unknown sizes are 0, a null reference has its text only.
+    A guid that several files define leads to the last of them by name or, if all_of_guid, to each, a row
+    each. Titles and texts are compared as `alike` makes them, by default with white space collapsed.
     """
     columns = references.columns
     part = T.split_reference(F.col("reference"))
@@ -127,7 +133,8 @@ def resolve(references: DataFrame, files: DataFrame, lineage: DataFrame, ids: Da
     met = asked.join(own, F.col("file") == F.col("_f"), "left").withColumn("_old", F.when(~F.col("_guid"), T.absolute_path(F.col("_own"), F.col("_p.file"))))
     size = files.select(F.col("file").alias("_s"), "size").groupBy("_s").agg(F.max("size").alias("size"))
 
-    guids = guid_files(files).select(F.col("guid").alias("_g"), F.col("file").alias("_a0"))
+    defined = files.where(F.col("topic").rlike(GUID)).select(F.col("topic").alias("guid"), "file").distinct() if all_of_guid else guid_files(files)
+    guids = defined.select(F.col("guid").alias("_g"), F.col("file").alias("_a0"))
     met = met.join(guids, F.col("_guid") & (F.col("_p.file") == F.col("_g")), "left")
     # an id that several files have now says nothing
     moved = ids.groupBy(F.col("old").alias("_o1"), F.col("id").alias("_i1")).agg(F.count_distinct("file").alias("_n1"), F.min("file").alias("_a1")).where("_n1 = 1")
@@ -136,8 +143,8 @@ def resolve(references: DataFrame, files: DataFrame, lineage: DataFrame, ids: Da
     met = met.join(ends.select(F.col("old").alias("_o2"), F.col("answer").alias("_a2")), F.col("_old") == F.col("_o2"), "left")
     bases = _best(files.withColumn("_b", base_name(F.col("file"))), ["_b"], "file").where("n = 1 and _b <> ''")
     met = met.join(bases.select(F.col("_b").alias("_b3"), F.col("answer").alias("_a3")), ~F.col("_guid") & (F.col("_base") == F.col("_b3")), "left")
-    titles = _best(files.withColumn("_t", T.collapse(F.col("title"))), ["_t"], "file").where("_t <> ''")
-    met = met.withColumn("_text", F.when(~F.col("_guid"), T.collapse(F.col("text"))))
+    titles = _best(files.withColumn("_t", alike(F.col("title"))), ["_t"], "file").where("_t <> ''")
+    met = met.withColumn("_text", F.when(~F.col("_guid"), alike(F.col("text"))))
     met = met.join(titles.select(F.col("_t").alias("_t4"), F.col("answer").alias("_a4"), F.col("n").alias("_n4")), F.col("_text") == F.col("_t4"), "left")
 
     answers = [F.col("_a0"), F.col("_a1"), F.col("_a2"), F.col("_a3"), F.when(F.col("_n4") == 1, F.col("_a4")), F.when(F.col("_n4") > 1, F.col("_a4"))]

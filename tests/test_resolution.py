@@ -139,6 +139,14 @@ def test_pages_of_one_address_have_their_own_guids(spark, tmp_path):
     assert len(found) == 30 and all(r["target"] in (None, r["file"]) for r in found)
 
 
+def test_a_guid_of_several_pages_leads_to_all(spark, tmp_path):
+    """Pages 25 and 40 are topics of one address; 24 refers to 25 by guid. Links' texts may hold what ends a tag or a line."""
+    page = lambda k: f'<title>Word{k % 7}, more</title><a href="x>y{k}">word{k % 5}</a><a href="z">word1\n</a><a href="w"> word2</a><a href="v">a > b</a>'
+    rows = [(k, "http://a/en/25" if k in (25, 40) else f"http://a/en/{k}", page(k)) for k in range(60)]
+    found = _as_sql(spark, tmp_path, "resolved_references", rows)
+    assert {r["target"] for r in found if r["how"] == "guid" and r["file"] == "/out/en/24.html"} == {"/out/en/25.html", "/out/en/40.html"}
+
+
 def test_unused_ids(spark):
     from tessella.operators import references
 
