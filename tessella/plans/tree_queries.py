@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tessella.operators import grids, groups, images, reuse, tree_edits
 from tessella.plans.registry import register
-from tessella.session import materialise, table
+from tessella.session import materialise, release, table
 from tessella.sources import markup
 
 
-def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tree (page), node, path, tag, attributes, text of all pages."""
+def page_trees(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """tree (page), node, path and, unless only some are asked for, tag, attributes, text of all pages."""
     pages = table(spark, sf_dir, "pages").withColumn("file", F.col("page_id").cast("string"))
-    nodes = markup.nodes(pages, "file", "html").select(F.col("file").cast("long").alias("tree"), "node", "path", "tag", "attributes", "text")
+    nodes = markup.nodes(pages, "file", "html").select(F.col("file").cast("long").alias("tree"), "node", "path", *(columns or ("tag", "attributes", "text")))
     return materialise(nodes, "page-trees")
 
 
@@ -55,7 +55,8 @@ def edits_of_pages(nodes: DataFrame, batch: int) -> DataFrame:
     article's content is wrapped. Then navigation goes last in the page and the notice goes before
     the first heading; then lists are split, and articles merge with what is like them.
     """
-    by_tag = nodes.groupBy("tree").pivot("tag", ["body", "nav", "h1", "div"]).agg(F.min("node"))
+    tags = ["body", "nav", "h1", "div"]
+    by_tag = nodes.where(F.col("tag").isin(tags)).groupBy("tree").agg(*(F.min(F.when(F.col("tag") == t, F.col("node"))).alias(t) for t in tags))
     if batch == 1:
         what = F.create_map(*(F.lit(x) for x in ("script", "cut", "style", "cut", "ul", "wrap", "b", "unwrap", "article", "wrap_children")))
         done = nodes.withColumn("op", what[F.col("tag")]).where("op is not null")
@@ -71,9 +72,10 @@ def edits_of_pages(nodes: DataFrame, batch: int) -> DataFrame:
 @register("edited_trees")
 def edited_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as trees after three batches of edits: tree, node, path, tag."""
-    nodes = page_trees(spark, sf_dir).select("tree", "node", "path", "tag")
+    nodes = page_trees(spark, sf_dir, "tag")
     for batch in (1, 2, 3):
-        nodes = materialise(tree_edits.edit(nodes, edits_of_pages(nodes, batch)), f"edited{batch}")
+        before, nodes = nodes, tree_edits.edit(nodes, edits_of_pages(nodes, batch))
+        release(before)
     return nodes.select("tree", "node", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "tag")
 
 

@@ -186,3 +186,17 @@ def test_other_columns_stay(spark):
     got = edited(spark, df, [(1, 1, "wrap", 3, None, "w")])[0]
     assert got.columns == df.columns and got.where("tag <> 'w'").where("twice = 2 * node and keys[0] = tag").count() == 6
     assert [(r.twice, r["keys"]) for r in got.where("tag = 'w'").collect()] == [(None, None)]
+
+
+def test_no_table_of_nodes_is_told_to_all_tasks(spark, monkeypatch):
+    """Whatever Spark takes their files' size for; the same rows come out where some trees are not edited."""
+    plans = []
+    write = tree_edits.materialise
+    monkeypatch.setattr(tree_edits, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    trees = {t: grow(random.Random(t), 12) for t in range(4)}
+    df = table(spark, trees)
+    edits = [(1, 1, "split", 0, None, None), (2, 1, "merge_next", 3, None, None), (3, 1, "wrap", 3, None, "w")]
+    for t, *e in edits:
+        plain(trees[t], [tuple(e)])
+    assert edited(spark, df, edits)[1] == sorted(x for t, root in trees.items() for x in rows(root, t))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
