@@ -117,6 +117,40 @@ def test_arrays(spark):
     assert one(spark, arrays.span(words("a d"), words("a b c"))) is None
 
 
+def test_least_span_of_long_lists(spark):
+    """As trying every start says, and in time: 100,000 elements, where every start looked at all that follow."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    def brute(q, a):
+        def in_order(q, a):
+            met = passed = 0
+            for x in a:
+                if met == len(q):
+                    break
+                met, passed = (met + 1, passed) if x == q[met] else (met, passed + 1)
+            return passed if met == len(q) else None
+
+        def any_order(a):
+            for n in range(len(q), len(a) + 1):
+                if all(a[:n].count(w) >= q.count(w) for w in q):
+                    return n - len(q)
+
+        tries = [next((x for x in (in_order(q, a[i:]), in_order(q[::-1], a[i:]), any_order(a[i:])) if x is not None), None) for i in range(len(a))]
+        return min((x for x in tries if x is not None), default=None)
+
+    r = random.Random(8)
+    rows = [([r.choice("abcd") for _ in range(r.randint(0, 5))], [r.choice("abcdxy") for _ in range(r.randint(0, 25))]) for _ in range(400)]
+    df = spark.createDataFrame(rows, "q array<string>, a array<string>").withColumn("got", arrays.least_span(F.col("q"), F.col("a")))
+    assert [x.got for x in df.collect()] == [brute(q, a) for q, a in rows]
+    began = time.time()
+    long = spark.range(1).select(F.split(F.lit("a b c d"), " ").alias("q"), F.split(F.lit("a d x c c b " + "a x c y d " * 20_000 + "a b c z d"), " ").alias("a"))
+    assert long.select(arrays.least_span(F.col("q"), F.col("a"))).first()[0] == 1 and time.time() - began < 30
+
+
+
 def test_arrangements(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, None)], "k int, v array<string>")
     got = lambda rows, c="arrangement": sorted("".join(r[c]) for r in rows.where("k = 1").collect())
