@@ -229,3 +229,42 @@ def test_tree_neighbourhoods(spark):
     steps = spark.createDataFrame([(1, "r", [0, 1, 0]), (1, "a", [1]), (1, "a", []), (1, "b", [0]), (2, "q", [0])], "tree int, node string, steps array<int>")
     assert sorted((r.node, tuple(r.steps), r.found) for r in trees.at_path(tree, steps).collect()) == [("a", (), "a"), ("a", (1,), "e"), ("b", (0,), None), ("q", (0,), None), ("r", (0, 1, 0), "f")]
     assert trees.outermost(tree.where("false")).collect() == [] and trees.leaves(tree.where("false")).collect() == []
+
+
+def test_similar_texts_whatever_is_common(spark, monkeypatch):
+    """As all pairs say, with few words ranked apart and many; and texts that are like no other are shuffled less than twice over."""
+    r = random.Random(17)
+    words = [f"word{k}" for k in range(3000)]
+    base = [" ".join(words[min(int(r.paretovariate(0.6)), 2999)] for _ in range(r.choice([1, 2, 9, 60, 200]))) for _ in range(150)]
+    texts = [*base, *(" ".join(w for w in r.choice(base).split() if r.random() > 0.04) for _ in range(80)), *base[:20]]
+    sets = [set(t.split()) for t in texts]
+    block = list(range(len(sets)))
+
+    def top(k):
+        while block[k] != k:
+            k = block[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= 0.9 * len(a | sets[j]) - 1e-9:
+                x, y = sorted((top(i), top(j)))
+                block[y] = x
+    tops = [top(k) for k in range(len(sets))]
+    want = sorted((k, t) for k, t in enumerate(tops) if tops.count(t) > 1 and sets[k])
+    assert len(want) > 60
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for common, crowd in ((4096, 256), (5, 3), (1, 256)):
+        monkeypatch.setattr(similarity, "COMMON", common, raising=False)
+        monkeypatch.setattr(similarity, "CROWD", crowd)
+        assert sorted(map(tuple, similarity.similar(df, "k", "t", 0.9).collect())) == want
+    monkeypatch.undo()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda: "".join(r.choice(letters) for _ in range(8))
+    often = [name() for _ in range(2000)]
+    long = [" ".join([r.choice(often) for _ in range(400)] + [name() for _ in range(100)]) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(long)), "k long, t string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert similarity.similar(df, "k", "t", 0.9).collect() == []
+    assert written() - before < 1.8 * sum(map(len, long)), (written() - before) / sum(map(len, long))
